@@ -17,3 +17,35 @@ m AS (SELECT doc_id, least(min(other), doc_id) AS component_id FROM r GROUP BY d
 SELECT n.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, coalesce(component_id, n.doc_id) AS component_id, coalesce(component_id, n.doc_id) = n.doc_id AS kept
 FROM n LEFT JOIN m USING (doc_id)
 """
+
+_SPACES = r"[^\x20\x09-\x0D]+"
+OP9 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACES}') AS w FROM documents),
+tri AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS MATERIALIZED (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY 1),
+ln AS MATERIALIZED (SELECT doc_id, host, t, l, regexp_extract_all(l, '{_SPACES}') AS lw FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM d)),
+lines AS MATERIALIZED (SELECT doc_id, host, t, l, translate(array_to_string(lw, ' '), '{_UP}', '{_LOW}') AS s, len(array_to_string(lw, '')) AS chars FROM ln WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY 1),
+often AS (SELECT host, s FROM lines GROUP BY 1, 2 HAVING count(DISTINCT t) > 20),
+gone AS (SELECT doc_id, sum(chars) AS n FROM lines JOIN often USING (host, s) GROUP BY 1),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_chars
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars - removed_chars >= 0.3 * word_chars AS kept, removed_chars
+FROM b
+"""
+
+_ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
+OP6 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(len('<|im_start|>') + len(replace({_ESCAPED.format("role")}, chr(10), '\\n')) + 1 + len({_ESCAPED.format("text")}) + len('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

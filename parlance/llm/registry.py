@@ -16,13 +16,36 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85)
 
 
+def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.text_density import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.reply_trees import conversation_digests
+
+    return conversation_digests(table(spark, sf_dir, "conversations"))
+
+
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.line_frequency import line_verdicts
+
+    return line_verdicts(table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_text_density": op1_text_density,
+        "op6_reply_trees": op6_reply_trees,
+        "op9_line_frequency": op9_line_frequency,
         "op10_minhash_hamming": op10_minhash_hamming,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_reply_trees": oracles.OP6,
+        "op9_line_frequency": oracles.OP9,
         "op10_minhash_hamming": oracles.OP10,
     }
