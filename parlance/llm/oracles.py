@@ -49,3 +49,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(len('<|im_start|>') + len(replace({_ESCAPED.format("role")}, chr(10), '\\n')) + 1 + len({_ESCAPED.format("text")}) + len('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+OP8 = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT doc_id, s, x[2 * s + 1:2 * s + 100] AS g FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS s FROM d WHERE len(x) >= 100)),
+m AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g),
+r AS MATERIALIZED (SELECT doc_id, s FROM w JOIN m USING (g) WHERE m < doc_id),
+e AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM e) GROUP BY doc_id, k),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone, count(*) AS n FROM k GROUP BY 1)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN x ELSE array_to_string(list_transform(range(0, n + 1),
+    lambda i: x[2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1:2 * (CASE WHEN i = n THEN len(x) // 2 ELSE a[i + 1] END)]), '') END)) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""

@@ -28,6 +28,12 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(table(spark, sf_dir, "conversations"))
 
 
+def op8_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.bucket_refinement import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.line_frequency import line_verdicts
 
@@ -38,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_text_density": op1_text_density,
         "op6_reply_trees": op6_reply_trees,
+        "op8_bucket_refinement": op8_bucket_refinement,
         "op9_line_frequency": op9_line_frequency,
         "op10_minhash_hamming": op10_minhash_hamming,
     }
@@ -46,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_reply_trees": oracles.OP6,
+        "op8_bucket_refinement": oracles.OP8,
         "op9_line_frequency": oracles.OP9,
         "op10_minhash_hamming": oracles.OP10,
     }
