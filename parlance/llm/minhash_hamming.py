@@ -10,9 +10,10 @@ pair that is further apart still meets unless *every* chunk has two errors, whic
 below 3e-6 at 0.8 and 2e-8 at 0.85.
 
 Copies are folded into one class by the hash of the whole shingle set. In each key, every class is
-compared with the smallest one (a star, not all pairs); then, in keys whose classes are still in
-different components, the pairs across components whose sizes and signatures allow the threshold.
-Every link is confirmed on the full shingle sets.
+compared with the smallest one (a star, not all pairs), and then, where a key's classes are still in
+different components, with others drawn by a hash, for a few rounds. What is left are pairs across
+components that share a key; of those, all are compared whose sizes, signatures and numbers of
+shingles that no other open class holds allow the threshold. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -34,10 +35,13 @@ SIMILARITY = 0.8
 CHUNKS = 12
 #: Symbols of a chunk; one of them may be wrong.
 WIDTH = 6
+#: Rounds in which each key compares its classes with another one, drawn by a hash.
+ROUNDS = 1
 #: Bits of a symbol. Three of them go into a long, each with a free bit above it.
 BITS = 20
 _SYMBOLS = CHUNKS * WIDTH
 _LONGS = _SYMBOLS // 3
+assert WIDTH == 6  # two longs hold a chunk
 _LANES = np.arange(3, dtype=np.uint64) * np.uint64(BITS + 1)
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**62, _SYMBOLS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,7 +49,12 @@ _B = _rng.integers(1, 2**62, _SYMBOLS, dtype=np.int64).astype(np.uint64)
 _M = (_rng.integers(1, 2**62, _SYMBOLS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)).reshape(CHUNKS, WIDTH)
 _S = _rng.integers(1, 2**62, _SYMBOLS, dtype=np.int64).astype(np.uint64).reshape(CHUNKS, WIDTH)
 
-SKETCH = f"doc_id long, h1 long, h2 long, n_shingles long, sig array<long>"
+#: Bits of the finer sketch of classes that are still to be compared.
+FINE = 512
+_FA = _rng.integers(1, 2**62, FINE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_FB = _rng.integers(1, 2**62, FINE, dtype=np.int64).astype(np.uint64)
+
+SKETCH = "doc_id long, h1 long, h2 long, n_shingles long, sig array<long>"
 
 
 def signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -99,14 +108,32 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
 
 
 def key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) rows of the index, from (node, sig)."""
+    """(key, slot, node) rows of the index, from (node, sig); the slot is the symbol left out."""
     for batch in batches:
         if not batch.num_rows:
             continue
         longs = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, _LONGS)
         keys = index_keys(unpacked(np.ascontiguousarray(longs)))
         nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), _SYMBOLS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
+        slots = np.tile(np.arange(_SYMBOLS, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(slots), pa.array(nodes)], names=["key", "slot", "node"])
+
+
+def fine_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(node, fine, shingles) of (doc_id, text) rows: a sketch of 1-bit MinHash values, and the set itself."""
+    for part in chunks(batches):
+        data, offsets = K.buffers(part.column(1))
+        values, first = K.shingles(K.words(data, offsets), size)
+        some = np.flatnonzero(np.diff(first) > 0)
+        bits = np.empty((len(some), FINE), np.uint8)
+        for k in range(FINE if len(some) else 0):
+            low = np.minimum.reduceat((values ^ _FB[k]) * _FA[k], first[some])
+            bits[:, k] = (K.mix(low) >> np.uint64(63)).astype(np.uint8)
+        fine = list(np.packbits(bits, axis=1).view(np.int64))
+        own = [np.unique(values[first[i] : first[i + 1]]).view(np.int64) for i in some]
+        nodes = part.column(0).to_numpy()[some]
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(fine, kind), pa.array(own, kind)], names=["node", "fine", "shingles"])
 
 
 def confirm_batches(batches: Iterator[pa.RecordBatch], size: int, numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
@@ -136,9 +163,18 @@ def differing(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count((({a}[{i}] ^ {b}[{i}]) + {ones}L) & {free}L)" for i in range(_LONGS)))
 
 
+def _first_meeting() -> Column:
+    """Whether x and y don't meet under an earlier key of the index, too."""
+    ones, free = (sum(v << int(lane) for lane in _LANES) for v in ((1 << BITS) - 1, 1 << BITS))
+    wrong = " + ".join(f"bit_count(((x.sig[2 * c + {i}] ^ y.sig[2 * c + {i}]) + {ones}L) & {free}L)" for i in (0, 1))
+    before = f"forall(sequence(0, x.slot div {WIDTH}), c -> c = x.slot div {WIDTH} OR {wrong} > 1)"
+    here = f"(x.slot % {WIDTH} = 0 OR exists(array(x.slot div {WIDTH}), c -> {wrong} = 1))"
+    return F.expr(f"{before} AND {here}")
+
+
 def farthest(similarity: float) -> int:
-    """The signature distance beyond which a pair of the similarity is five deviations away."""
-    return min(_SYMBOLS - 1, math.ceil(_SYMBOLS * (1 - similarity) + 5 * math.sqrt(_SYMBOLS * similarity * (1 - similarity))))
+    """The signature distance beyond which a pair of the similarity is four deviations away."""
+    return min(_SYMBOLS - 1, math.ceil(_SYMBOLS * (1 - similarity) + 4 * math.sqrt(_SYMBOLS * similarity * (1 - similarity))))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +217,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 def _links(spark, classes: DataFrame, rows: DataFrame, similarity: float, size: int, numerator: int, denominator: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to connect all that are connected."""
     nodes = classes.select("node", "n", "sig")
-    index = nodes.select("node", "sig").mapInArrow(key_batches, "key long, node long")
+    index = nodes.select("node", "sig").mapInArrow(key_batches, "key long, slot int, node long")
     heads = index.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
     index = settle(index.join(heads, "key"))  # only keys that two classes share
     release(spark)
@@ -206,13 +242,35 @@ def _links(spark, classes: DataFrame, rows: DataFrame, similarity: float, size:
         return out
 
     star = index.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    first = confirmed(possible(star))
-    comps = connected_components(first)
-    placed = index.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    left = settle(placed.join(open_keys, "key").join(nodes, "node"))
-    near = (F.least("x.n", "y.n") * denominator >= F.greatest("x.n", "y.n") * numerator) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & near & (differing("x.sig", "y.sig") <= limit))
+    tried = settle(possible(star))
+    links = confirmed(tried)
+    open_ = index.select("key", "slot", "node")
+    for turn in range(ROUNDS + 1):
+        comps = connected_components(links)
+        placed = open_.select("key", "slot", "node").join(comps, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("comp"))
+        ends = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+        open_ = settle(placed.join(ends, "key"))
+        if turn == ROUNDS:
+            break
+        heads = open_.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("head"))
+        star = open_.join(heads, "key").where("comp <> head.comp")
+        star = star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+        new = settle(possible(star.join(tried, ["a", "b"], "left_anti")))
+        links, tried = links.unionByName(confirmed(new)), tried.unionByName(new)
+        release(spark)
+    # shingles that no other open class holds can't be common to two of them, which bounds the similarity
+    members = rows.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = settle(members.mapInArrow(lambda it: fine_batches(it, size), "node long, fine array<long>, shingles array<long>"))
+    single = members.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    alone = single.where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    able = nodes.join(members.select("node", "fine"), "node").join(alone, "node", "left")
+    able = able.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("shared") * denominator >= F.col("n") * numerator)
+    left = settle(open_.join(able.select("node", "n", "sig", "fine", "shared"), "node"))
+    most = F.least("x.shared", "y.shared")
+    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (most * denominator >= (F.col("x.n") + F.col("y.n") - most) * numerator)
+    odds = (1 - similarity) / 2
+    apart = F.expr(" + ".join(f"bit_count(x.fine[{i}] ^ y.fine[{i}])" for i in range(FINE // 64)))
+    near &= (apart <= math.ceil(FINE * odds + 4 * math.sqrt(FINE * odds * (1 - odds)))) & (differing("x.sig", "y.sig") <= limit)
+    across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & near & _first_meeting())
     across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    tried = settle(across.join(settle(possible(star)), ["a", "b"], "left_anti"))
-    return first.unionByName(confirmed(tried))
+    return links.unionByName(confirmed(across.join(tried, ["a", "b"], "left_anti")))

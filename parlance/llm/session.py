@@ -49,7 +49,7 @@ def salt(column: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(parts))
 
 
-def chunks(batches: Iterable, most: int = 8 << 20) -> Iterator:
+def chunks(batches: Iterable, most: int = 1 << 20) -> Iterator:
     """Joins small Arrow batches, and splits large ones, to about ``most`` bytes each."""
     import pyarrow as pa
 
