@@ -42,7 +42,6 @@ _GRAMS = LEAST - GRAM + 1
 SHARE = 16 << 20
 U = np.uint64
 _LAST = np.iinfo(np.int64).max
-_SUFFIX = np.dtype([("h", "<u8"), ("around", "<u4"), ("at", "<u2")])
 _FOUND = np.dtype([("doc", "<i8"), ("h", "<u8"), ("around", "<u4"), ("first", "u1")])
 _WINDOW = np.dtype([("h", "<u8"), ("start", "<u4"), ("at", "<u2")])
 _SPAN = np.dtype([("row", "<u8"), ("start", "<u4"), ("end", "<u4")])
@@ -144,6 +143,11 @@ class Samples:
     def bucket(self) -> np.ndarray:
         return self.pointer[self.place]
 
+    def named(self, buckets: int) -> np.ndarray:
+        """The part of the pointers that comes back from their buckets."""
+        h = self.bucket()
+        return ((h // U(buckets) & U((1 << 40) - 1)) * U(buckets) + h % U(buckets)) & U((1 << 40) - 1)
+
     def around(self) -> np.ndarray:
         """The pointer of all bytes of all windows that may hold the suffix, cut at the text's ends."""
         span = LEAST - GRAM
@@ -207,6 +211,35 @@ def _unpack(blobs: list[bytes], dtype: np.dtype) -> Iterator[tuple[np.ndarray, n
         yield np.frombuffer(blob, np.int64, size // 8, 8), np.frombuffer(blob, dtype, offset=8 + size)
 
 
+def pack_suffixes(h: np.ndarray, around: np.ndarray, at: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """One blob for each bucket: the doc_ids, and 9 bytes for each suffix besides its place among them.
+
+    A bucket is told by the remainder of the pointer, so 40 bits of the quotient are kept: pointers
+    that agree in those share a bucket, which their surroundings tell apart.
+    """
+    bucket, quotient = (h % U(buckets)).astype(np.int64), h // U(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    planes = quotient[order].view(np.uint8).reshape(-1, 8)[:, :5], around[order].astype(np.uint32), at[order].astype(np.uint16)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
+        yield 0, int(bucket[a]), len(ids).to_bytes(8, "little") + ids.tobytes() + b"".join(x[a:b].tobytes() for x in planes)
+
+
+def unpack_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quotients, surroundings and doc_ids of a bucket's suffixes."""
+    out = []
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        ids, at = np.frombuffer(blob, np.int64, n, 8), 8 + 8 * n
+        size = (len(blob) - at) // 11
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * size, at).reshape(-1, 5)
+        around = np.frombuffer(blob, np.uint32, size, at + 5 * size)
+        out.append((wide.view(U).ravel(), around, ids[np.frombuffer(blob, np.uint16, size, at + 9 * size)]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _small(part: pa.Table) -> Iterator[pa.Table]:
     for i in range(0, part.num_rows, 1 << 15):
         yield part.slice(i, 1 << 15)
@@ -220,21 +253,15 @@ def suffix_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
             s = Samples(data, offsets)
             if not len(s.place):
                 continue
-            rows = np.zeros(len(s.place), _SUFFIX)
-            rows["h"], rows["around"], rows["at"] = s.bucket(), s.around(), s.text
-            _, once = np.unique(K.mix(rows["h"] ^ K.mix((rows["around"].astype(U) << U(16)) + rows["at"])), return_index=True)
-            rows = rows[once]
-            yield _batch(list(_pack(0, (rows["h"] % U(buckets)).astype(np.int64), rows, _ids(part).tobytes())))
+            h, around, at = s.bucket(), s.around(), s.text
+            _, once = np.unique(K.mix(h ^ K.mix((around << U(16)) + at.astype(U))), return_index=True)
+            once.sort()
+            yield _batch(list(pack_suffixes(h[once], around[once], at[once], _ids(part), buckets)))
 
 
-def refine_bucket(blobs: list[bytes], groups: int) -> list[tuple[int, int, bytes]]:
+def refine_bucket(blobs: list[bytes], bucket: int, buckets: int, groups: int) -> list[tuple[int, int, bytes]]:
     """Step 2: sorts a bucket; what is repeated, or has to be refined further, for each group of documents."""
-    h, around, doc = [], [], []
-    for ids, rows in _unpack(blobs, _SUFFIX):
-        h.append(rows["h"])
-        around.append(rows["around"])
-        doc.append(ids[rows["at"]])
-    h, around, doc = (np.concatenate(x) for x in (h, around, doc))
+    h, around, doc = unpack_suffixes(blobs)
     # only suffixes that two documents hold
     order = np.argsort(h)
     h, around, doc = h[order], around[order], doc[order]
@@ -254,7 +281,8 @@ def refine_bucket(blobs: list[bytes], groups: int) -> list[tuple[int, int, bytes
     earliest = np.repeat(doc[kind], np.diff(np.append(np.flatnonzero(kind), len(h))))
     first = doc == earliest
     rows = np.zeros(len(h), _FOUND)
-    rows["doc"], rows["h"], rows["around"], rows["first"] = doc, h, around, first
+    rows["doc"], rows["around"], rows["first"] = doc, around, first
+    rows["h"] = (h * U(buckets) + U(bucket)) & U((1 << 40) - 1)
     rows = rows[~first | several]
     return list(_pack(1, rows["doc"] % groups, rows))
 
@@ -294,7 +322,7 @@ def mark_group(docs: pa.Table, found: list[bytes], buckets: int, groups: int) ->
             if not len(s.place):
                 continue
             ids = _ids(part)
-            own = _keys(ids[s.text], s.bucket(), s.around())
+            own = _keys(ids[s.text], s.named(buckets), s.around())
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             hit = keys[at] == own
             row = _row_keys(data, offsets, ids)
@@ -381,7 +409,7 @@ def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
         return pa.Table.from_batches([_batch(made)])
 
     suffixes = rows.select("doc_id", "text").mapInArrow(lambda it: suffix_batches(it, buckets), PACKED)
-    found = settle(suffixes.groupBy("bucket").applyInArrow(lambda t: table(refine_bucket(blobs(t), groups)), PACKED))
+    found = settle(suffixes.groupBy("bucket").applyInArrow(lambda k, t: table(refine_bucket(blobs(t), k[0].as_py(), buckets, groups)), PACKED))
     release(spark)
     marked = settle(
         narrow.groupBy("grp").cogroup(found.groupBy("bucket")).applyInArrow(lambda d, f: table(mark_group(d, blobs(f), buckets, groups)), PACKED)
