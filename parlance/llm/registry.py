@@ -22,6 +22,12 @@ def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.spot_signatures import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.reply_trees import conversation_digests
 
@@ -43,6 +49,7 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_text_density": op1_text_density,
+        "op5_spot_signatures": op5_spot_signatures,
         "op6_reply_trees": op6_reply_trees,
         "op8_bucket_refinement": op8_bucket_refinement,
         "op9_line_frequency": op9_line_frequency,
