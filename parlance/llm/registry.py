@@ -34,6 +34,12 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(table(spark, sf_dir, "conversations"))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.ppm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.bucket_refinement import remove_repeats
 
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_text_density": op1_text_density,
         "op5_spot_signatures": op5_spot_signatures,
         "op6_reply_trees": op6_reply_trees,
+        "op7_ppm": op7_ppm,
         "op8_bucket_refinement": op8_bucket_refinement,
         "op9_line_frequency": op9_line_frequency,
         "op10_minhash_hamming": op10_minhash_hamming,
