@@ -63,3 +63,35 @@ SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0)
     lambda i: x[2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1:2 * (CASE WHEN i = n THEN len(x) // 2 ELSE a[i + 1] END)]), '') END)) AS kept_sha256
 FROM d LEFT JOIN l USING (doc_id)
 """
+
+
+def _op2(rounds: int = 12) -> str:
+    powers = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+    steps = [
+        rf"""WITH n AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACES}')) AS BIGINT) AS n_tokens FROM documents),
+d AS MATERIALIZED (SELECT doc_id, source, lang, n_tokens, CASE WHEN contains(t, ' | ') THEN 'list' WHEN regexp_matches(t, '[%#*$&]{{3}}') THEN 'symbols'
+  WHEN n_tokens >= 300 THEN 'long' WHEN n_tokens >= 60 THEN 'medium' ELSE 'short' END AS topic FROM n),
+c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)"""
+    ]
+    for margin, power in powers.items():
+        steps.append(f"t_{margin} AS MATERIALIZED (SELECT {margin}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS target FROM c GROUP BY {margin} HAVING sum(tokens) > 0)")
+    last = "(SELECT *, 1.0::DOUBLE AS w FROM c)"
+    for k in range(rounds):
+        for margin in powers:
+            name = f"r{k}_{margin}"
+            steps.append(
+                f"{name} AS MATERIALIZED (SELECT * EXCLUDE (w, m, target), CASE WHEN m > 0 THEN w * coalesce(target, 0) / m ELSE 0 END AS w FROM (SELECT x.*, target, sum(tokens * w) OVER (PARTITION BY x.{margin}) AS m FROM {last} x LEFT JOIN t_{margin} USING ({margin})))"
+            )
+            last = name
+    return (
+        ",\n".join(steps)
+        + f""",
+p AS MATERIALIZED (SELECT *, w / max(w) OVER () AS p FROM {last})
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(w * 1e6, 9) AS weight, round(p, 9) AS probability,
+  CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / pow(2, 52) < p AS sampled
+FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""
+    )
+
+
+OP2 = _op2()

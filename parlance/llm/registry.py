@@ -22,6 +22,12 @@ def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.raking import mixing_report
+
+    return mixing_report(table(spark, sf_dir, "documents"))
+
+
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.spot_signatures import compare_with_next
 
@@ -55,6 +61,7 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_text_density": op1_text_density,
+        "op2_raking": op2_raking,
         "op5_spot_signatures": op5_spot_signatures,
         "op6_reply_trees": op6_reply_trees,
         "op7_ppm": op7_ppm,
@@ -66,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_raking": oracles.OP2,
         "op6_reply_trees": oracles.OP6,
         "op8_bucket_refinement": oracles.OP8,
         "op9_line_frequency": oracles.OP9,
