@@ -28,6 +28,12 @@ def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.cotraining import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.spot_signatures import compare_with_next
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_text_density": op1_text_density,
         "op2_raking": op2_raking,
+        "op3_cotraining": op3_cotraining,
         "op5_spot_signatures": op5_spot_signatures,
         "op6_reply_trees": op6_reply_trees,
         "op7_ppm": op7_ppm,
