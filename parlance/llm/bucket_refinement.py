@@ -14,7 +14,7 @@ window's bytes only. Equal windows hence have the same sampled suffix at the sam
    of all their windows), to the bucket of the suffix.
 2. A bucket sorts them. If surroundings are also in an earlier document, all windows of the suffix
    go. If a bucket has several surroundings, their first holders have to be refined further.
-3. Only for those, each window's pointer goes to a second bucket, which finds the earliest holder.
+3. Only for those, each window's pointer goes to the suffix's bucket, which finds the earliest holder.
 4. The documents meet what was found in them and are cut.
 
 Buckets travel as packed arrays, a few rows for each task, and hold about ``SHARE`` bytes of text.
@@ -43,7 +43,6 @@ SHARE = 16 << 20
 U = np.uint64
 _LAST = np.iinfo(np.int64).max
 _FOUND = np.dtype([("doc", "<i8"), ("h", "<u8"), ("around", "<u4"), ("first", "u1")])
-_WINDOW = np.dtype([("h", "<u8"), ("start", "<u4"), ("at", "<u2")])
 _SPAN = np.dtype([("row", "<u8"), ("start", "<u4"), ("end", "<u4")])
 PACKED = "kind int, bucket long, blob binary"
 
@@ -240,6 +239,45 @@ def unpack_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def pack_windows(s: Samples, pick: np.ndarray, ids: np.ndarray, row: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """One blob for each bucket of suffixes: 5 bytes for each window of the picked ones, which are told
+    apart from those of other suffixes by 5 more for each suffix."""
+    pick = pick[np.argsort(s.bucket()[pick] % U(buckets), kind="stable")]
+    h = s.bucket()[pick]
+    bucket, n = (h % U(buckets)).astype(np.int64), s.high[pick] - s.low[pick] + 1
+    start, pointer = s.windows(pick)
+    first = np.concatenate([[0], np.cumsum(n)])
+    low5 = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
+    planes = low5(h // U(buckets)), (s.low[pick] - s.offsets[s.text[pick]]).astype(np.uint32), s.text[pick].astype(np.uint16), n.astype(np.uint8)
+    last = low5(pointer)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(pick) else []
+    for a, b in zip(cut, [*cut[1:], len(pick)], strict=True):
+        head = len(ids).to_bytes(8, "little") + int(b - a).to_bytes(8, "little") + ids.tobytes() + row.tobytes()
+        yield 2, int(bucket[a]), head + b"".join(x[a:b].tobytes() for x in planes) + last[first[a] : first[b]].tobytes()
+
+
+def unpack_windows(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Pointers, starts, doc_ids and row keys of a bucket's windows."""
+    out = []
+
+    def wide(blob: bytes, n: int, at: int) -> np.ndarray:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(-1, 5)
+        return x.view(U).ravel()
+
+    for blob in blobs:
+        size, picks = (int.from_bytes(blob[k : k + 8], "little") for k in (0, 8))
+        ids, row = np.frombuffer(blob, np.int64, size, 16), np.frombuffer(blob, U, size, 16 + 8 * size)
+        at = 16 + 16 * size
+        h, start = wide(blob, picks, at), np.frombuffer(blob, np.uint32, picks, at + 5 * picks)
+        text, n = np.frombuffer(blob, np.uint16, picks, at + 9 * picks), np.frombuffer(blob, np.uint8, picks, at + 11 * picks).astype(np.int64)
+        total = int(n.sum())
+        pointer = wide(blob, total, at + 12 * picks)
+        within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        out.append((K.mix(pointer ^ K.mix(np.repeat(h, n))), np.repeat(start, n) + within, np.repeat(ids[text], n), np.repeat(row[text], n)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _small(part: pa.Table) -> Iterator[pa.Table]:
     for i in range(0, part.num_rows, 1 << 15):
         yield part.slice(i, 1 << 15)
@@ -289,25 +327,18 @@ def refine_bucket(blobs: list[bytes], bucket: int, buckets: int, groups: int) ->
 
 def refine_windows(blobs: list[bytes], groups: int) -> list[tuple[int, int, bytes]]:
     """Step 3: windows that an earlier document holds, for each group of documents."""
-    h, start, doc, row = [], [], [], []
-    for ids, rows in _unpack(blobs, _WINDOW):
-        ids = ids.reshape(2, -1)
-        h.append(rows["h"])
-        start.append(rows["start"])
-        doc.append(ids[0][rows["at"]])
-        row.append(ids[1][rows["at"]])
-    h, start, doc, row = (np.concatenate(x) for x in (h, start, doc, row))
+    h, start, doc, row = unpack_windows(blobs)
     order = np.argsort(h)
     at = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
     earliest = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(h))))
     gone = order[doc[order] > earliest]
     rows = np.zeros(len(gone), _SPAN)
-    rows["row"], rows["start"], rows["end"] = row[gone].view(U), start[gone], start[gone] + LEAST
+    rows["row"], rows["start"], rows["end"] = row[gone], start[gone], start[gone] + LEAST
     return list(_pack(3, doc[gone] % groups, rows))
 
 
 def mark_group(docs: pa.Table, found: list[bytes], buckets: int, groups: int) -> list[tuple[int, int, bytes]]:
-    """Between 2 and 3: spans of documents that are known to go, and windows to refine."""
+    """Between 2 and 3: spans of documents that are known to go, and windows to refine, by suffix."""
     have = np.concatenate([rows for _, rows in _unpack(found, _FOUND)]) if found else np.zeros(0, _FOUND)
     keys = _keys(have["doc"], have["h"], have["around"])
     order = np.argsort(keys)
@@ -330,13 +361,9 @@ def mark_group(docs: pa.Table, found: list[bytes], buckets: int, groups: int) ->
             spans = np.zeros(len(pick), _SPAN)
             base = offsets[s.text[pick]]
             spans["row"], spans["start"], spans["end"] = row[s.text[pick]], s.low[pick] - base, s.high[pick] + LEAST - base
-            out += _pack(3, ids[s.text[pick]] % groups, spans)
+            out += [(kind, -1 - group, blob) for kind, group, blob in _pack(3, ids[s.text[pick]] % groups, spans)]
             pick = np.flatnonzero(hit & (first[at] == 1))
-            start, pointer = s.windows(pick)
-            text = np.searchsorted(offsets, start, "right") - 1
-            rows = np.zeros(len(start), _WINDOW)
-            rows["h"], rows["start"], rows["at"] = pointer, start - offsets[text], text
-            out += _pack(2, (rows["h"] % U(buckets)).astype(np.int64), rows, np.concatenate([ids, row.view(np.int64)]).tobytes())
+            out += pack_windows(s, pick, ids, row, buckets)
     return out
 
 
@@ -411,12 +438,14 @@ def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
     suffixes = rows.select("doc_id", "text").mapInArrow(lambda it: suffix_batches(it, buckets), PACKED)
     found = settle(suffixes.groupBy("bucket").applyInArrow(lambda k, t: table(refine_bucket(blobs(t), k[0].as_py(), buckets, groups)), PACKED))
     release(spark)
-    marked = settle(
-        narrow.groupBy("grp").cogroup(found.groupBy("bucket")).applyInArrow(lambda d, f: table(mark_group(d, blobs(f), buckets, groups)), PACKED)
-    )
-    release(spark)
-    windows = marked.where("kind = 2").groupBy("bucket").applyInArrow(lambda t: table(refine_windows(blobs(t), groups)), PACKED)
-    spans = settle(marked.where("kind = 3").unionByName(windows))
+    marked = narrow.groupBy("grp").cogroup(found.groupBy("bucket")).applyInArrow(lambda d, f: table(mark_group(d, blobs(f), buckets, groups)), PACKED)
+
+    def refined(key: tuple, t: pa.Table) -> pa.Table:
+        """Windows become spans; spans pass, under the negative numbers of their groups."""
+        bucket = key[0].as_py()
+        return table([(3, -1 - bucket, b) for b in blobs(t)] if bucket < 0 else refine_windows(blobs(t), groups))
+
+    spans = settle(marked.groupBy("bucket").applyInArrow(refined, PACKED))
     release(spark)
     counts = "n_bytes long, n_removed long, n_spans long"
     if not text:
