@@ -1,11 +1,59 @@
-"""The corpus pipeline: quality, near copies, repeated passages, mixing and tokens, in this order."""
+"""The corpus pipeline: each stage takes what the one before it kept.
+
+1. ``quality``: documents that the co-trained classifier rejects go.
+2. ``near_duplicates``: of each group of near copies (five-word shingles, similarity 0.8) the document
+   with the smallest doc_id stays.
+3. ``repeated_passages``: passages of 50 bytes and more that an earlier document holds are cut out;
+   a document of which nothing is left but white space goes.
+4. ``mix``: documents are drawn with probabilities that bring the mix to the target weights.
+5. ``tokens``: the texts become SentencePiece ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.llm.bucket_refinement import remove_repeats
+from parlance.llm.cotraining import keep_good
+from parlance.llm.minhash_hamming import near_duplicates
+from parlance.llm.raking import mix
+from parlance.llm.wfst import encode
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id stay; equal rows of the doc_id that stays are one."""
+    gone = near_duplicates(docs, similarity=0.8).where(~F.col("kept")).select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(docs, text=True)
+    some = cut.where(r"text RLIKE '[^\\x20\\x09-\\x0D]'")
+    return some.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs).where("sampled").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode(docs)
+
 
-STAGES: list = []
-#: No SQL: the classifier, the signatures and the tokens can't be expressed.
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", first_of_group),
+    ("repeated_passages", repeated_passages),
+    ("mix", mixed),
+    ("tokens", tokens),
+]
+#: No SQL: the classifier's fit and the tokens can't be expressed; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
 

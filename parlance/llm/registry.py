@@ -34,6 +34,12 @@ def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.wfst import round_trips
+
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.spot_signatures import compare_with_next
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_text_density": op1_text_density,
         "op2_raking": op2_raking,
         "op3_cotraining": op3_cotraining,
+        "op4_wfst": op4_wfst,
         "op5_spot_signatures": op5_spot_signatures,
         "op6_reply_trees": op6_reply_trees,
         "op7_ppm": op7_ppm,

@@ -103,22 +103,21 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     ends, bucket = following(rows.select("doc_id"))
-    signed = rows.withColumn("own", signatures(F.col("text")))
     order = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), "text")
-    near = signed.withColumn("bucket", bucket).withColumn("next", F.lead(F.struct("text", "own")).over(order))
-    heads = ends.select("other").distinct().join(signed, F.col("other") == F.col("doc_id"))
-    heads = heads.groupBy("other").agg(F.min(F.struct("text", "own")).alias("head"))
-    joined = near.join(ends.join(heads, "other").select("bucket", "head"), "bucket", "left").withColumn("next", F.coalesce("next", "head"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left(F.coalesce("next.text", F.lit("")), half))
-    done = joined.select("doc_id", "n_chars", "own", F.col("next.own").alias("next"), edited.alias("edited"))
-    done = done.select("doc_id", "n_chars", "own", "next", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("edited")).alias("changed"))
+    dealt = rows.withColumn("bucket", bucket)  # texts are shuffled once; both uses below share that exchange
+    near = dealt.withColumn("after", F.lead("text").over(order))
+    heads = dealt.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(F.col("doc_id").alias("other"), F.col("text").alias("head"))
+    joined = near.join(ends.join(heads, "other").select("bucket", "head"), "bucket", "left")
+    joined = joined.select("doc_id", "text", F.coalesce("after", "head", F.lit("")).alias("after"), F.length("text").alias("n"))
+    half = F.floor(F.col("n") / 2).cast("int")
+    done = joined.withColumn("edited", F.concat(F.left("text", F.col("n") - half), F.left("after", half)))
+    done = done.select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("changed"), signatures(F.col("after")).alias("next")
+    )
     return done.select(
         F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.coalesce("next", F.array().cast("array<long>"))).alias("near_next"),
+        fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
 
 
