@@ -84,10 +84,13 @@ c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS
                 f"{name} AS MATERIALIZED (SELECT * EXCLUDE (w, m, target), CASE WHEN m > 0 THEN w * coalesce(target, 0) / m ELSE 0 END AS w FROM (SELECT x.*, target, sum(tokens * w) OVER (PARTITION BY x.{margin}) AS m FROM {last} x LEFT JOIN t_{margin} USING ({margin})))"
             )
             last = name
+    steps.append(f"f0 AS MATERIALIZED (SELECT 0.8 * sum(tokens) AS f, 0.8 * sum(tokens) AS wanted FROM {last})")
+    for k in range(12):
+        steps.append(f"f{k + 1} AS MATERIALIZED (SELECT any_value(f) * any_value(wanted) / sum(tokens * least(1.0, w * f)) AS f, any_value(wanted) AS wanted FROM {last}, f{k})")
     return (
         ",\n".join(steps)
         + f""",
-p AS MATERIALIZED (SELECT *, w / max(w) OVER () AS p FROM {last})
+p AS MATERIALIZED (SELECT source, lang, topic, w, least(1.0, w * f) AS p FROM {last}, f12)
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(w * 1e6, 9) AS weight, round(p, 9) AS probability,
   CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / pow(2, 52) < p AS sampled
 FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Tokens are summed in the cells (source, language, topic). Each round multiplies the cells' weights
-so that one margin after the other has its target share of the weighted tokens. The weights are then
-scaled to the largest that keeps every probability at 1 or less, and a document is kept if a hash of
-its id falls below its cell's probability, so the expected mix is the calibrated one.
+so that one margin after the other has its target share of the weighted tokens. A cell's probability
+is its weight times one factor, 1 at most, and the factor is set so that a share ``BUDGET`` of all
+tokens is expected to be kept. A document is kept if a hash of its id falls below its probability.
 
 Only the table of cells takes part in the rounds; texts are read once and not shuffled.
 """
@@ -18,6 +18,8 @@ from parlance.llm.session import prepare, settle
 #: Targets are shares of tokens to these powers, evened out again: 1 keeps a margin, 0 levels it.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS = 12
+#: The share of all tokens that is expected to be kept, and the steps that its factor is found in.
+BUDGET, STEPS = 0.8, 12
 #: Tables of cells up to this many rows (a row is under 200 bytes) are broadcast to the documents.
 BROADCAST_CELLS = 20_000
 _CELL = ["source", "lang", "topic"]
@@ -59,7 +61,17 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS) -
     return cells.drop(*(f"to {m}" for m in wanted))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, topic: Column | None = None) -> DataFrame:
+def sampling_factor(weighted: DataFrame, budget: float = BUDGET) -> float:
+    """The factor from weights to probabilities, of which none is over 1; found as one number a step."""
+    wanted = (weighted.agg(F.sum("tokens")).first()[0] or 0) * budget
+    factor = float(wanted)
+    for _ in range(STEPS):
+        kept = weighted.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * factor))).first()[0] or 0.0
+        factor = factor * wanted / kept if kept else 0.0
+    return factor
+
+
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, topic: Column | None = None, budget: float = BUDGET) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, source, lang and any others but these), and mix_source,
     mix_lang, mix_topic, n_tokens, weight, probability and sampled.
 
@@ -75,8 +87,8 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
     light = docs.select(*(c.alias(k) for k, c in names.items()), n.alias("n"))
     cells = settle(light.groupBy(_CELL).agg(F.sum("n").alias("tokens")))
     weighted = rake(cells, {m: targets(cells, m, p) for m, p in powers.items()}, rounds)
-    most = weighted.agg(F.max("weight")).first()[0] or 1.0
-    weighted = settle(weighted.select(*(F.col(c).alias(f"mix_{c}") for c in _CELL), "weight", (F.col("weight") / F.lit(most)).alias("probability")))
+    factor = sampling_factor(weighted, budget)
+    weighted = settle(weighted.select(*(F.col(c).alias(f"mix_{c}") for c in _CELL), "weight", F.least(F.lit(1.0), F.col("weight") * factor).alias("probability")))
     if weighted.count() <= BROADCAST_CELLS:
         weighted = F.broadcast(weighted)
     own = docs.withColumns({f"mix_{k}": c for k, c in names.items()} | {"n_tokens": n})
