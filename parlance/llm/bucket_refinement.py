@@ -242,6 +242,8 @@ def unpack_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def pack_windows(s: Samples, pick: np.ndarray, ids: np.ndarray, row: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """One blob for each bucket of suffixes: 5 bytes for each window of the picked ones, which are told
     apart from those of other suffixes by 5 more for each suffix."""
+    if not len(pick):
+        return
     pick = pick[np.argsort(s.bucket()[pick] % U(buckets), kind="stable")]
     h = s.bucket()[pick]
     bucket, n = (h % U(buckets)).astype(np.int64), s.high[pick] - s.low[pick] + 1
@@ -250,7 +252,7 @@ def pack_windows(s: Samples, pick: np.ndarray, ids: np.ndarray, row: np.ndarray,
     low5 = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
     planes = low5(h // U(buckets)), (s.low[pick] - s.offsets[s.text[pick]]).astype(np.uint32), s.text[pick].astype(np.uint16), n.astype(np.uint8)
     last = low5(pointer)
-    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(pick) else []
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for a, b in zip(cut, [*cut[1:], len(pick)], strict=True):
         head = len(ids).to_bytes(8, "little") + int(b - a).to_bytes(8, "little") + ids.tobytes() + row.tobytes()
         yield 2, int(bucket[a]), head + b"".join(x[a:b].tobytes() for x in planes) + last[first[a] : first[b]].tobytes()

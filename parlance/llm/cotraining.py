@@ -24,7 +24,7 @@ from parlance.llm import kernels as K
 from parlance.llm.session import chunks, prepare
 
 #: The most labelled documents and the most pool documents that the models are fitted on.
-LABELLED, POOL = 4000, 4000
+LABELLED, POOL = 2500, 2000
 ROUNDS = 3
 #: Documents that a view labels for the other in a round, as a share of the pool, and how sure it is.
 SHARE, SURE = 0.15, 0.95
@@ -114,7 +114,7 @@ class Dense:
         return errors @ self.rows
 
 
-def fit(view: Sparse | Dense, width: int, label: np.ndarray, weight: np.ndarray, steps: int = 150) -> np.ndarray:
+def fit(view: Sparse | Dense, width: int, label: np.ndarray, weight: np.ndarray, steps: int = 80) -> np.ndarray:
     """Weights and bias of a logistic model, by Adam on the whole (bounded) sample."""
     w = np.zeros(width + 1)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
