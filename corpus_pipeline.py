@@ -18,6 +18,7 @@ from parlance.llm.bucket_refinement import remove_repeats
 from parlance.llm.cotraining import keep_good
 from parlance.llm.minhash_hamming import near_duplicates
 from parlance.llm.raking import mix
+from parlance.llm.session import release, settle
 from parlance.llm.wfst import encode
 
 
@@ -27,7 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a doc_id stay; equal rows of the doc_id that stays are one."""
-    gone = near_duplicates(docs, similarity=0.8).where(~F.col("kept")).select("doc_id").distinct()
+    gone = settle(near_duplicates(docs, similarity=0.8).where(~F.col("kept")).select("doc_id").distinct())
+    release(spark)
     named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
