@@ -54,79 +54,73 @@ class Transducer:
         self.id = {p: i for i, p in enumerate(pieces) if model["plain"][i]}
         self.score = {p: model["scores"][i] for p, i in self.id.items()}
         self.byte = {int(p[3:-1], 16): i for i, p in enumerate(pieces) if model["bytes"][i]}
-        self.text = {i: p for p, i in self.id.items()}
-        self.from_byte = {i: b for b, i in self.byte.items()}
+        self.raw = [p.encode() for p in pieces]  # what a piece stands for
+        self.is_byte = np.array(model["bytes"])
+        for b, i in self.byte.items():
+            self.raw[i] = bytes((b,))
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece goes on past a word mark")
-        # the piece machine: a trie whose nodes say under "" which piece ends there
-        self.trie: dict = {}
-        for p in self.id:
-            if len(p) == 1 or self.merged(p) == [p]:  # merging makes it at all
-                node = self.trie
-                for c in p:
-                    node = node.setdefault(c, {})
-                node[""] = p
+        # the piece machine: the pieces that merging makes at all
+        self.real = {p for p in self.id if len(p) == 1 or self.merged(p) == [p]}
+        self.longest = max(map(len, self.real), default=1)
         self.fits: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves: the pair with the best score first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
+        parts, get = list(text), self.score.get
+        none = float("-inf")
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
         return parts
 
-    def arcs(self, word: str, at: int) -> list[str]:
-        """The pieces that the composed machine offers at a place, shortest first; a character without
-        a piece is offered as it is, for byte fallback."""
-        node, out = self.trie, []
-        for c in word[at:]:
-            node = node.get(c)
-            if node is None:
-                break
-            piece = node.get("")
-            if piece is not None:
-                out.append(piece)
-        if not out or len(out[0]) > 1:
-            out.insert(0, word[at])
-        return out
-
     def path(self, word: str) -> tuple[int, ...]:
         """The piece ids of the shortest path through a word's lattice.
 
         Weights are 0 or infinite and the path of weight 0 is unique, so the first that is found by
-        following long arcs first is the shortest; states that lead nowhere are not entered again.
+        following long arcs first is the shortest. From a place lead arcs for all pieces that begin
+        there, and one for a character without a piece, for byte fallback. States that lead nowhere are
+        not entered again.
         """
-        n, fits = len(word), self.fits
+        n, fits, real, longest = len(word), self.fits, self.real, self.longest
         if len(fits) > 4 * KEPT:
             fits.clear()
-        pieces, places, left, dead = [""], [0], [self.arcs(word, 0)], set()
-        while places[-1] < n:
-            last, at, offers = pieces[-1], places[-1], left[-1]
-            while offers:
-                piece = offers.pop()
+        pieces, left, dead = [""], [], set()
+        last, at, size = "", 0, min(n, longest)
+        while at < n:
+            while size:
+                piece = word[at : at + size]
+                size -= 1
+                if piece not in real and size:
+                    continue
                 if last:
                     good = fits.get((last, piece))
                     if good is None:
                         good = fits[last, piece] = self.merged(last + piece) == [last, piece]
-                    if not good or dead and (at, piece) in dead:
+                    if not good:
                         continue
-                elif dead and (at, piece) in dead:
+                if dead and (at, piece) in dead:
                     continue
+                left.append(size)
                 pieces.append(piece)
-                places.append(at + len(piece))
-                left.append(self.arcs(word, places[-1]) if places[-1] < n else [])
+                at += len(piece)
+                last, size = piece, min(n - at, longest)
                 break
             else:
-                pieces.pop(), places.pop(), left.pop()
-                dead.add((places[-1], last))
+                pieces.pop()
+                at -= len(last)
+                dead.add((at, last))
+                last, size = pieces[-1], left.pop()
         out: list[int] = []
         for piece in pieces[1:]:
             i = self.id.get(piece)
@@ -155,7 +149,7 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids: the inverse machine, bytes joined and the mark before the text gone."""
-        raw = b"".join(bytes((self.from_byte[i],)) if i in self.from_byte else self.text[i].encode() for i in ids)
+        raw = b"".join(map(self.raw.__getitem__, ids))
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
@@ -204,8 +198,8 @@ def round_trips(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
             rows = []
             for text in part.column(1).to_pylist():
                 ids = machine.encode(text)
-                fallback = sum(i in machine.from_byte for i in ids)
-                rows.append((len(ids), fallback, hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), machine.decode(ids) == text))
+                numbers = np.array(ids, "<i4")
+                rows.append((len(ids), int(machine.is_byte[numbers].sum()), hashlib.sha256(numbers.tobytes()).hexdigest(), machine.decode(ids) == text))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([_flat(part.column(0)), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "n_bytes", "tokens_sha256", "exact"])
