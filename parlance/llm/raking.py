@@ -1,9 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Tokens are summed in the cells (source, language, topic). Each round multiplies the cells' weights
-so that one margin after the other has its target share of the weighted tokens. A cell's probability
-is its weight times one factor, 1 at most, and the factor is set so that a share ``BUDGET`` of all
-tokens is expected to be kept. A document is kept if a hash of its id falls below its probability.
+so that one margin after the other has its target share of the weighted tokens. The weights are then
+scaled to the largest, so probabilities are in proportion to the weights and the expected mix is the
+raked one. A document is kept if a hash of its id falls below its cell's probability.
+
+With a budget, one factor is set instead so that this share of all tokens is expected to be kept.
+Probabilities are cut at 1 then, and the mix misses the targets. ``mixing_report`` does so with
+``BUDGET``, as its SQL does.
 
 Only the table of cells takes part in the rounds; texts are read once and not shuffled.
 """
@@ -18,7 +22,7 @@ from parlance.llm.session import prepare, settle
 #: Targets are shares of tokens to these powers, evened out again: 1 keeps a margin, 0 levels it.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS = 12
-#: The share of all tokens that is expected to be kept, and the steps that its factor is found in.
+#: The share of all tokens that the report's draw is expected to keep, and the steps that its factor is found in.
 BUDGET, STEPS = 0.8, 12
 #: Tables of cells up to this many rows (a row is under 200 bytes) are broadcast to the documents.
 BROADCAST_CELLS = 20_000
@@ -62,7 +66,7 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS) -
 
 
 def sampling_factor(weighted: DataFrame, budget: float = BUDGET) -> float:
-    """The factor from weights to probabilities, of which none is over 1; found as one number a step."""
+    """The factor from weights to probabilities, cut at 1, that keeps ``budget`` of all tokens; found as one number a step."""
     wanted = (weighted.agg(F.sum("tokens")).first()[0] or 0) * budget
     factor = float(wanted)
     for _ in range(STEPS):
@@ -71,7 +75,7 @@ def sampling_factor(weighted: DataFrame, budget: float = BUDGET) -> float:
     return factor
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, topic: Column | None = None, budget: float = BUDGET) -> DataFrame:
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, topic: Column | None = None, budget: float | None = None) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, source, lang and any others but these), and mix_source,
     mix_lang, mix_topic, n_tokens, weight, probability and sampled.
 
@@ -87,7 +91,11 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
     light = docs.select(*(c.alias(k) for k, c in names.items()), n.alias("n"))
     cells = settle(light.groupBy(_CELL).agg(F.sum("n").alias("tokens")))
     weighted = rake(cells, {m: targets(cells, m, p) for m, p in powers.items()}, rounds)
-    factor = sampling_factor(weighted, budget)
+    if budget is None:
+        most = weighted.where("tokens > 0").agg(F.max("weight")).first()[0]
+        factor = 1 / most if most else 0.0
+    else:
+        factor = sampling_factor(weighted, budget)
     weighted = settle(weighted.select(*(F.col(c).alias(f"mix_{c}") for c in _CELL), "weight", F.least(F.lit(1.0), F.col("weight") * factor).alias("probability")))
     if weighted.count() <= BROADCAST_CELLS:
         weighted = F.broadcast(weighted)
@@ -100,6 +108,6 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     """The decision on each document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled."""
-    return mix(docs.select("doc_id", "text", "source", "lang")).select(
+    return mix(docs.select("doc_id", "text", "source", "lang"), budget=BUDGET).select(
         "doc_id", *(F.col(f"mix_{c}").alias(c) for c in _CELL), "n_tokens", F.round(F.col("weight") * 1e6, 9).alias("weight"), F.round("probability", 9).alias("probability"), "sampled"
     )

@@ -159,6 +159,20 @@ def test_raking_reaches_its_margins(spark, odd, odd_rows, nothing):
     assert raking.mix(nothing).count() == 0
 
 
+def test_drawn_mix_reaches_the_targets(spark):
+    r = random.Random(3)
+    rows = [(i, "w " * r.choice([5, 80, 400]) + r.choice(["", " | ", "%%%"]), r.choice("aaaaab"), r.choice("xxxy")) for i in range(600)]
+    drawn = raking.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    for margin, power in raking.POWERS.items():
+        whole, kept = collections.Counter(), collections.Counter()
+        for x in drawn:
+            whole[x[f"mix_{margin}"]] += x.n_tokens
+            kept[x[f"mix_{margin}"]] += x.n_tokens * x.probability
+        evened = {k: n**power for k, n in whole.items()}
+        assert all(math.isclose(kept[k] / sum(kept.values()), n / sum(evened.values()), rel_tol=1e-3) for k, n in evened.items())
+    assert max(x.probability for x in drawn) == 1
+
+
 def test_quality_held_out(spark, odd, odd_rows, nothing):
     r = random.Random(2)
     good = lambda: " ".join(r.choice("the river runs past old stone houses and green fields".split()) for _ in range(80)) + "."
