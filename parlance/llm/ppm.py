@@ -6,10 +6,10 @@ escapes to the next shorter one (method D: each distinct follower gives half a c
 and bytes that the longer context has seen are excluded there. The code length of a document is the
 sum over its bytes and an end symbol.
 
-The trie is a row for each node while it is counted. For scoring it goes to all executors as hash
-tables of at most ``NODES`` nodes for each order: beyond that the rarest nodes of an order are left
-out, and their weight goes to the escape. A first table has the finished probability of each node at
-the highest order, so most bytes take one look-up.
+The trie grows with the corpus and is never in one place. Its grams are dealt to buckets by the last
+``DEALT`` bytes of their contexts, which a context has in common with all longer ones, so a bucket has
+each of its contexts whole; only the orders below that go to all executors. Blocks of documents send
+each bucket their distinct grams once, get the scores back and look their bytes up in them.
 
 The unigram base model is counted exactly: words meet in buckets as packed arrays, and each bucket
 returns, for each document, its share of the score.
@@ -18,10 +18,11 @@ returns, for each document, its share of the score.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ from parlance.llm.session import chunks, prepare, release, settle
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Nodes kept for each order; a hash table of so many takes under 100 MB.
-NODES = 1 << 20
+#: Contexts meet by their last bytes; shorter contexts are known everywhere.
+DEALT = 3
+#: Bytes of text whose distinct grams are scored together.
+BLOCK = 8 << 20
 #: Bytes of text for each bucket of words.
 SHARE = 32 << 20
 U = np.uint64
@@ -162,10 +165,11 @@ class Model:
                 numbers = np.stack([log(kinds / 2) - log(total), log(rest), np.where(others > 0, log(others / 2) - log(rest), 0.0)], 1)
             self.grams.append(table)
             self.contexts.append(Table(own))
-            self.log_count.append(log(counts - 0.5))
-            self.direct.append(log(counts - 0.5) - log(total)[row])
-            self.numbers.append(numbers)
-            below = {"table": table, "counts": counts.astype(float), "contexts": self.contexts[-1], "total": total, "kinds": kinds}
+            # a last row of zeros is that of what is not found
+            self.log_count.append(np.append(log(counts - 0.5), 0.0))
+            self.direct.append(np.append(log(counts - 0.5) - log(total)[row], 0.0))
+            self.numbers.append(np.append(numbers, np.zeros((1, 3)), 0))
+            below = {"table": table, "counts": np.append(counts, 0.0), "contexts": self.contexts[-1], "total": np.append(total, 0.0), "kinds": np.append(kinds, 0.0)}
         self.unseen = -np.log10(max(256 - len(levels[0][0]), 1))
 
     def score(self, grams: np.ndarray) -> np.ndarray:
@@ -198,27 +202,125 @@ class Model:
         return out
 
 
-def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of the trie of the training documents among (doc_id, text) rows, by order."""
-    grams = settle(docs.mapInArrow(count_batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    levels = []
-    for order in range(ORDER + 1):
-        nodes = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")) if order < ORDER else grams
-        nodes = settle(nodes)
-        least = 1
-        if nodes.count() > NODES:  # the smallest count that leaves few enough
-            sizes = nodes.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
-            kept = 0
-            for row in sizes:
-                kept += row["k"]
-                if kept > NODES:
-                    least = row["n"] + 1
-                    break
-        found = nodes.where(F.col("n") >= least).toArrow()
-        keys, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
-        sort = np.argsort(keys)
-        levels.append((keys[sort].view(U), counts[sort]))
-    return levels
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(gram, n): the highest order of the trie of the training documents among (doc_id, text) rows."""
+    return settle(docs.mapInArrow(count_batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+
+
+def low_levels(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of the orders below ``DEALT``, whole."""
+    nodes = settle(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * DEALT) - 1)).alias("gram")).agg(F.sum("n").alias("n"))).toArrow()
+    keys, counts = (nodes.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+    return [summed(keys.view(U) & U((1 << 8 * (order + 1)) - 1), counts) for order in range(DEALT)]
+
+
+def bucket_model(grams: np.ndarray, counts: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray) -> Model:
+    """The model of a bucket that has all of the trie's grams in the contexts of the ``asked`` ones."""
+    levels = list(low)
+    if DEALT > 1:
+        context = U((1 << 8 * (DEALT - 1)) - 1)
+        own = np.isin(low[-1][0] >> U(8), np.unique(np.concatenate([grams, asked]) >> U(8) & context))
+        levels[-1] = low[-1][0][own], low[-1][1][own]
+    return Model(levels + [summed(grams & U((1 << 8 * (order + 1)) - 1), counts) for order in range(DEALT, ORDER + 1)])
+
+
+def dealt(grams: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """The places of each bucket's grams, in order."""
+    own = ((grams >> U(8) & U((1 << 8 * DEALT) - 1)) * U(_ODD) >> U(32)) % U(buckets)
+    order = np.argsort(own, kind="stable")
+    return np.split(order, np.searchsorted(own[order], np.arange(1, buckets, dtype=U)))
+
+
+def node_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(gram, n) rows by bucket (kind 5)."""
+    for part in chunks(batches, 8 << 20):
+        grams, counts = (part.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+        own = dealt(grams.view(U), buckets)
+        yield _batch([(k, 5, len(at), grams[at].tobytes() + counts[at].tobytes()) for k, at in enumerate(own) if len(at)])
+
+
+def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (doc_id, text) rows, as one row each (kind 7)."""
+    task = TaskContext.get().partitionId()
+    for k, part in enumerate(chunks(batches, BLOCK)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(part)
+        yield _batch([(-1 - (task << 24 | k), 7, 0, sink.getvalue().to_pybytes())])
+
+
+def _block(blob: bytes) -> pa.Table:
+    with pa.ipc.open_stream(blob) as reader:
+        return reader.read_all().combine_chunks()
+
+
+def gram_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The distinct grams of blocks by bucket (kind 6)."""
+    for batch in batches:
+        for key, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            grams = block_grams(_block(blob))
+            yield _batch([(b, 6, -1 - key, squeezed(grams[at])) for b, at in enumerate(dealt(grams, buckets)) if len(at)])
+
+
+def squeezed(grams: np.ndarray) -> bytes:
+    """Grams in order, as compressed byte planes of their differences."""
+    planes = np.ascontiguousarray(np.diff(grams, prepend=U(0)).view(np.uint8).reshape(-1, 8).T)
+    return len(grams).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def spread(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+
+
+def block_grams(part: pa.Table) -> np.ndarray:
+    """The distinct grams of (doc_id, text) rows, in order."""
+    found = [np.zeros(0, U)]
+    for a in range(0, part.num_rows, 512):
+        found.append(np.unique(padded(*K.buffers(part.column(1).slice(a, 512).combine_chunks()))[0]))
+    return np.unique(np.concatenate(found))
+
+
+def score_bucket(bucket: int, kinds: list[int], ns: list[int], blobs: list[bytes], low: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, bytes]]:
+    """The scores of each block's grams in a bucket (kind 8), in the grams' order."""
+    asked = [(n, spread(b)) for k, n, b in zip(kinds, ns, blobs, strict=True) if k == 6]
+    if not asked:
+        return []
+    nodes = [(np.frombuffer(b, U, n), np.frombuffer(b, np.int64, n, 8 * n)) for k, n, b in zip(kinds, ns, blobs, strict=True) if k == 5]
+    grams = np.concatenate([np.zeros(0, U), *(x for x, _ in nodes)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in nodes)])
+    every = np.unique(np.concatenate([x for _, x in asked]))
+    score = bucket_model(grams, counts, low, every).score(every)
+    return [(-1 - block, 8, bucket, score[np.searchsorted(every, x)].tobytes()) for block, x in asked]
+
+
+class Known:
+    """The scores of a block's grams."""
+
+    def __init__(self, part: pa.Table, scores: dict[int, bytes], buckets: int):
+        grams = block_grams(part)
+        self.table, self.scores = Table(grams), np.zeros(len(grams))
+        for k, at in enumerate(dealt(grams, buckets)):
+            if len(at):
+                self.scores[at] = np.frombuffer(scores[k], float)
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        return self.scores[self.table.find(grams)]
+
+
+def score_block(kinds: list[int], ns: list[int], blobs: list[bytes], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+    part = _block(blobs[kinds.index(7)])
+    scores = {n: b for k, n, b in zip(kinds, ns, blobs, strict=True) if k == 8}
+    return score_batches(part.to_batches(), Known(part, scores, buckets), buckets, groups)
 
 
 _SCORE = np.dtype([("row", "<u8"), ("doc", "<i8"), ("null", "u1"), ("held", "u1"), ("words", "<i8"), ("score", "<f8")])
@@ -231,7 +333,7 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "kind", "n", "blob"])
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+def score_batches(batches: Iterable[pa.RecordBatch], model: Model | Known, buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
     """Packed words of (doc_id, text) rows by bucket (kind 0), and PPM scores by group (kind 1)."""
     for big in chunks(batches, 1 << 21):
         for at in range(0, big.num_rows, 1 << _AT):
@@ -336,33 +438,32 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = groups = max(12, -(-total // SHARE))
-    levels = spark.sparkContext.broadcast(train(rows))
+    grams = count_grams(rows)
+    low = spark.sparkContext.broadcast(low_levels(grams))
     release(spark)
 
-    def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return score_batches(it, _model(levels), buckets, groups)
+    def bucket_scored(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_batch(score_bucket(key[0].as_py(), *(t.column(c).to_pylist() for c in ("kind", "n", "blob")), low.value))])
+
+    def block_scored(t: pa.Table) -> pa.Table:
+        out = list(score_block(*(t.column(c).to_pylist() for c in ("kind", "n", "blob")), buckets, groups))
+        return pa.Table.from_batches(out or [_batch([])])
 
     def counted(key: tuple, t: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return t.select(["bucket", "kind", "n", "blob"])
         return pa.Table.from_batches([_batch(count_bucket(key[0].as_py(), t.column("blob").to_pylist(), t.column("n").to_pylist(), groups))])
 
-    shares = settle(rows.mapInArrow(scored, PACKED).groupBy("bucket").applyInArrow(counted, PACKED))
+    # settled, as a block is what one run of its task has read
+    blocks = settle(rows.mapInArrow(block_batches, PACKED))
+    asked = blocks.mapInArrow(lambda it: gram_batches(it, buckets), PACKED)
+    nodes = grams.mapInArrow(lambda it: node_batches(it, buckets), PACKED)
+    scores = asked.unionByName(nodes).groupBy("bucket").applyInArrow(bucket_scored, PACKED)
+    scored = blocks.unionByName(scores).groupBy("bucket").applyInArrow(block_scored, PACKED)
+    shares = settle(scored.groupBy("bucket").applyInArrow(counted, PACKED))
     release(spark)
     sums = {r["kind"]: r["n"] for r in shares.where("kind > 2").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(_FOLD)) == _HELD
     ends = rows.where(~held).count()
     tokens, distinct = sums.get(3, 0) + ends, sums.get(4, 0) + (ends > 0)
     return shares.where("kind < 3").groupBy("bucket").applyInArrow(lambda t: finish_group(t.column("kind").to_pylist(), t.column("blob").to_pylist(), tokens, distinct, ends), OUT)
-
-
-_kept: dict[str, Model] = {}
-
-
-def _model(levels) -> Model:
-    """The tables of a broadcast trie, built once for each Python worker."""
-    name = str(getattr(levels, "_path", ""))
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = Model(levels.value)
-    return _kept[name]

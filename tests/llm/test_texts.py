@@ -145,6 +145,26 @@ def test_scores_and_base_model(spark, odd, odd_rows, nothing):
     assert ppm.score_documents(nothing).count() == 0
 
 
+def test_ppm_keeps_all_nodes(spark):
+    from parlance.llm import kernels
+
+    r = random.Random(4)
+    rows = [(i, "".join(r.choices("abcdefghijklmnopqrst ", k=60_000))) for i in range(30)] + [(100 + i, "kept words " + str(i)) for i in range(20)]
+    held = ppm.held_out([d for d, _ in rows])
+    levels = _levels(ppm.padded(*kernels.buffers(pa.array([t for (_, t), h in zip(rows, held, strict=True) if not h])))[0])
+    assert len(levels[-1][0]) > 1 << 20
+    model = ppm.Model(levels)
+    want = {d: model.score(ppm.padded(*kernels.buffers(pa.array([t])))[0]).sum() for d, t in rows}
+    got = {x.doc_id: x.score for x in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
+
+
+def test_ppm_without_training_documents(spark):
+    d = next(i for i in range(100) if ppm.held_out([i])[0])
+    out = ppm.score_documents(spark.createDataFrame([(d, "abc")], "doc_id long, text string")).collect()
+    assert math.isclose(out[0].score, -4 * math.log10(256), rel_tol=1e-9)
+
+
 def test_raking_reaches_its_margins(spark, odd, odd_rows, nothing):
     r = random.Random(1)
     cells = spark.createDataFrame([(s, l, t, r.randrange(1, 1000)) for s in "abc" for l in "xy" for t in "pq"], "source string, lang string, topic string, tokens long")
