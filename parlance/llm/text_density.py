@@ -6,7 +6,7 @@ logarithm of how few of them are links (base and argument as in the composite te
 Song and Liao, 2011). The node with the largest sum of its children's densities is the core. The
 least density on the path from the body to the core is the threshold: what stands beside the path,
 below the body, is kept from that density on. A core inside an article or main element stands for
-that whole element.
+that whole element, and articles beside an article are kept from the threshold on.
 """
 
 from __future__ import annotations
@@ -193,10 +193,15 @@ def main_text(page: str | None) -> str:
         path.append(dom.parent[path[-1]])
     whole = [i for i in path if dom.tag[i] in ("article", "main")]
     keep = [False] * n
+    threshold = min(density[i] for i in path)
     if whole:
-        keep[whole[0]] = True
+        own = whole[0]
+        keep[own] = True
+        if dom.tag[own] == "article":
+            for i in nodes:
+                if dom.tag[i] == "article" and dom.parent[i] == dom.parent[own] and density[i] >= threshold:
+                    keep[i] = True
     else:
-        threshold = min(density[i] for i in path)
         keep[core] = True
         beside = set(path[1:-1]) - {body}
         for i in nodes:

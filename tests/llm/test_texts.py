@@ -38,6 +38,12 @@ def test_main_text_cases(page, text):
     assert text_density.main_text(page) == text
 
 
+def test_articles_beside_the_core_stay():
+    parts = ["".join(f"<p>{c * 200}</p>" for _ in range(n)) for c, n in (("a", 5), ("b", 5))]
+    page = "<body><main><article>{}</article><article>{}</article></main></body>".format(*parts)
+    assert text_density.main_text(page).split("\n\n") == ["a" * 200] * 5 + ["b" * 200] * 5
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, None), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     out = text_density.extract_pages(pages).collect()
