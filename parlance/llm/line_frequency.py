@@ -63,6 +63,16 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.concatenate([[0], np.cumsum(n)])
 
 
+def line_hashes(low: K.Words, start: np.ndarray, end: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The first word and the word after the last of each line, and the hashes of normalised lines."""
+    at = np.searchsorted(low.start, start), np.searchsorted(low.start, end)
+    rank = np.arange(len(low.hash))
+    total = np.zeros(len(rank) + 1, np.uint64)
+    np.cumsum(low.hash * K.powers(K._STEP, len(rank)), out=total[1:])
+    back = K.powers(pow(K._STEP, -1, 1 << 64), len(rank) + 1)
+    return at, K.mix((total[at[1]] - total[at[0]]) * back[at[0]] + (at[1] - at[0]).astype(np.uint64)).view(np.int64)
+
+
 def profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches):
         data, offsets = K.buffers(part.column(2))
@@ -70,12 +80,7 @@ def profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         point = K.code_points(data)
         ink = point * ~K.SPACE[data]
         start, end, first = line_spans(data, offsets)
-        at = np.searchsorted(low.start, start), np.searchsorted(low.start, end)
-        rank = np.arange(len(low.hash))
-        total = np.zeros(len(rank) + 1, np.uint64)
-        np.cumsum(low.hash * K.powers(K._STEP, len(rank)), out=total[1:])
-        back = K.powers(pow(K._STEP, -1, 1 << 64), len(rank) + 1)
-        normal = K.mix((total[at[1]] - total[at[0]]) * back[at[0]] + (at[1] - at[0]).astype(np.uint64)).view(np.int64)
+        at, normal = line_hashes(low, start, end)
         raw = K.span_hash(data, start, end)
         seen = np.zeros(len(data) + 1, np.int64)
         np.cumsum(ink, out=seen[1:])
@@ -123,3 +128,27 @@ def line_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = M
         "doc_id", *_COUNTS, failed.alias("base_failed"), (~failed & (F.col("word_chars") - removed >= min_left * F.col("word_chars"))).alias("kept"),
         removed.cast("long").alias("removed_chars"), F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines"),
     )
+
+
+def without_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, kept, removed_lines) rows with those lines taken out of the text."""
+    for part in chunks(batches):
+        data, offsets = K.buffers(part.column(1))
+        start, end, first = line_spans(data, offsets)
+        at, normal = line_hashes(K.words(data, offsets), start, end)
+        texts = []
+        for i, gone in enumerate(part.column(3).to_pylist()):
+            own = slice(first[i], first[i + 1])
+            stays = ~(np.isin(normal[own], np.array(gone, np.int64)) & (at[1][own] > at[0][own]))
+            texts.append(b"\n".join(data[a:b].tobytes() for a, b in zip(start[own][stays], end[own][stays], strict=True)).decode())
+        ids, kept = (part.column(k).combine_chunks() for k in (0, 2))
+        ids, kept = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, kept))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), kept], names=["doc_id", "text", "kept"])
+
+
+def remaining_texts(docs: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, its text without the lines above the limit, and kept."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("source", "text"))  # equal texts of a host have the same lines removed
+    verdicts = line_verdicts(rows, key="row", **limits).select(F.col("doc_id").alias("row"), "kept", "removed_lines").dropDuplicates(["row"])
+    return rows.join(verdicts, "row").select("doc_id", "text", "kept", "removed_lines").mapInArrow(without_batches, "doc_id long, text string, kept boolean")

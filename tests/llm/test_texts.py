@@ -88,6 +88,13 @@ def test_line_counts(odd_rows):
         assert tuple(row[c] for c in line_frequency._COUNTS) == want
 
 
+def test_texts_without_frequent_lines(spark, odd, odd_rows):
+    rows = [(i, f"own é {i}\n\nShared  LINE\nend {i}", "a") for i in range(6)] + [(9, "shared line\nx", "b"), (None, None, "b")]
+    out = line_frequency.remaining_texts(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=4).collect()
+    assert {x.doc_id: x.text for x in out} == {i: f"own é {i}\n\nend {i}" for i in range(6)} | {9: "shared line\nx", None: ""}
+    assert line_frequency.remaining_texts(odd).count() == len(odd_rows)
+
+
 def test_frequent_lines_go(spark, odd, odd_rows, nothing):
     own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     rows = [(i, own(i, 60) + "\nThe  common LINE here", "h") for i in range(6)] + [(10 + i, "The common line here " * 1 + "\n" + own(i, 60), "other") for i in range(2)]
