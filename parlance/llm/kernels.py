@@ -132,3 +132,40 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return np.diff(total[offsets])
+
+
+class Table:
+    """A hash table from 64-bit keys to rows of numbers, probed for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, ~U(0))
+        self.rows = np.zeros(1 << bits, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] == ~U(0)
+            first = np.zeros(len(left), bool)
+            first[np.unique(at[left], return_index=True)[1]] = True
+            put = left[free & first]
+            self.keys[at[put]], self.rows[at[put]] = keys[put], put
+            left = left[~(free & first)]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        at = self._slot(keys)
+        got = self.keys[at]
+        hit = got == keys
+        out = np.where(hit, self.rows[at], -1)
+        left = np.flatnonzero(~hit & (got != ~U(0)))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            got = self.keys[at[left]]
+            hit = got == keys[left]
+            out[left[hit]] = self.rows[at[left[hit]]]
+            left = left[~hit & (got != ~U(0))]
+        return out

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,15 @@ ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets the checkpoint folder where none is set, and bounds Arrow batches."""
+    """Sets the checkpoint folder where none is set, and bounds Arrow batches.
+
+    A cluster names its shared folder in spark.checkpoint.dir; only a local session gets one of its own.
+    """
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master().split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="parlance-checkpoint-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -55,10 +63,39 @@ def salt(column: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(parts))
 
 
+def flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    column = column.combine_chunks()
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def give_back() -> None:
+    """Returns memory that this Python worker no longer uses, as Spark keeps idle workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(task: Callable) -> Callable:
+    """A generator of Arrow batches, or a function of Arrow tables, after which its worker gives memory back."""
+
+    @functools.wraps(task)
+    def stream(batches: Iterable) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return stream
+
+
 def chunks(batches: Iterable, most: int = 1 << 20) -> Iterator:
     """Joins small Arrow batches, and splits large ones, to about ``most`` bytes each."""
-    import pyarrow as pa
-
     held, size = [], 0
     for batch in batches:
         if batch.nbytes > 2 * most and batch.num_rows > 1:
