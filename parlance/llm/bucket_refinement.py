@@ -1,22 +1,27 @@
 """Removal of passages that an earlier document holds, by bucket-pointer refinement.
 
-Suffixes are put in buckets by their first bytes, and a bucket is refined by the bucket pointers of
-later offsets: a pointer for 8 bytes is made of two for 4, one for 16 of two for 8, and so on up to
-20, 40, 50 and 80, each level reusing the one below. Pointers are 64-bit hashes of what they stand
-for instead of ranks, so that all executors make the same ones without a global sort; buckets are
-then sorted and refined where they meet.
-
-A corpus has too many suffixes to shuffle, so the first level keeps a sample that is enough: in each
-window of ``LEAST`` bytes the ``GRAM``-byte suffix with the least pointer, which depends on the
-window's bytes only. Equal windows hence have the same sampled suffix at the same place.
-
-1. Every document sends its sampled suffixes, with the pointer of their whole surroundings (all bytes
-   of all their windows), to the bucket of the suffix.
+Suffixes are put in buckets by their first ``GRAM`` bytes, and buckets are refined by sorting on the
+bucket pointers of later (and earlier) offsets until windows of ``LEAST`` bytes are told apart.
+
+A corpus has too many suffixes to shuffle them all, so the first level keeps a sample that is enough:
+in each window of ``LEAST`` bytes the ``GRAM``-byte suffix that is least in a fixed order of grams.
+The order depends on the window's bytes only, so equal windows have the same sampled suffix at the
+same place. Grams that many documents hold come last in it: a common phrase is sampled only where a
+window has nothing else, so its bucket doesn't grow with the corpus.
+
+1. Every block of texts sends its sampled suffixes, with the pointer of their whole surroundings (all
+   bytes of all their windows), to the bucket of the suffix; of those with equal surroundings only the
+   one of the smallest doc_id, the windows of the others go at once.
 2. A bucket sorts them. If surroundings are also in an earlier document, all windows of the suffix
    go. If a bucket has several surroundings, their first holders have to be refined further.
-3. Only for those, each window's pointer goes to the suffix's bucket, which finds the earliest holder.
+3. Only those send the bytes of their windows to the bucket, which is refined there on the bytes:
+   ``window_pointers`` starts from 8-byte buckets and sorts each bucket that isn't down to one suffix
+   on the pointers 8, 16 and 18 bytes on, updated pointers serving the next round.
 4. The documents meet what was found in them and are cut.
 
+Step 3 compares bytes. In step 2 two surroundings are the same if 64 bits of their pointer, and 40 and
+the number of the bucket of their suffix's agree: 104 bits and more.
+
 Buckets travel as packed arrays, a few rows for each task, and hold about ``SHARE`` bytes of text.
 """
 
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import kernels as K
-from parlance.llm.session import chunks, prepare, release, settle
+from parlance.llm.session import chunks, flat, give_back, lean, prepare, release, settle
 
 #: Bytes of the shortest passage that is removed.
 LEAST = 50
@@ -41,8 +46,9 @@ _GRAMS = LEAST - GRAM + 1
 #: Bytes of text for each bucket.
 SHARE = 16 << 20
 U = np.uint64
-_LAST = np.iinfo(np.int64).max
-_FOUND = np.dtype([("doc", "<i8"), ("h", "<u8"), ("around", "<u4"), ("first", "u1")])
+#: Grams in more than one of so many sampled suffixes come last in the order; at most as many go to all executors.
+HOT = 1 << 13
+_FOUND = np.dtype([("doc", "<i8"), ("h", "<u8"), ("around", "<u8"), ("first", "u1")])
 _SPAN = np.dtype([("row", "<u8"), ("start", "<u4"), ("end", "<u4")])
 PACKED = "kind int, bucket long, blob binary"
 
@@ -84,10 +90,28 @@ def _sliding(x: np.ndarray, size: int, best: Callable) -> np.ndarray:
     return best(out[: len(x) - size + 1], out[size - have :][: len(x) - size + 1]) if have < size else out
 
 
+class Last:
+    """The grams that come last in the order of grams."""
+
+    def __init__(self, pointers: np.ndarray):
+        self.pointers = np.sort(pointers)
+        self.perhaps = np.zeros(1 << 20, bool)
+        self.perhaps[self._at(self.pointers)] = True
+
+    @staticmethod
+    def _at(pointers: np.ndarray) -> np.ndarray:
+        return (pointers >> U(44)).view(np.int64)
+
+    def find(self, pointers: np.ndarray) -> np.ndarray:
+        """The places of such grams."""
+        at = np.flatnonzero(self.perhaps[self._at(pointers)])
+        return at[np.isin(pointers[at], self.pointers)]
+
+
 class Samples:
     """The sampled suffixes of a batch of texts: place, text, and first and last window of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, last: "Last | None" = None):
         self.data, self.offsets = data, offsets
         n = len(data)
         empty = np.zeros(0, np.int64)
@@ -97,7 +121,9 @@ class Samples:
             return
         size = np.diff(offsets)
         self.pointer = gram_pointers(data)
-        order = self.pointer | U(1)
+        order = self.pointer >> U(1) | U(1)
+        if last is not None:
+            order[last.find(self.pointer)] |= U(1 << 63)
         least = _sliding(order, _GRAMS, np.minimum)[: n - LEAST + 1]
         edge = np.zeros(n + 1, np.int8)
         long = size >= LEAST
@@ -158,29 +184,30 @@ class Samples:
         for step in (10, 30, 50):  # pointers of later offsets that lie inside
             at = np.minimum(first + step, last - GRAM)
             out = refine(out, p[at])
-        return refine(out, (left * 64 + right).astype(U)) >> U(32)
-
-    def windows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and pointers of the windows of the picked suffixes."""
-        n = self.high[pick] - self.low[pick] + 1
-        first = np.repeat(self.low[pick] - (np.cumsum(n) - n), n)
-        start = first + np.arange(n.sum())
-        p = self.pointer
-        return start, refine(refine(p[start], p[start + GRAM]), p[start + LEAST - GRAM])
+        return refine(out, (left * 64 + right).astype(U))
 
 
 def _keys(doc: np.ndarray, h: np.ndarray, around: np.ndarray) -> np.ndarray:
-    return K.mix(h ^ K.mix(doc.astype(np.int64).view(U) + (around.astype(U) << U(32))))
+    return K.mix(h ^ K.mix(doc.astype(np.int64).view(U) + around * U(K._STEP)))
 
 
-def _column(part: pa.Table, name: str) -> pa.Array:
-    column = part.column(name)
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+def _ids(part: pa.Table) -> np.ndarray:
+    return flat(part.column("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _ids(part: pa.Table) -> np.ndarray:
-    """doc_ids as numbers; a null comes after all others."""
-    return _column(part, "doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+    """The groups of documents: pmod(xxhash64(doc_id), groups), as Spark has it."""
+    x = ids.astype(np.int64).view(U)
+    turn = lambda v, n: (v << U(n)) | (v >> U(64 - n))
+    one, two, three, four, five = (U(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = (U(42) + five + U(8)) ^ (turn(x * two, 31) * one)
+    h = turn(h, 27) * one + four
+    h ^= h >> U(33)
+    h *= two
+    h ^= h >> U(29)
+    h *= three
+    h ^= h >> U(32)
+    return h.view(np.int64) % groups
 
 
 def _row_keys(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -210,19 +237,25 @@ def _unpack(blobs: list[bytes], dtype: np.dtype) -> Iterator[tuple[np.ndarray, n
         yield np.frombuffer(blob, np.int64, size // 8, 8), np.frombuffer(blob, dtype, offset=8 + size)
 
 
-def pack_suffixes(h: np.ndarray, around: np.ndarray, at: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """One blob for each bucket: the doc_ids, and 9 bytes for each suffix besides its place among them.
+def _low5(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def pack_suffixes(h: np.ndarray, around: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """One blob for each bucket: its doc_ids, and 15 bytes for each suffix.
 
     A bucket is told by the remainder of the pointer, so 40 bits of the quotient are kept: pointers
     that agree in those share a bucket, which their surroundings tell apart.
     """
     bucket, quotient = (h % U(buckets)).astype(np.int64), h // U(buckets)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    planes = quotient[order].view(np.uint8).reshape(-1, 8)[:, :5], around[order].astype(np.uint32), at[order].astype(np.uint16)
+    order = np.lexsort((ids, bucket))
+    bucket, quotient, around, ids = bucket[order], quotient[order], around[order], ids[order]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
-        yield 0, int(bucket[a]), len(ids).to_bytes(8, "little") + ids.tobytes() + b"".join(x[a:b].tobytes() for x in planes)
+        new = np.append(True, ids[a + 1 : b] != ids[a : b - 1])
+        own = ids[a:b][new]
+        at = (np.cumsum(new) - 1).astype(np.uint16)
+        yield 0, int(bucket[a]), len(own).to_bytes(8, "little") + own.tobytes() + _low5(quotient[a:b]).tobytes() + around[a:b].tobytes() + at.tobytes()
 
 
 def unpack_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,53 +264,79 @@ def unpack_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     for blob in blobs:
         n = int.from_bytes(blob[:8], "little")
         ids, at = np.frombuffer(blob, np.int64, n, 8), 8 + 8 * n
-        size = (len(blob) - at) // 11
+        size = (len(blob) - at) // 15
         wide = np.zeros((size, 8), np.uint8)
         wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * size, at).reshape(-1, 5)
-        around = np.frombuffer(blob, np.uint32, size, at + 5 * size)
-        out.append((wide.view(U).ravel(), around, ids[np.frombuffer(blob, np.uint16, size, at + 9 * size)]))
+        around = np.frombuffer(blob, U, size, at + 5 * size)
+        out.append((wide.view(U).ravel(), around, ids[np.frombuffer(blob, np.uint16, size, at + 13 * size)]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+_STRETCH = np.dtype([("doc", "<i8"), ("row", "<u8"), ("start", "<u4"), ("windows", "u1")])
+
+
 def pack_windows(s: Samples, pick: np.ndarray, ids: np.ndarray, row: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """One blob for each bucket of suffixes: 5 bytes for each window of the picked ones, which are told
-    apart from those of other suffixes by 5 more for each suffix."""
+    """One blob for each bucket of suffixes: the picked ones' documents, windows, and the windows' bytes."""
     if not len(pick):
         return
     pick = pick[np.argsort(s.bucket()[pick] % U(buckets), kind="stable")]
-    h = s.bucket()[pick]
-    bucket, n = (h % U(buckets)).astype(np.int64), s.high[pick] - s.low[pick] + 1
-    start, pointer = s.windows(pick)
-    first = np.concatenate([[0], np.cumsum(n)])
-    low5 = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
-    planes = low5(h // U(buckets)), (s.low[pick] - s.offsets[s.text[pick]]).astype(np.uint32), s.text[pick].astype(np.uint16), n.astype(np.uint8)
-    last = low5(pointer)
+    bucket = (s.bucket()[pick] % U(buckets)).astype(np.int64)
+    rows = np.zeros(len(pick), _STRETCH)
+    text = s.text[pick]
+    rows["doc"], rows["row"], rows["start"], rows["windows"] = ids[text], row[text], s.low[pick] - s.offsets[text], s.high[pick] - s.low[pick] + 1
+    size = rows["windows"].astype(np.int64) + LEAST - 1
+    ends = np.cumsum(size)
+    raw = s.data[np.arange(ends[-1]) + np.repeat(s.low[pick] - (ends - size), size)].tobytes()
+    first = np.append(0, ends)
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for a, b in zip(cut, [*cut[1:], len(pick)], strict=True):
-        head = len(ids).to_bytes(8, "little") + int(b - a).to_bytes(8, "little") + ids.tobytes() + row.tobytes()
-        yield 2, int(bucket[a]), head + b"".join(x[a:b].tobytes() for x in planes) + last[first[a] : first[b]].tobytes()
+        yield 2, int(bucket[a]), int(b - a).to_bytes(8, "little") + rows[a:b].tobytes() + raw[first[a] : first[b]]
 
 
-def unpack_windows(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Pointers, starts, doc_ids and row keys of a bucket's windows."""
-    out = []
+def unpack_windows(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of a bucket, and their bytes one after the other."""
+    rows, data = [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        rows.append(np.frombuffer(blob, _STRETCH, n, 8))
+        data.append(np.frombuffer(blob, np.uint8, offset=8 + n * _STRETCH.itemsize))
+    return np.concatenate(rows), np.concatenate(data)
 
-    def wide(blob: bytes, n: int, at: int) -> np.ndarray:
-        x = np.zeros((n, 8), np.uint8)
-        x[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(-1, 5)
-        return x.view(U).ravel()
 
-    for blob in blobs:
-        size, picks = (int.from_bytes(blob[k : k + 8], "little") for k in (0, 8))
-        ids, row = np.frombuffer(blob, np.int64, size, 16), np.frombuffer(blob, U, size, 16 + 8 * size)
-        at = 16 + 16 * size
-        h, start = wide(blob, picks, at), np.frombuffer(blob, np.uint32, picks, at + 5 * picks)
-        text, n = np.frombuffer(blob, np.uint16, picks, at + 9 * picks), np.frombuffer(blob, np.uint8, picks, at + 11 * picks).astype(np.int64)
-        total = int(n.sum())
-        pointer = wide(blob, total, at + 12 * picks)
-        within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        out.append((K.mix(pointer ^ K.mix(np.repeat(h, n))), np.repeat(start, n) + within, np.repeat(ids[text], n), np.repeat(row[text], n)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def window_pointers(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each byte of stretches of the given sizes, the bucket of its suffix by ``LEAST`` bytes; -1
+    where the stretch has fewer left.
+
+    A pointer is the place of a bucket's first suffix in the order of all. Buckets of one suffix are
+    done; the others are sorted on the pointers further on, which are as deep as their own.
+    """
+    ends = np.repeat(np.cumsum(size), size)
+    left = ends - np.arange(len(data))
+    depth = 8
+    wide = np.concatenate([data, np.zeros(depth, np.uint8)])
+    grams = np.ndarray(len(data), ">u8", wide, strides=(1,)).astype(U)
+    grams[left < depth] = 0
+    order = np.argsort(grams, kind="stable")
+    new = np.append(True, grams[order][1:] != grams[order][:-1])
+    pointer = np.empty(len(data), np.int64)
+    pointer[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    pointer[left < depth] = -1
+    for step in (8, 16, LEAST - 32):
+        depth += step
+        some = np.flatnonzero(left >= depth)
+        held = np.bincount(pointer[some], minlength=len(data))
+        some = some[held[pointer[some]] > 1]
+        later = pointer[some + step]
+        order = np.lexsort((later, pointer[some]))
+        some, later = some[order], later[order]
+        own = pointer[some]
+        bucket = np.append(True, own[1:] != own[:-1])
+        new = bucket | np.append(True, later[1:] != later[:-1])
+        at = np.arange(len(some))
+        updated = own + at[new][np.cumsum(new) - 1] - at[bucket][np.cumsum(bucket) - 1] if len(some) else own
+        pointer[some] = updated
+        pointer[left < depth] = -1
+    return pointer
 
 
 def _small(part: pa.Table) -> Iterator[pa.Table]:
@@ -285,18 +344,59 @@ def _small(part: pa.Table) -> Iterator[pa.Table]:
         yield part.slice(i, 1 << 15)
 
 
-def suffix_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 1: the sampled suffixes of (doc_id, text) rows, by bucket."""
+def _samples(part: pa.Table, last: Last | None) -> tuple[Samples, np.ndarray]:
+    """The sampled suffixes of the rows with a doc_id, and those rows' doc_ids."""
+    part = part.filter(flat(part.column("doc_id")).is_valid())
+    return Samples(*K.buffers(flat(part.column("text"))), last), _ids(part)
+
+
+def common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): sampled grams that blocks hold often, and for null the sum of all; gram -1 has the bytes."""
+    for big in chunks(batches, 1 << 21):
+        s, ids = _samples(big, None)
+        grams, n, size = np.zeros(0, U), np.zeros(0, np.int64), 0
+        if len(s.place):
+            kinds = np.unique(K.mix(s.bucket() ^ K.mix(ids[s.text].view(U) + s.around() * U(K._STEP))), return_index=True)[1]
+            grams, n = np.unique(s.bucket()[kinds], return_counts=True)
+            size = len(kinds)
+        own = n >= max(4, size // HOT)
+        columns = [pa.array([*grams[own].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[own].tolist(), size], pa.int64()), pa.array([0] * int(own.sum()) + [len(s.data)], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["gram", "n", "bytes"])
+
+
+def suffix_batches(batches: Iterator[pa.RecordBatch], buckets: int, groups: int, last: Last | None) -> Iterator[pa.RecordBatch]:
+    """Step 1: the sampled suffixes of (doc_id, text) rows, by bucket; spans that a block's own texts repeat, by group."""
     for big in chunks(batches, 1 << 21):
         for part in _small(big):
-            data, offsets = K.buffers(_column(part, "text"))
-            s = Samples(data, offsets)
+            s, ids = _samples(part, last)
             if not len(s.place):
                 continue
-            h, around, at = s.bucket(), s.around(), s.text
-            _, once = np.unique(K.mix(h ^ K.mix((around << U(16)) + at.astype(U))), return_index=True)
-            once.sort()
-            yield _batch(list(pack_suffixes(h[once], around[once], at[once], _ids(part), buckets)))
+            h, around, doc = s.bucket(), s.around(), ids[s.text]
+            key = K.mix(h ^ K.mix(around))
+            order = np.lexsort((doc, key))
+            new = np.append(True, key[order][1:] != key[order][:-1])
+            first = order[new]
+            earliest = np.empty(len(doc), np.int64)
+            earliest[order] = doc[first][np.cumsum(new) - 1]
+            again = np.flatnonzero(doc > earliest)
+            out = list(pack_suffixes(h[first], around[first], doc[first], buckets))
+            if len(again):
+                row = _row_keys(s.data, s.offsets, ids)
+                out += [(kind, -1 - group, blob) for kind, group, blob in pack_spans(s, again, ids, row, groups)]
+            yield _batch(out)
+
+
+def pack_spans(s: Samples, pick: np.ndarray, ids: np.ndarray, row: np.ndarray, groups: int) -> Iterator[tuple[int, int, bytes]]:
+    """All windows of the picked suffixes as maximal spans, by group of documents."""
+    text = s.text[pick]
+    rows = np.zeros(len(pick), _SPAN)
+    rows["row"], rows["start"], rows["end"] = row[text], s.low[pick] - s.offsets[text], s.high[pick] + LEAST - s.offsets[text]
+    own, start, end = merged_spans(rows)
+    rows = np.zeros(len(own), _SPAN)
+    rows["row"], rows["start"], rows["end"] = own, start, end
+    order = np.argsort(row, kind="stable")
+    doc = ids[order[np.searchsorted(row[order], own)]]
+    yield from _pack(3, _group(doc, groups), rows)
 
 
 def refine_bucket(blobs: list[bytes], bucket: int, buckets: int, groups: int) -> list[tuple[int, int, bytes]]:
@@ -324,22 +424,31 @@ def refine_bucket(blobs: list[bytes], bucket: int, buckets: int, groups: int) ->
     rows["doc"], rows["around"], rows["first"] = doc, around, first
     rows["h"] = (h * U(buckets) + U(bucket)) & U((1 << 40) - 1)
     rows = rows[~first | several]
-    return list(_pack(1, rows["doc"] % groups, rows))
+    return list(_pack(1, _group(rows["doc"], groups), rows))
 
 
 def refine_windows(blobs: list[bytes], groups: int) -> list[tuple[int, int, bytes]]:
     """Step 3: windows that an earlier document holds, for each group of documents."""
-    h, start, doc, row = unpack_windows(blobs)
-    order = np.argsort(h)
-    at = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-    earliest = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(h))))
-    gone = order[doc[order] > earliest]
-    rows = np.zeros(len(gone), _SPAN)
-    rows["row"], rows["start"], rows["end"] = row[gone], start[gone], start[gone] + LEAST
-    return list(_pack(3, doc[gone] % groups, rows))
-
-
-def mark_group(docs: pa.Table, found: list[bytes], buckets: int, groups: int) -> list[tuple[int, int, bytes]]:
+    rows, data = unpack_windows(blobs)
+    size = rows["windows"].astype(np.int64) + LEAST - 1
+    pointer = window_pointers(data, size)
+    at = np.flatnonzero(pointer >= 0)
+    own = np.repeat(np.arange(len(rows)), size)[at]
+    doc = rows["doc"][own]
+    earliest = np.full(len(data), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, pointer[at], doc)
+    gone = np.flatnonzero(doc > earliest[pointer[at]])
+    own, place = own[gone], at[gone] - (np.cumsum(size) - size)[own[gone]]
+    spans = np.zeros(len(gone), _SPAN)
+    spans["row"], spans["start"], spans["end"] = rows["row"][own], rows["start"][own] + place, rows["start"][own] + place + LEAST
+    found, start, end = merged_spans(spans)
+    spans = np.zeros(len(found), _SPAN)
+    spans["row"], spans["start"], spans["end"] = found, start, end
+    order = np.argsort(rows["row"], kind="stable")
+    return list(_pack(3, _group(rows["doc"][order[np.searchsorted(rows["row"][order], found)]], groups), spans))
+
+
+def mark_group(docs: pa.Table, found: list[bytes], buckets: int, groups: int, last: Last | None) -> list[tuple[int, int, bytes]]:
     """Between 2 and 3: spans of documents that are known to go, and windows to refine, by suffix."""
     have = np.concatenate([rows for _, rows in _unpack(found, _FOUND)]) if found else np.zeros(0, _FOUND)
     keys = _keys(have["doc"], have["h"], have["around"])
@@ -350,28 +459,20 @@ def mark_group(docs: pa.Table, found: list[bytes], buckets: int, groups: int) ->
         return out
     for big in chunks(docs.to_batches(), 1 << 21):
         for part in _small(big):
-            data, offsets = K.buffers(_column(part, "text"))
-            s = Samples(data, offsets)
+            s, ids = _samples(part, last)
             if not len(s.place):
                 continue
-            ids = _ids(part)
             own = _keys(ids[s.text], s.named(buckets), s.around())
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             hit = keys[at] == own
-            row = _row_keys(data, offsets, ids)
-            pick = np.flatnonzero(hit & (first[at] == 0))
-            spans = np.zeros(len(pick), _SPAN)
-            base = offsets[s.text[pick]]
-            spans["row"], spans["start"], spans["end"] = row[s.text[pick]], s.low[pick] - base, s.high[pick] + LEAST - base
-            out += [(kind, -1 - group, blob) for kind, group, blob in _pack(3, ids[s.text[pick]] % groups, spans)]
-            pick = np.flatnonzero(hit & (first[at] == 1))
-            out += pack_windows(s, pick, ids, row, buckets)
+            row = _row_keys(s.data, s.offsets, ids)
+            out += [(kind, -1 - group, blob) for kind, group, blob in pack_spans(s, np.flatnonzero(hit & (first[at] == 0)), ids, row, groups)]
+            out += pack_windows(s, np.flatnonzero(hit & (first[at] == 1)), ids, row, buckets)
     return out
 
 
-def spans_of(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, starts and ends of maximal removed runs, sorted."""
-    have = np.concatenate([rows for _, rows in _unpack(found, _SPAN)]) if found else np.zeros(0, _SPAN)
+def merged_spans(have: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and ends of maximal runs, sorted."""
     have = have[np.lexsort((have["start"], have["row"]))]
     row, start, end = have["row"], have["start"].astype(np.int64), have["end"].astype(np.int64)
     if not len(row):
@@ -382,27 +483,29 @@ def spans_of(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.append(True, start[1:] + number[1:] > reach[:-1])
     new[edge] = True
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(row)) - 1
-    return row[at], start[at], reach[last] - number[last]
+    ends = np.append(at[1:], len(row)) - 1
+    return row[at], start[at], reach[ends] - number[ends]
 
 
 def cut_group(docs: pa.Table, found: list[bytes], text: bool) -> pa.Table:
     """Step 4: adds to each row n_bytes, n_removed, n_spans, and kept_sha256 or the text that is left."""
-    row, start, end = spans_of(found)
+    row, start, end = merged_spans(np.concatenate([np.zeros(0, _SPAN), *(rows for _, rows in _unpack(found, _SPAN))]))
     made: list[tuple[int, int, int, str]] = []
     for big in chunks(docs.select(["doc_id", "text"]).to_batches()):
-        data, offsets = K.buffers(_column(big, "text"))
-        keys = _row_keys(data, offsets, _ids(big))
+        data, offsets = K.buffers(flat(big.column("text")))
+        known = flat(big.column("doc_id")).is_valid().to_numpy(zero_copy_only=False)
+        keys = _row_keys(data, offsets, flat(big.column("doc_id")).fill_null(0).to_numpy().astype(np.int64))
         a, b = np.searchsorted(row, keys, "left"), np.searchsorted(row, keys, "right")
         for i in range(len(keys)):
             raw = data[offsets[i] : offsets[i + 1]].tobytes()
             parts, at = [], 0
-            for x, y in zip(start[a[i] : b[i]], end[a[i] : b[i]], strict=True):
+            own = slice(a[i], b[i] if known[i] else a[i])
+            for x, y in zip(start[own], end[own], strict=True):
                 parts.append(raw[at:x])
                 at = y
             parts.append(raw[at:])
             kept = b"".join(parts)
-            made.append((len(raw), len(raw) - len(kept), int(b[i] - a[i]), kept.decode("utf-8", "ignore") if text else hashlib.sha256(kept).hexdigest()))
+            made.append((len(raw), len(raw) - len(kept), len(start[own]), kept.decode("utf-8", "ignore") if text else hashlib.sha256(kept).hexdigest()))
     n, removed, spans, last = zip(*made, strict=True) if made else ((),) * 4
     out = docs
     for name, values, kind in (("n_bytes", n, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64())):
@@ -419,35 +522,51 @@ def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id;
     strings are judged on the input. Where a cut leaves part of a character, the part goes, too, in
-    ``text``. Defined cases: a null text is empty; texts under 50 bytes stay; a null doc_id comes
-    after all others; rows that share a doc_id don't repeat each other; an empty table gives no rows.
+    ``text``. Defined cases: a null text is empty; texts under 50 bytes stay; a row without a doc_id
+    stays as it is and cuts nothing; rows that share a doc_id don't repeat each other; an empty table
+    gives no rows.
     """
     spark = prepare(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if text else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"own {c}") for c in rest))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pairs = rows.select("doc_id", "text")
+    grams = pairs.mapInArrow(lean(common_batches), "gram long, n long, bytes long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    grams = settle(grams)
+    whole = grams.where("gram IS NULL").first()
+    total, least = (whole["bytes"], max(64, whole["n"] // HOT)) if whole else (0, 64)
+    # each is held by one in HOT suffixes at least, so there are at most HOT
+    common = np.array([r["gram"] for r in grams.where((F.col("gram").isNotNull()) & (F.col("n") > least)).orderBy(F.desc("n")).limit(HOT).collect()], np.int64).view(U)
+    lasts = spark.sparkContext.broadcast(Last(common)) if len(common) else None
+    last = lambda: lasts.value if lasts is not None else None
     buckets = groups = max(12, -(-total // SHARE))
-    # the group of a document; the same remainder as in _pack
-    grouped = rows.withColumn("grp", F.pmod(F.coalesce("doc_id", F.lit(_LAST)), F.lit(groups)))
+    # the group of a document; the same as in _group
+    grouped = rows.withColumn("grp", F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(groups)))
     narrow = grouped.select("grp", "doc_id", "text")
 
     def blobs(group: pa.Table) -> list[bytes]:
         return group.column("blob").to_pylist()
 
     def table(made: list) -> pa.Table:
-        return pa.Table.from_batches([_batch(made)])
+        out = pa.Table.from_batches([_batch(made)])
+        give_back()
+        return out
+
+    def sorted_bucket(key: tuple, t: pa.Table) -> pa.Table:
+        """Suffixes become decisions; spans pass, under the negative numbers of their groups."""
+        bucket = key[0].as_py()
+        return table([(3, bucket, b) for b in blobs(t)] if bucket < 0 else refine_bucket(blobs(t), bucket, buckets, groups))
 
-    suffixes = rows.select("doc_id", "text").mapInArrow(lambda it: suffix_batches(it, buckets), PACKED)
-    found = settle(suffixes.groupBy("bucket").applyInArrow(lambda k, t: table(refine_bucket(blobs(t), k[0].as_py(), buckets, groups)), PACKED))
+    suffixes = pairs.mapInArrow(lean(lambda it: suffix_batches(it, buckets, groups, last())), PACKED)
+    found = settle(suffixes.groupBy("bucket").applyInArrow(sorted_bucket, PACKED))
     release(spark)
-    marked = narrow.groupBy("grp").cogroup(found.groupBy("bucket")).applyInArrow(lambda d, f: table(mark_group(d, blobs(f), buckets, groups)), PACKED)
+    marked = narrow.groupBy("grp").cogroup(found.where("kind = 1").groupBy("bucket")).applyInArrow(lambda d, f: table(mark_group(d, blobs(f), buckets, groups, last())), PACKED)
 
     def refined(key: tuple, t: pa.Table) -> pa.Table:
-        """Windows become spans; spans pass, under the negative numbers of their groups."""
+        """Windows become spans; spans pass, under the numbers of their groups."""
         bucket = key[0].as_py()
         return table([(3, -1 - bucket, b) for b in blobs(t)] if bucket < 0 else refine_windows(blobs(t), groups))
 
-    spans = settle(marked.groupBy("bucket").applyInArrow(refined, PACKED))
+    spans = settle(marked.unionByName(found.where("kind = 3")).groupBy("bucket").applyInArrow(refined, PACKED))
     release(spark)
     counts = "n_bytes long, n_removed long, n_spans long"
     if not text:

@@ -9,28 +9,40 @@ from parlance.llm.session import settle
 
 #: Rounds double what a star reaches, so this many rounds join any chain that fits a cluster.
 MOST_ROUNDS = 60
+#: The most parts of a node's links.
+PARTS = 64
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for each node that has a link, from links (a, b) in any direction.
 
     component is the smallest node reachable, the node itself included. Self links, repeated links
-    and nulls are ignored; no links give no rows. Minima are taken by partial aggregation, and the
-    joins back are plain equi-joins, so a node with very many links is not gathered in one task.
+    and nulls are ignored; no links give no rows.
     """
     edges = settle(
-        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+        plain=True,
     )
     state = None
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        large = _with_least(both, with_own=True).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(settle(large, plain=True), with_own=False)
+        edges = settle(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), plain=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = tuple(now)
     raise RuntimeError("components did not settle")
+
+
+def _with_least(edges: DataFrame, with_own: bool) -> DataFrame:
+    """Adds m, the least neighbour v of each u (or u itself, ``with_own``), to (u, v) rows.
+
+    The rows of a node are dealt to parts by their v, in which minima are taken before they meet, and
+    each part gets the node's minimum back, so no task has all links of a node.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    least = dealt.groupBy("u", "part").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
+    least = least.select("u", (F.least("u", "m") if with_own else F.col("m")).alias("m"), F.explode("parts").alias("part"))
+    return dealt.join(least, ["u", "part"]).drop("part")

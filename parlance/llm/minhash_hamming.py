@@ -11,9 +11,14 @@ below 3e-6 at 0.8 and 2e-8 at 0.85.
 
 Copies are folded into one class by the hash of the whole shingle set. In each key, every class is
 compared with the smallest one (a star, not all pairs), and then, where a key's classes are still in
-different components, with others drawn by a hash, for a few rounds. What is left are pairs across
-components that share a key; of those, all are compared whose sizes, signatures and numbers of
-shingles that no other open class holds allow the threshold. Every link is confirmed on the full shingle sets.
+different components, with others drawn by a hash, for a few rounds. What is left are classes of
+different components that share a key: the open ones. Two of those can only be similar if they share
+one of their rarest shingles (of n shingles, the n - ceil(similarity * n) + 1 that the fewest open
+classes hold), so they are joined on those, and a key of very many unlike classes makes no pairs.
+
+Signatures, and a finer sketch in the last step, are compared before texts are: pairs go whose
+distance has a probability below ``LOSS`` at the threshold. Every link is confirmed on the full
+shingle sets; heads with many partners are split among tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import kernels as K
 from parlance.llm.components import connected_components
-from parlance.llm.session import chunks, prepare, release, settle, texts
+from parlance.llm.session import chunks, flat, lean, prepare, release, settle, texts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -37,6 +42,10 @@ CHUNKS = 12
 WIDTH = 6
 #: Rounds in which each key compares its classes with another one, drawn by a hash.
 ROUNDS = 1
+#: The most likely loss, for a pair at the threshold, by comparing signatures, and by comparing sketches.
+LOSS = 1e-9
+#: Pairs of one text that are confirmed together, and the most texts with more whose list is broadcast (16 bytes each).
+TOGETHER, BROADCAST_HEADS = 128, 50_000
 #: Bits of a symbol. Three of them go into a long, each with a free bit above it.
 BITS = 20
 _SYMBOLS = CHUNKS * WIDTH
@@ -102,7 +111,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
         offsets[1:] = np.cumsum(np.where(count > 0, _LONGS, 0))
         sig = pa.ListArray.from_arrays(pa.array(offsets), pa.array(longs[some].ravel()))
         yield pa.RecordBatch.from_arrays(
-            [part.column(0).combine_chunks() if isinstance(part.column(0), pa.ChunkedArray) else part.column(0), pa.array(h1), pa.array(h2), pa.array(count), sig],
+            [flat(part.column(0)), pa.array(h1), pa.array(h2), pa.array(count), sig],
             names=["doc_id", "h1", "h2", "n_shingles", "sig"],
         )
 
@@ -163,18 +172,15 @@ def differing(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count((({a}[{i}] ^ {b}[{i}]) + {ones}L) & {free}L)" for i in range(_LONGS)))
 
 
-def _first_meeting() -> Column:
-    """Whether x and y don't meet under an earlier key of the index, too."""
-    ones, free = (sum(v << int(lane) for lane in _LANES) for v in ((1 << BITS) - 1, 1 << BITS))
-    wrong = " + ".join(f"bit_count(((x.sig[2 * c + {i}] ^ y.sig[2 * c + {i}]) + {ones}L) & {free}L)" for i in (0, 1))
-    before = f"forall(sequence(0, x.slot div {WIDTH}), c -> c = x.slot div {WIDTH} OR {wrong} > 1)"
-    here = f"(x.slot % {WIDTH} = 0 OR exists(array(x.slot div {WIDTH}), c -> {wrong} = 1))"
-    return F.expr(f"{before} AND {here}")
-
-
-def farthest(similarity: float) -> int:
-    """The signature distance beyond which a pair of the similarity is four deviations away."""
-    return min(_SYMBOLS - 1, math.ceil(_SYMBOLS * (1 - similarity) + 4 * math.sqrt(_SYMBOLS * similarity * (1 - similarity))))
+def farthest(n: int, odds: float) -> int:
+    """The least d such that more than d of n differ with a probability below ``LOSS``, each with these odds."""
+    tail, d = 0.0, n
+    while d > 0:
+        tail += math.comb(n, d) * odds**d * (1 - odds) ** (n - d)
+        if tail >= LOSS:
+            break
+        d -= 1
+    return d
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,7 +198,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     spark = prepare(docs.sparkSession)
     numerator, denominator = round(similarity * 10_000), 10_000
     rows = texts(docs, key, text)
-    sketches = settle(rows.mapInArrow(lambda it: sketch_batches(it, size), SKETCH))
+    sketches = settle(rows.mapInArrow(lean(lambda it: sketch_batches(it, size)), SKETCH))
     classes = (
         sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("h1", "h2")
@@ -217,11 +223,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 def _links(spark, classes: DataFrame, rows: DataFrame, similarity: float, size: int, numerator: int, denominator: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to connect all that are connected."""
     nodes = classes.select("node", "n", "sig")
-    index = nodes.select("node", "sig").mapInArrow(key_batches, "key long, slot int, node long")
+    index = nodes.select("node", "sig").mapInArrow(lean(key_batches), "key long, slot int, node long")
     heads = index.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
     index = settle(index.join(heads, "key"))  # only keys that two classes share
     release(spark)
-    limit = farthest(similarity)
+    limit = farthest(_SYMBOLS, 1 - similarity)
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and signatures allow the similarity."""
@@ -230,14 +236,23 @@ def _links(spark, classes: DataFrame, rows: DataFrame, similarity: float, size:
         near = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
         return pairs.join(a, "a").join(b, "b").where(near).where(differing("sa", "sb") <= limit).select("a", "b")
 
+    def with_text(pairs: DataFrame, there: DataFrame, side: str) -> DataFrame:
+        """Adds the text of one side; the pairs of a text with many are split, with a copy of the text for each part."""
+        other = "b" if side == "a" else "a"
+        many = settle(pairs.groupBy(side).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1"))
+        known = F.broadcast(many) if many.count() <= BROADCAST_HEADS else many
+        part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+        dealt = pairs.join(known, side, "left").select(*pairs.columns, part)
+        own = there.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")).join(known, side, "left")
+        own = own.select(side, f"t{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        return dealt.join(own, [side, "part"]).drop("part")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs)
+        pairs = settle(pairs, plain=True)
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        there = rows.join(wanted, "doc_id", "left_semi")
-        there = settle(there)
-        left = pairs.join(there.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        full = left.join(there.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        out = settle(full.mapInArrow(lambda it: confirm_batches(it, size, numerator, denominator), "a long, b long").distinct())
+        there = settle(rows.join(wanted, "doc_id", "left_semi"))
+        full = with_text(with_text(pairs, there, "a"), there, "b").select("a", "b", "ta", "tb")
+        out = settle(full.mapInArrow(lean(lambda it: confirm_batches(it, size, numerator, denominator)), "a long, b long").distinct(), plain=True)
         release(spark)
         return out
 
@@ -258,19 +273,21 @@ def _links(spark, classes: DataFrame, rows: DataFrame, similarity: float, size:
         new = settle(possible(star.join(tried, ["a", "b"], "left_anti")))
         links, tried = links.unionByName(confirmed(new)), tried.unionByName(new)
         release(spark)
-    # shingles that no other open class holds can't be common to two of them, which bounds the similarity
-    members = rows.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    members = settle(members.mapInArrow(lambda it: fine_batches(it, size), "node long, fine array<long>, shingles array<long>"))
-    single = members.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"))
-    alone = single.where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    able = nodes.join(members.select("node", "fine"), "node").join(alone, "node", "left")
-    able = able.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("shared") * denominator >= F.col("n") * numerator)
-    left = settle(open_.join(able.select("node", "n", "sig", "fine", "shared"), "node"))
-    most = F.least("x.shared", "y.shared")
-    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (most * denominator >= (F.col("x.n") + F.col("y.n") - most) * numerator)
-    odds = (1 - similarity) / 2
+    # of the open classes, pairs that share one of their rarest shingles
+    open_ = settle(open_.select("node", "comp").distinct())
+    members = rows.join(open_.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    members = settle(members.mapInArrow(lean(lambda it: fine_batches(it, size)), "node long, fine array<long>, shingles array<long>"))
+    each = members.select("node", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("k"))
+    ranked = each.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("s"))
+    # as many as are shared at least by two similar sets, but one
+    ranked = ranked.withColumn("first", F.expr(f"slice(s, 1, size(s) - cast(ceil(size(s) * {numerator}L / {denominator}L) as int) + 1)"))
+    heads = settle(ranked.select("node", F.explode("first").alias("f")).where("f.k > 1").select("node", F.col("f.shingle").alias("shingle")))
+    able = nodes.join(members.select("node", "fine"), "node").join(open_, "node")
+    left = heads.join(able, "node")
+    near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") * denominator >= F.greatest("x.n", "y.n") * numerator)
     apart = F.expr(" + ".join(f"bit_count(x.fine[{i}] ^ y.fine[{i}])" for i in range(FINE // 64)))
-    near &= (apart <= math.ceil(FINE * odds + 4 * math.sqrt(FINE * odds * (1 - odds)))) & (differing("x.sig", "y.sig") <= limit)
-    across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & near & _first_meeting())
+    near &= (apart <= farthest(FINE, (1 - similarity) / 2)) & (differing("x.sig", "y.sig") <= limit)
+    across = left.alias("x").join(left.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & near)
     across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return links.unionByName(confirmed(across.join(tried, ["a", "b"], "left_anti")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import kernels as K
-from parlance.llm.session import chunks, prepare, release, settle
+from parlance.llm.session import chunks, give_back, lean, prepare, release, settle
 
 #: Bytes of the longest context.
 ORDER = 5
@@ -99,43 +99,6 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], names=["gram", "n"])
 
 
-class Table:
-    """A hash table from 64-bit keys to rows of numbers, probed for whole arrays at once."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
-        self.keys = np.full(1 << bits, ~U(0))
-        self.rows = np.zeros(1 << bits, np.int32)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[at[left]] == ~U(0)
-            first = np.zeros(len(left), bool)
-            first[np.unique(at[left], return_index=True)[1]] = True
-            put = left[free & first]
-            self.keys[at[put]], self.rows[at[put]] = keys[put], put
-            left = left[~(free & first)]
-            at[left] = (at[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(_ODD)) >> self.shift).view(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, or -1."""
-        at = self._slot(keys)
-        got = self.keys[at]
-        hit = got == keys
-        out = np.where(hit, self.rows[at], -1)
-        left = np.flatnonzero(~hit & (got != ~U(0)))
-        while len(left):
-            at[left] = (at[left] + 1) & self.mask
-            got = self.keys[at[left]]
-            hit = got == keys[left]
-            out[left[hit]] = self.rows[at[left[hit]]]
-            left = left[~hit & (got != ~U(0))]
-        return out
-
-
 class Model:
     """Probabilities of a trie given as (keys, counts) of grams of 1 .. ORDER + 1 bytes."""
 
@@ -144,7 +107,7 @@ class Model:
         self.log_count, self.direct, self.numbers = [], [], []
         below = None
         for order, (keys, counts) in enumerate(levels):
-            table = Table(keys)
+            table = K.Table(keys)
             context = keys >> U(8)
             own, row = np.unique(context, return_inverse=True)
             total = np.bincount(row, counts, len(own))
@@ -164,7 +127,7 @@ class Model:
                 log = lambda x: np.where(x > 0, np.log10(np.maximum(x, 1e-300)), 0.0)
                 numbers = np.stack([log(kinds / 2) - log(total), log(rest), np.where(others > 0, log(others / 2) - log(rest), 0.0)], 1)
             self.grams.append(table)
-            self.contexts.append(Table(own))
+            self.contexts.append(K.Table(own))
             # a last row of zeros is that of what is not found
             self.log_count.append(np.append(log(counts - 0.5), 0.0))
             self.direct.append(np.append(log(counts - 0.5) - log(total)[row], 0.0))
@@ -212,7 +175,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """(gram, n): the highest order of the trie of the training documents among (doc_id, text) rows."""
-    return settle(docs.mapInArrow(count_batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    return settle(docs.mapInArrow(lean(count_batches), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
 
 
 def low_levels(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -299,8 +262,21 @@ def score_bucket(bucket: int, kinds: list[int], ns: list[int], blobs: list[bytes
     grams = np.concatenate([np.zeros(0, U), *(x for x, _ in nodes)])
     counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in nodes)])
     every = np.unique(np.concatenate([x for _, x in asked]))
-    score = bucket_model(grams, counts, low, every).score(every)
-    return [(-1 - block, 8, bucket, score[np.searchsorted(every, x)].tobytes()) for block, x in asked]
+    value, code = np.unique(bucket_model(grams, counts, low, every).score(every), return_inverse=True)
+    return [(-1 - block, 8, bucket, coded(value, code[np.searchsorted(every, x)])) for block, x in asked]
+
+
+def coded(value: np.ndarray, code: np.ndarray) -> bytes:
+    """value[code] as the distinct values, of which there are few, and compressed byte planes of their numbers."""
+    used, code = np.unique(code, return_inverse=True)
+    planes = np.ascontiguousarray(code.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(used).to_bytes(4, "little") + len(code).to_bytes(4, "little") + value[used].tobytes() + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def decoded(blob: bytes) -> np.ndarray:
+    used, n = (int.from_bytes(blob[k : k + 4], "little") for k in (0, 4))
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8 + 8 * used :], 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.frombuffer(blob, float, used, 8)[np.ascontiguousarray(planes.T).view("<u4").ravel()]
 
 
 class Known:
@@ -308,10 +284,10 @@ class Known:
 
     def __init__(self, part: pa.Table, scores: dict[int, bytes], buckets: int):
         grams = block_grams(part)
-        self.table, self.scores = Table(grams), np.zeros(len(grams))
+        self.table, self.scores = K.Table(grams), np.zeros(len(grams))
         for k, at in enumerate(dealt(grams, buckets)):
             if len(at):
-                self.scores[at] = np.frombuffer(scores[k], float)
+                self.scores[at] = decoded(scores[k])
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         return self.scores[self.table.find(grams)]
@@ -443,10 +419,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     release(spark)
 
     def bucket_scored(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_batch(score_bucket(key[0].as_py(), *(t.column(c).to_pylist() for c in ("kind", "n", "blob")), low.value))])
+        out = pa.Table.from_batches([_batch(score_bucket(key[0].as_py(), *(t.column(c).to_pylist() for c in ("kind", "n", "blob")), low.value))])
+        give_back()
+        return out
 
     def block_scored(t: pa.Table) -> pa.Table:
         out = list(score_block(*(t.column(c).to_pylist() for c in ("kind", "n", "blob")), buckets, groups))
+        give_back()
         return pa.Table.from_batches(out or [_batch([])])
 
     def counted(key: tuple, t: pa.Table) -> pa.Table:
@@ -455,9 +434,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches([_batch(count_bucket(key[0].as_py(), t.column("blob").to_pylist(), t.column("n").to_pylist(), groups))])
 
     # settled, as a block is what one run of its task has read
-    blocks = settle(rows.mapInArrow(block_batches, PACKED))
-    asked = blocks.mapInArrow(lambda it: gram_batches(it, buckets), PACKED)
-    nodes = grams.mapInArrow(lambda it: node_batches(it, buckets), PACKED)
+    blocks = settle(rows.mapInArrow(lean(block_batches), PACKED))
+    asked = blocks.mapInArrow(lean(lambda it: gram_batches(it, buckets)), PACKED)
+    nodes = grams.mapInArrow(lean(lambda it: node_batches(it, buckets)), PACKED)
     scores = asked.unionByName(nodes).groupBy("bucket").applyInArrow(bucket_scored, PACKED)
     scored = blocks.unionByName(scores).groupBy("bucket").applyInArrow(block_scored, PACKED)
     shares = settle(scored.groupBy("bucket").applyInArrow(counted, PACKED))

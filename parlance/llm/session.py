@@ -33,10 +33,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """Writes ``frame`` to the shared checkpoint folder and cuts its lineage."""
-    prepare(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def settle(frame: DataFrame, plain: bool = False) -> DataFrame:
+    """Writes ``frame`` to the shared checkpoint folder and cuts its lineage.
+
+    A checkpoint keeps its plan's partitioning, and its estimated size, which is the product of the
+    sizes of all that were joined for it: in a loop of joins it soon has millions of digits, which the
+    planner multiplies. ``plain`` forgets both.
+    """
+    spark = prepare(frame.sparkSession)
+    done = frame.checkpoint(eager=True)
+    if not plain:
+        return done
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:
