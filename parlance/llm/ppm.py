@@ -173,15 +173,25 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n): the highest order of the trie of the training documents among (doc_id, text) rows."""
-    return settle(docs.mapInArrow(lean(count_batches), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+def count_grams(docs: DataFrame, buckets: int) -> DataFrame:
+    """The highest order of the trie of the training documents among (doc_id, text) rows, packed by bucket (kind 5)."""
+    counted = docs.mapInArrow(lean(count_batches), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return settle(counted.mapInArrow(lean(lambda it: node_batches(it, buckets)), PACKED))
 
 
-def low_levels(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of the orders below ``DEALT``, whole."""
-    nodes = settle(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * DEALT) - 1)).alias("gram")).agg(F.sum("n").alias("n"))).toArrow()
-    keys, counts = (nodes.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+def low_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): the nodes below order ``DEALT`` of packed nodes, summed for each batch."""
+    for batch in batches:
+        every = [unpacked_nodes(b) for b in batch.column("blob").to_pylist()]
+        if every:
+            keys, counts = summed(np.concatenate([x for x, _ in every]) & U((1 << 8 * DEALT) - 1), np.concatenate([n for _, n in every]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+
+
+def low_levels(nodes: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of the orders below ``DEALT``, whole: at most 2**24 nodes, however large the corpus is."""
+    low = settle(nodes.mapInArrow(lean(low_batches), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))).toArrow()
+    keys, counts = (low.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
     return [summed(keys.view(U) & U((1 << 8 * (order + 1)) - 1), counts) for order in range(DEALT)]
 
 
@@ -203,11 +213,24 @@ def dealt(grams: np.ndarray, buckets: int) -> list[np.ndarray]:
 
 
 def node_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(gram, n) rows by bucket (kind 5)."""
-    for part in chunks(batches, 8 << 20):
+    """(gram, n) rows by bucket (kind 5): grams in order, then byte planes of their counts."""
+    for part in chunks(batches, 16 << 20):
         grams, counts = (part.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
-        own = dealt(grams.view(U), buckets)
-        yield _batch([(k, 5, len(at), grams[at].tobytes() + counts[at].tobytes()) for k, at in enumerate(own) if len(at)])
+        order = np.argsort(grams.view(U))
+        grams, counts, rows = grams.view(U)[order], counts[order], []
+        for k, at in enumerate(dealt(grams, buckets)):
+            if len(at):
+                planes = np.ascontiguousarray(counts[at].view(np.uint8).reshape(-1, 8).T).tobytes()
+                own = squeezed(grams[at])
+                rows.append((k, 5, len(at), len(own).to_bytes(8, "little") + own + pa.Codec("zstd", 1).compress(planes, asbytes=True)))
+        yield _batch(rows)
+
+
+def unpacked_nodes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(blob[:8], "little")
+    grams = spread(blob[8 : 8 + size])
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8 + size :], 8 * len(grams), asbytes=True), np.uint8).reshape(8, -1)
+    return grams, np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
 def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,25 +281,12 @@ def score_bucket(bucket: int, kinds: list[int], ns: list[int], blobs: list[bytes
     asked = [(n, spread(b)) for k, n, b in zip(kinds, ns, blobs, strict=True) if k == 6]
     if not asked:
         return []
-    nodes = [(np.frombuffer(b, U, n), np.frombuffer(b, np.int64, n, 8 * n)) for k, n, b in zip(kinds, ns, blobs, strict=True) if k == 5]
+    nodes = [unpacked_nodes(b) for k, b in zip(kinds, blobs, strict=True) if k == 5]
     grams = np.concatenate([np.zeros(0, U), *(x for x, _ in nodes)])
     counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in nodes)])
     every = np.unique(np.concatenate([x for _, x in asked]))
-    value, code = np.unique(bucket_model(grams, counts, low, every).score(every), return_inverse=True)
-    return [(-1 - block, 8, bucket, coded(value, code[np.searchsorted(every, x)])) for block, x in asked]
-
-
-def coded(value: np.ndarray, code: np.ndarray) -> bytes:
-    """value[code] as the distinct values, of which there are few, and compressed byte planes of their numbers."""
-    used, code = np.unique(code, return_inverse=True)
-    planes = np.ascontiguousarray(code.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(used).to_bytes(4, "little") + len(code).to_bytes(4, "little") + value[used].tobytes() + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
-
-
-def decoded(blob: bytes) -> np.ndarray:
-    used, n = (int.from_bytes(blob[k : k + 4], "little") for k in (0, 4))
-    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8 + 8 * used :], 4 * n, asbytes=True), np.uint8).reshape(4, n)
-    return np.frombuffer(blob, float, used, 8)[np.ascontiguousarray(planes.T).view("<u4").ravel()]
+    score = bucket_model(grams, counts, low, every).score(every)
+    return [(-1 - block, 8, bucket, score[np.searchsorted(every, x)].tobytes()) for block, x in asked]
 
 
 class Known:
@@ -287,7 +297,7 @@ class Known:
         self.table, self.scores = K.Table(grams), np.zeros(len(grams))
         for k, at in enumerate(dealt(grams, buckets)):
             if len(at):
-                self.scores[at] = decoded(scores[k])
+                self.scores[at] = np.frombuffer(scores[k], float)
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         return self.scores[self.table.find(grams)]
@@ -414,8 +424,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = groups = max(12, -(-total // SHARE))
-    grams = count_grams(rows)
-    low = spark.sparkContext.broadcast(low_levels(grams))
+    nodes = count_grams(rows, buckets)
+    low = spark.sparkContext.broadcast(low_levels(nodes))
     release(spark)
 
     def bucket_scored(key: tuple, t: pa.Table) -> pa.Table:
@@ -436,7 +446,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # settled, as a block is what one run of its task has read
     blocks = settle(rows.mapInArrow(lean(block_batches), PACKED))
     asked = blocks.mapInArrow(lean(lambda it: gram_batches(it, buckets)), PACKED)
-    nodes = grams.mapInArrow(lean(lambda it: node_batches(it, buckets)), PACKED)
     scores = asked.unionByName(nodes).groupBy("bucket").applyInArrow(bucket_scored, PACKED)
     scored = blocks.unionByName(scores).groupBy("bucket").applyInArrow(block_scored, PACKED)
     shares = settle(scored.groupBy("bucket").applyInArrow(counted, PACKED))
