@@ -1,13 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Tokens are summed in the cells (source, language, topic). Each round multiplies the cells' weights
-so that one margin after the other has its target share of the weighted tokens. The weights are then
-scaled to the largest, so probabilities are in proportion to the weights and the expected mix is the
-raked one. A document is kept if a hash of its id falls below its cell's probability.
-
-With a budget, one factor is set instead so that this share of all tokens is expected to be kept.
-Probabilities are cut at 1 then, and the mix misses the targets. ``mixing_report`` does so with
-``BUDGET``, as its SQL does.
+so that one margin after the other has its target share of the weighted tokens, until all margins
+hold. The weights are then scaled to the largest, so probabilities are in proportion to the weights
+and the expected mix is the raked one. A document is kept if a hash of its id falls below its cell's
+probability.
 
 Only the table of cells takes part in the rounds; texts are read once and not shuffled.
 """
@@ -21,9 +18,8 @@ from parlance.llm.session import prepare, settle
 
 #: Targets are shares of tokens to these powers, evened out again: 1 keeps a margin, 0 levels it.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-ROUNDS = 12
-#: The share of all tokens that the report's draw is expected to keep, and the steps that its factor is found in.
-BUDGET, STEPS = 0.8, 12
+#: Rounds end when each margin is this near to its target, as a share of it, or after so many.
+NEAR, ROUNDS = 1e-10, 60
 #: Tables of cells up to this many rows (a row is under 200 bytes) are broadcast to the documents.
 BROADCAST_CELLS = 20_000
 _CELL = ["source", "lang", "topic"]
@@ -51,51 +47,62 @@ def targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return sums.select(margin, (F.col("t") / F.lit(whole)).alias("target"))
 
 
-def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
     """Adds ``weight`` to (source, lang, topic, tokens) cells so that their margins have the wanted
-    shares: {margin: (margin, target)}. Values without a target, or without tokens, keep weight 0."""
+    shares: {margin: (margin, target)}. Values without a target, or without tokens, keep weight 0.
+
+    Targets that no weights reach (empty cells can rule them out) leave the weights of the last round.
+    """
     for margin, shares in wanted.items():
         cells = cells.join(shares.withColumnRenamed("target", f"to {margin}"), margin, "left").fillna(0.0, [f"to {margin}"])
     cells = settle(cells.withColumn("weight", F.lit(1.0)))
     for _ in range(rounds):
+        worst = F.lit(0.0)
         for margin in wanted:
             mass = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(margin))
-            cells = cells.withColumn("mass", mass).withColumn("weight", F.when(F.col("mass") > 0, F.col("weight") * F.col(f"to {margin}") / F.col("mass")).otherwise(0.0)).drop("mass")
-        cells = settle(cells)
-    return cells.drop(*(f"to {m}" for m in wanted))
-
-
-def sampling_factor(weighted: DataFrame, budget: float = BUDGET) -> float:
-    """The factor from weights to probabilities, cut at 1, that keeps ``budget`` of all tokens; found as one number a step."""
-    wanted = (weighted.agg(F.sum("tokens")).first()[0] or 0) * budget
-    factor = float(wanted)
-    for _ in range(STEPS):
-        kept = weighted.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * factor))).first()[0] or 0.0
-        factor = factor * wanted / kept if kept else 0.0
-    return factor
-
-
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, topic: Column | None = None, budget: float | None = None) -> DataFrame:
+            cells = cells.withColumn("mass", mass)
+            worst = F.greatest(worst, F.when((F.col("mass") > 0) & (F.col(f"to {margin}") > 0), F.abs(F.col("mass") / F.col(f"to {margin}") - 1)).otherwise(0.0))
+            cells = cells.withColumn("weight", F.when(F.col("mass") > 0, F.col("weight") * F.col(f"to {margin}") / F.col("mass")).otherwise(0.0)).withColumn("off", worst).drop("mass")
+            worst = F.col("off")
+        cells = settle(cells, plain=True)
+        if (cells.agg(F.max("off")).first()[0] or 0.0) < near:
+            break
+    return cells.drop("off", *(f"to {m}" for m in wanted))
+
+
+def margins(mixed: DataFrame, powers: dict[str, float] | None = None) -> DataFrame:
+    """(margin, value, target, expected) of what ``mix`` returned: each value's target share of the tokens,
+    and its share of those that are expected to be drawn."""
+    out = None
+    for margin, power in (powers or POWERS).items():
+        sums = mixed.groupBy(F.col(f"mix_{margin}").alias("value")).agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("probability")).alias("e"))
+        sums = settle(sums.where("t > 0").withColumn("t", F.pow(F.col("t").cast("double"), F.lit(power))))
+        t, e = sums.agg(F.sum("t"), F.sum("e")).first()
+        rows = sums.select(F.lit(margin).alias("margin"), "value", (F.col("t") / F.lit(t)).alias("target"), (F.col("e") / F.lit(e or 1.0)).alias("expected"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, topic: Column | None = None) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, source, lang and any others but these), and mix_source,
     mix_lang, mix_topic, n_tokens, weight, probability and sampled.
 
-    Defined cases: a null source or language is the value ""; a null text is empty; a document
+    The topic is the column given, or one named topic, or else the text's surface. Defined cases: a null source or language is the value ""; a null text is empty; a document
     without tokens has its cell's probability, 0 if the whole cell has none; a null doc_id is drawn
     as empty text; rows that share a doc_id are drawn alike; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     n = tokens(text)
+    if topic is None and "topic" in docs.columns:
+        topic = F.col("topic")
     label = surface_topic(text, n) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
     names = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": label}
     light = docs.select(*(c.alias(k) for k, c in names.items()), n.alias("n"))
     cells = settle(light.groupBy(_CELL).agg(F.sum("n").alias("tokens")))
     weighted = rake(cells, {m: targets(cells, m, p) for m, p in powers.items()}, rounds)
-    if budget is None:
-        most = weighted.where("tokens > 0").agg(F.max("weight")).first()[0]
-        factor = 1 / most if most else 0.0
-    else:
-        factor = sampling_factor(weighted, budget)
+    most = weighted.where("tokens > 0").agg(F.max("weight")).first()[0]
+    factor = 1 / most if most else 0.0
     weighted = settle(weighted.select(*(F.col(c).alias(f"mix_{c}") for c in _CELL), "weight", F.least(F.lit(1.0), F.col("weight") * factor).alias("probability")))
     if weighted.count() <= BROADCAST_CELLS:
         weighted = F.broadcast(weighted)
@@ -108,6 +115,6 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     """The decision on each document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled."""
-    return mix(docs.select("doc_id", "text", "source", "lang"), budget=BUDGET).select(
+    return mix(docs.select("doc_id", "text", "source", "lang")).select(
         "doc_id", *(F.col(f"mix_{c}").alias(c) for c in _CELL), "n_tokens", F.round(F.col("weight") * 1e6, 9).alias("weight"), F.round("probability", 9).alias("probability"), "sampled"
     )
