@@ -27,7 +27,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0,
 ln AS MATERIALIZED (SELECT doc_id, host, t, l, regexp_extract_all(l, '{_SPACES}') AS lw FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM d)),
 lines AS MATERIALIZED (SELECT doc_id, host, t, l, translate(array_to_string(lw, ' '), '{_UP}', '{_LOW}') AS s, len(array_to_string(lw, '')) AS chars FROM ln WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY 1),
-often AS (SELECT host, s FROM lines GROUP BY 1, 2 HAVING count(DISTINCT t) > 20),
+often AS (SELECT host, s FROM lines GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 20),
 gone AS (SELECT doc_id, sum(chars) AS n FROM lines JOIN often USING (host, s) GROUP BY 1),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
@@ -65,7 +65,7 @@ FROM d LEFT JOIN l USING (doc_id)
 """
 
 
-def _op2(rounds: int = 12) -> str:
+def _op2(rounds: int = 60) -> str:
     powers = {"source": 0.5, "lang": 0.7, "topic": 0.5}
     steps = [
         rf"""WITH n AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
@@ -84,13 +84,10 @@ c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS
                 f"{name} AS MATERIALIZED (SELECT * EXCLUDE (w, m, target), CASE WHEN m > 0 THEN w * coalesce(target, 0) / m ELSE 0 END AS w FROM (SELECT x.*, target, sum(tokens * w) OVER (PARTITION BY x.{margin}) AS m FROM {last} x LEFT JOIN t_{margin} USING ({margin})))"
             )
             last = name
-    steps.append(f"f0 AS MATERIALIZED (SELECT 0.8 * sum(tokens) AS f, 0.8 * sum(tokens) AS wanted FROM {last})")
-    for k in range(12):
-        steps.append(f"f{k + 1} AS MATERIALIZED (SELECT any_value(f) * any_value(wanted) / sum(tokens * least(1.0, w * f)) AS f, any_value(wanted) AS wanted FROM {last}, f{k})")
     return (
         ",\n".join(steps)
         + f""",
-p AS MATERIALIZED (SELECT source, lang, topic, w, least(1.0, w * f) AS p FROM {last}, f12)
+p AS MATERIALIZED (SELECT source, lang, topic, w, w / (SELECT max(w) FROM {last} WHERE tokens > 0) AS p FROM {last})
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(w * 1e6, 9) AS weight, round(p, 9) AS probability,
   CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / pow(2, 52) < p AS sampled
 FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""

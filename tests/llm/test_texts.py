@@ -98,10 +98,12 @@ def test_texts_without_frequent_lines(spark, odd, odd_rows):
 def test_frequent_lines_go(spark, odd, odd_rows, nothing):
     own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     rows = [(i, own(i, 60) + "\nThe  common LINE here", "h") for i in range(6)] + [(10 + i, "The common line here " * 1 + "\n" + own(i, 60), "other") for i in range(2)]
-    rows += [(20 + i, own(99, 70), "h") for i in range(9)]  # copies count once
+    rows += [(20 + i, own(99, 70), "h") for i in range(9)]  # copies are documents, too
+    rows += [(40, own(98, 70), "h")] * 9 + [(41, own(97, 70), "h")] * 2 + [(42 + i, own(97, 70), "h") for i in range(3)]  # rows of a doc_id are one
     out = {x.doc_id: x for x in line_frequency.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=4).collect()}
     assert all(out[i].removed_chars == len("Thecommonlinehere") and out[i].kept for i in range(6))
-    assert all(out[i].removed_chars == 0 for i in (10, 11, *range(20, 29)))
+    assert all(out[i].removed_chars == 0 for i in (10, 11, 40, 41, 42, 44))
+    assert all(out[i].removed_chars == out[i].word_chars > 0 and not out[i].base_failed and not out[i].kept for i in range(20, 29))
     assert line_frequency.line_verdicts(odd).count() == len(odd_rows)
     assert line_frequency.line_verdicts(nothing).count() == 0
 
@@ -204,6 +206,14 @@ def test_drawn_mix_reaches_the_targets(spark):
         evened = {k: n**power for k, n in whole.items()}
         assert all(math.isclose(kept[k] / sum(kept.values()), n / sum(evened.values()), rel_tol=1e-3) for k, n in evened.items())
     assert max(x.probability for x in drawn) == 1
+    held = raking.margins(raking.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))).collect()
+    assert len(held) == 9 and all(math.isclose(x.target, x.expected, rel_tol=1e-8) for x in held)
+
+
+def test_mixing_takes_a_topic_column(spark):
+    rows = [(i, "w " * (i % 9), "ab"[i % 2], "x", "pqr"[i % 3], i) for i in range(60)]
+    mixed = raking.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, n_chars long")).collect()
+    assert {x.mix_topic for x in mixed} == {"p", "q", "r"}
 
 
 def test_quality_held_out(spark, odd, odd_rows, nothing):
