@@ -1,7 +1,7 @@
 """Quality rules from cross-document line frequency.
 
 Lines are normalised (their words, A-Z lower-cased, single spaces) and hashed. For each host the
-distinct documents that hold a line are counted, a document's copies once. Lines in more than
+distinct documents that hold a line are counted, copies of a text included. Lines in more than
 ``max_docs`` documents of their host are removed, and documents that keep too little are rejected,
 as are those that fail the base rules on length and repetition.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import kernels as K
-from parlance.llm.session import chunks, prepare, settle
+from parlance.llm.session import chunks, lean, prepare, settle
 
 #: A line in more documents of one host than this is removed.
 MAX_DOCS = 20
@@ -110,16 +110,26 @@ def line_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = M
     n_repeat_words, base_failed, kept, removed_chars and removed_lines (hashes of its lines above the limit).
 
     Defined cases: a null text is empty, so it fails the base rules; a null host is the host "";
-    a null doc_id stays; rows that repeat a text of a host count once; lines without a word count
-    nowhere; an empty table gives no rows; other columns are not read.
+    rows that share a doc_id are one document, rows without a doc_id one each; lines without a word
+    count nowhere; an empty table gives no rows; other columns are not read.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    profiles = settle(rows.mapInArrow(profile_batches, PROFILE))
+    profiles = settle(rows.mapInArrow(lean(profile_batches), PROFILE))
     content = ["host", "c1", "c2"]
-    once = profiles.where("size(lines) > 0").groupBy(content).agg(F.first(F.arrays_zip("lines", "sizes")).alias("each"))
-    lines = once.select(*content, F.explode("each").alias("each")).select(*content, "each.*")
-    often = lines.groupBy("host", "lines").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "lines")
+    # equal texts of a host are one row with the number of their documents; a document's rows count once
+    some = profiles.where("size(lines) > 0")
+    again = settle(some.where("doc_id IS NOT NULL").groupBy("host", "doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("host", "doc_id"))
+    repeated = not again.isEmpty()
+    alone = some.join(again, ["host", "doc_id"], "left_anti") if repeated else some
+    once = some.groupBy(content).agg(F.first(F.arrays_zip("lines", "sizes")).alias("each"))
+    docs_of = alone.groupBy(content).agg(F.count("*").alias("docs"))
+    once = once.join(docs_of, content, "left") if repeated else some.groupBy(content).agg(F.first(F.arrays_zip("lines", "sizes")).alias("each"), F.count("*").alias("docs"))
+    lines = once.select(*content, F.coalesce("docs", F.lit(0)).alias("docs"), F.explode("each").alias("each")).select(*content, "docs", "each.*")
+    counted = lines.select("host", "lines", "docs")
+    if repeated:
+        counted = counted.unionByName(some.join(again, ["host", "doc_id"], "left_semi").select("host", "doc_id", F.explode("lines").alias("lines")).distinct().select("host", "lines", F.lit(1).cast("long").alias("docs")))
+    often = counted.groupBy("host", "lines").agg(F.sum("docs").alias("n")).where(F.col("n") > max_docs).select("host", "lines")
     gone = lines.join(often, ["host", "lines"]).groupBy(content).agg(F.sum("sizes").alias("removed_chars"), F.sort_array(F.collect_list("lines")).alias("removed_lines"))
     out = profiles.drop("lines", "sizes").join(gone, content, "left")
     removed = F.coalesce("removed_chars", F.lit(0))
@@ -151,4 +161,4 @@ def remaining_texts(docs: DataFrame, host: str = "source", key: str = "doc_id",
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("source", "text"))  # equal texts of a host have the same lines removed
     verdicts = line_verdicts(rows, key="row", **limits).select(F.col("doc_id").alias("row"), "kept", "removed_lines").dropDuplicates(["row"])
-    return rows.join(verdicts, "row").select("doc_id", "text", "kept", "removed_lines").mapInArrow(without_batches, "doc_id long, text string, kept boolean")
+    return rows.join(verdicts, "row").select("doc_id", "text", "kept", "removed_lines").mapInArrow(lean(without_batches), "doc_id long, text string, kept boolean")
