@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.session import settle
+from parlance.llm.session import each_part, part, parts_mask, settle
 
 #: Rounds double what a star reaches, so this many rounds join any chain that fits a cluster.
 MOST_ROUNDS = 60
-#: The most parts of a node's links.
-PARTS = 64
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -39,10 +37,10 @@ def connected_components(links: DataFrame) -> DataFrame:
 def _with_least(edges: DataFrame, with_own: bool) -> DataFrame:
     """Adds m, the least neighbour v of each u (or u itself, ``with_own``), to (u, v) rows.
 
-    The rows of a node are dealt to parts by their v, in which minima are taken before they meet, and
-    each part gets the node's minimum back, so no task has all links of a node.
+    The rows of a node are dealt to parts by their v, and each part gets the node's minimum, so no task
+    has all links of a node.
     """
-    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
-    least = dealt.groupBy("u", "part").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
-    least = least.select("u", (F.least("u", "m") if with_own else F.col("m")).alias("m"), F.explode("parts").alias("part"))
+    dealt = edges.withColumn("part", part("v"))
+    least = dealt.groupBy("u").agg(F.min("v").alias("m"), parts_mask().alias("parts"))
+    least = least.select("u", (F.least("u", "m") if with_own else F.col("m")).alias("m"), each_part("parts").alias("part"))
     return dealt.join(least, ["u", "part"]).drop("part")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import kernels as K
 from parlance.llm.components import connected_components
-from parlance.llm.session import chunks, flat, lean, prepare, release, settle, texts
+from parlance.llm.session import chunks, each_part, flat, lean, part, parts_mask, prepare, release, settle, texts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -198,22 +198,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     spark = prepare(docs.sparkSession)
     numerator, denominator = round(similarity * 10_000), 10_000
     rows = texts(docs, key, text)
-    sketches = settle(rows.mapInArrow(lean(lambda it: sketch_batches(it, size)), SKETCH))
+    sketches = settle(rows.mapInArrow(lean(lambda it: sketch_batches(it, size)), SKETCH)).withColumn("part", part("doc_id"))
     classes = (
         sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), parts_mask().alias("parts"))
     )
     classes = settle(classes)
     found = _links(spark, classes, rows, similarity, size, numerator, denominator)
-    members = sketches.select("doc_id", "n_shingles", "h1", "h2")
-    shared = members.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2").distinct()
+    members = sketches.select("doc_id", "n_shingles", "h1", "h2", "part")
+    shared = members.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "h1", "h2", "part").distinct()
     # a document with several texts links their classes
-    joined = classes.select("h1", "h2", "node").join(shared, ["h1", "h2"]).where("doc_id <> node")
-    several = joined.join(shared.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1"), "doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    repeated = shared.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    joined = shared.join(repeated, "doc_id").join(classes.select("h1", "h2", "node", each_part("parts").alias("part")), ["h1", "h2", "part"])
+    several = joined.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     comps = connected_components(found.unionByName(several))
-    ids = classes.join(comps, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    out = members.join(ids, ["h1", "h2"], "left")
+    ids = classes.join(comps, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"), each_part("parts").alias("part"))
+    out = members.join(ids, ["h1", "h2", "part"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
@@ -241,8 +242,8 @@ def _links(spark, classes: DataFrame, rows: DataFrame, similarity: float, size:
         other = "b" if side == "a" else "a"
         many = settle(pairs.groupBy(side).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1"))
         known = F.broadcast(many) if many.count() <= BROADCAST_HEADS else many
-        part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-        dealt = pairs.join(known, side, "left").select(*pairs.columns, part)
+        own_part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+        dealt = pairs.join(known, side, "left").select(*pairs.columns, own_part)
         own = there.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")).join(known, side, "left")
         own = own.select(side, f"t{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
         return dealt.join(own, [side, "part"]).drop("part")
@@ -282,10 +283,12 @@ def _links(spark, classes: DataFrame, rows: DataFrame, similarity: float, size:
     ranked = each.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("s"))
     # as many as are shared at least by two similar sets, but one
     ranked = ranked.withColumn("first", F.expr(f"slice(s, 1, size(s) - cast(ceil(size(s) * {numerator}L / {denominator}L) as int) + 1)"))
-    heads = settle(ranked.select("node", F.explode("first").alias("f")).where("f.k > 1").select("node", F.col("f.shingle").alias("shingle")))
+    heads = settle(ranked.select("node", F.posexplode("first").alias("at", "f")).where("f.k > 1").select("node", "at", F.col("f.shingle").alias("shingle")))
     able = nodes.join(members.select("node", "fine"), "node").join(open_, "node")
     left = heads.join(able, "node")
     near = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") * denominator >= F.greatest("x.n", "y.n") * numerator)
+    # at the first shingle that both have, no more than all from there on can be shared
+    near &= F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (denominator + numerator) >= (F.col("x.n") + F.col("y.n")) * numerator
     apart = F.expr(" + ".join(f"bit_count(x.fine[{i}] ^ y.fine[{i}])" for i in range(FINE // 64)))
     near &= (apart <= farthest(FINE, (1 - similarity) / 2)) & (differing("x.sig", "y.sig") <= limit)
     across = left.alias("x").join(left.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & near)

@@ -68,8 +68,24 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def salt(column: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(parts))
+#: The most parts that the rows of a key are dealt to.
+PARTS = 64
+
+
+def part(column: str) -> Column:
+    """The part of its key that a row belongs to, by the value of ``column``."""
+    return F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
+
+
+def parts_mask() -> Column:
+    """The parts that occur in a group with a column ``part``: a bit each, so it is summed before it is shuffled."""
+    return F.bit_or(F.expr("shiftleft(1L, part)"))
+
+
+def each_part(mask: str) -> Column:
+    """A row for each part of a mask. A table with one row for a key then joins rows of the key, however
+    many there are, on key and part, and no task has all of them."""
+    return F.explode(F.expr(f"filter(sequence(0, {PARTS - 1}), i -> (shiftright({mask}, i) & 1L) = 1L)"))
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
