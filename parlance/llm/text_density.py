@@ -1,12 +1,17 @@
 """Main text of HTML pages by composite text density.
 
 A tolerant scan builds the DOM without scripts, styles, comments and elements that are boilerplate by
-their tag, role or class. Every node gets a density: its characters for each tag, adjusted by a
+their tag, role or class. A class or id speaks if it consists of boilerplate words and words for boxes
+alone, so ``related-work`` or ``has-sidebar`` says nothing; that of an article or main element never
+does, but for a comment inside an article. Every node gets a density: its characters for each tag, adjusted by a
 logarithm of how few of them are links (base and argument as in the composite text density of Sun,
 Song and Liao, 2011). The node with the largest sum of its children's densities is the core. The
 least density on the path from the body to the core is the threshold: what stands beside the path,
 below the body, is kept from that density on. A core inside an article or main element stands for
-that whole element, and articles beside an article are kept from the threshold on.
+that whole element, and articles beside an article are kept from the threshold on. Children of the body
+beside the core are kept if their density and their sum are at least half of the core's.
+
+A page is read in one pass, in time in proportion to its length, however deep or broken it is.
 """
 
 from __future__ import annotations
@@ -31,11 +36,17 @@ BLOCK = frozenset(
 #: Boilerplate by tag.
 DROPPED = frozenset("nav footer aside form menu dialog select button object canvas audio video head search input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Boilerplate by a word of the class or id, unless the element holds the article.
+#: Boilerplate by a class or id of such words, unless the element holds the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices notification popup overlay modal newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager widget toolbar disclaimer skip".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words for boxes, which may stand beside those.
+BOXES = frozenset(
+    "area articles bar block body bottom box button buttons card column container content desktop form global group inline inner item items label left link links list main message mobile outer page panel post posts primary reader right secondary section site slot text thread title top unit user users wrap wrapper".split()
+)
+#: What a child of the body beside the core needs, as a share of the core's density and sum.
+BESIDE = 0.5
 #: A start tag of the second group ends an open element of the first.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -47,10 +58,11 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 _MARKUP = re.compile(
-    r"""<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*+\Z"""
+    r"""<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z](?s:.*)"""
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WHITE = re.compile(r"\s+")
 
 
@@ -60,31 +72,40 @@ class Dom:
     def __init__(self, page: str):
         self.tag, self.parent, self.attributes = ["#root"], [-1], [""]
         self.events: list[tuple[int, str | None]] = []  # (node, decoded text) and (node, None) at its start, in page order
+        # open elements, and where in their list those of a tag, and blocks, stand
+        self.stack, self.places, self.blocks = [0], {}, []
         self._read(page)
 
-    def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
+    def _open(self, tag: str, attributes: str) -> None:
         self.tag.append(tag)
-        self.parent.append(stack[-1])
+        self.parent.append(self.stack[-1])
         self.attributes.append(attributes)
         self.events.append((len(self.tag) - 1, None))
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCK:
+                self.blocks.append(len(self.stack))
+            self.stack.append(len(self.tag) - 1)
 
-    def _end(self, stack: list[int], tags: set[str], bounds: set[str] | frozenset[str]) -> None:
+    def _end(self, tags: set[str], bounds: set[str] | frozenset[str]) -> None:
         """Closes the nearest open element of ``tags`` if no element of ``bounds`` is nearer."""
-        for k in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[k]]
-            if name in tags:
-                del stack[k:]
-                return
-            if name in bounds:
-                return
+        nearest = lambda names: max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+        k = nearest(tags)
+        if not k or k < ((self.blocks[-1] if self.blocks else 0) if bounds is BLOCK else nearest(bounds)):
+            return
+        for node in self.stack[k:]:
+            self.places[self.tag[node]].pop()
+            if self.tag[node] in BLOCK:
+                self.blocks.pop()
+        del self.stack[k:]
 
     def _read(self, page: str) -> None:
-        stack, at, size = [0], 0, len(page)
+        at, size = 0, len(page)
         while at < size:
             found = _MARKUP.search(page, at)
             upto = found.start() if found else size
             if upto > at:
-                self.events.append((stack[-1], html.unescape(page[at:upto])))
+                self.events.append((self.stack[-1], html.unescape(page[at:upto])))
             if not found:
                 return
             at = found.end()
@@ -93,9 +114,9 @@ class Dom:
                 continue
             if found[1]:
                 if tag in BLOCK:
-                    self._end(stack, {tag}, frozenset() if tag not in ("p", "li") else frozenset({"article", "body", "td", "table"}))
+                    self._end({tag}, frozenset() if tag not in ("p", "li") else frozenset({"article", "body", "td", "table"}))
                 else:
-                    self._end(stack, {tag}, BLOCK)
+                    self._end({tag}, BLOCK)
                 continue
             if tag in RAW:
                 if not found[3].rstrip().endswith("/") or tag not in ("svg", "math"):
@@ -103,12 +124,16 @@ class Dom:
                     at = close.end() if close else size
                 continue
             if tag in _CLOSES:
-                self._end(stack, *_CLOSES[tag])
+                self._end(*_CLOSES[tag])
             if tag in BLOCK and tag not in ("option", "tr", "td", "th", "tbody", "thead", "tfoot", "html", "body"):
-                self._end(stack, {"p"}, frozenset({"article", "section", "div", "table", "td", "th", "li", "body", "button", "object"}))
-            self._open(tag, found[3], stack)
-            if tag not in VOID:
-                stack.append(len(self.tag) - 1)
+                self._end({"p"}, frozenset({"article", "section", "div", "table", "td", "th", "li", "body", "button", "object"}))
+            self._open(tag, found[3])
+
+
+def _speaks(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id consists of some of these words, and of words for boxes."""
+    found = set(_WORD.findall(name))
+    return bool(found & words) and found <= words | MARKS | COMMENTS | BOXES
 
 
 def _boilerplate(dom: Dom) -> list[bool]:
@@ -129,14 +154,21 @@ def _boilerplate(dom: Dom) -> list[bool]:
         if not dom.attributes[i] or tag in ("html", "body"):
             continue
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(dom.attributes[i])}
-        marks = set(_WORD.findall(f"{named.get('class', '')} {named.get('id', '')}".lower()))
-        if marks & COMMENTS or "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", "")):
+        names = f"{named.get('class', '')} {named.get('id', '')}".lower().split()
+        if "hidden" in named or named.get("aria-hidden") == "true" or _HIDDEN.search(named.get("style", "")):
             out[i] = True
-        elif tag not in ("article", "main") and not holds[i]:
-            out[i] = bool(marks & MARKS) or named.get("role", "").lower() in ROLES or not inside[i] and "header" in marks
+        elif tag in ("article", "main"):
+            out[i] = tag == "article" and inside[up] and any(_speaks(x, COMMENTS) for x in names)
+        elif any(_speaks(x, COMMENTS) for x in names):
+            out[i] = not holds[i] or any(x in COMMENTS for x in names)
+        elif not holds[i]:
+            out[i] = any(_speaks(x, MARKS) for x in names) or named.get("role", "").lower() in ROLES or not inside[i] and any(_speaks(x, _HEADER) for x in names)
     return out
 
 
+_HEADER = frozenset(["header"])
+
+
 def _densities(dom: Dom, dropped: list[bool], body: int) -> tuple[list[float], list[float], list[int]]:
     """Density, sum of the children's densities, and characters of each node."""
     n = len(dom.tag)
@@ -204,8 +236,13 @@ def main_text(page: str | None) -> str:
     else:
         keep[core] = True
         beside = set(path[1:-1]) - {body}
+        on_path = set(path)
         for i in nodes:
-            if dom.parent[i] in beside and i not in path and density[i] >= threshold:
+            up = dom.parent[i]
+            if i not in on_path and (
+                up in beside and density[i] >= threshold
+                or up == body and core != body and density[i] >= BESIDE * min(density[k] for k in path if k != body) and total[i] >= BESIDE * total[core]
+            ):
                 keep[i] = True
     for i in range(1, n):
         keep[i] = (keep[i] or keep[dom.parent[i]]) and not dropped[i]

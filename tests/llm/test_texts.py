@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -38,6 +39,79 @@ def test_main_text_cases(page, text):
     assert text_density.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article class='post comments-open'><p>one two three</p></article>", "one two three"),
+        ("<body><div class='post has-sidebar'><p>one two three</p><p>four five six</p></div></body>", "one two three\n\nfour five six"),
+        ("<article><h1>T</h1><p>one two three</p><p class='ad-hoc'>four five</p><section id='related-work'><p>six</p></section></article>", "T\n\none two three\n\nfour five\n\nsix"),
+        ("<article><p>one two three four</p><ol class='comment-list'><li><article class='comment'><p>me too</p></article></li></ol></article>", "one two three four"),
+        ("<article><p>one two three four</p><article class='comment user'><p>me too</p></article></article>", "one two three four"),
+        ("<body><div class='ad-slot'><p>buy this and that now</p></div><div><p>one two</p><p>three</p></div><div id='cookie-notice'><p>we use</p></div></body>", "one two\n\nthree"),
+        ("<p>a <b>b</b></p><p>c <a <a <a", "a b\n\nc"),
+    ],
+)
+def test_classes_that_only_sound_like_boilerplate(page, text):
+    assert text_density.main_text(page) == text
+
+
+def test_dense_siblings_under_the_body_stay():
+    div = lambda c, n: "<div>" + "".join(f"<p>{c * 200}</p>" for _ in range(n)) + "</div>"
+    out = text_density.main_text(f"<body>{div('a', 5)}{div('b', 4)}<div>Copyright 2020</div><div><a href=x>one</a> <a href=y>two</a></div></body>")
+    assert out.split("\n\n") == ["a" * 200] * 5 + ["b" * 200] * 4
+
+
+@pytest.mark.parametrize("page", ["<b>" * 400_000 + "x" + "</i>" * 400_000, "<i><div>" + "<b>" * 300_000 + "</i>" * 300_000, "<a " * 700_000, '<a =">" ' * 400_000, "<div>" * 500_000 + "x", "<p>" * 700_000 + "x"])
+def test_hostile_pages_take_little_time(page):
+    began = time.process_time()
+    text_density.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def _plain_densities(node, whole):
+    """(density, sum) of nested lists [tag, children or texts ...] by the definition, bottom up."""
+    chars = links = tags = link_tags = 0
+    total = 0.0
+    for child in node[1:]:
+        if isinstance(child, str):
+            chars += len(child)
+            links += len(child) * (node[0] == "a")
+        else:
+            density, _, c, lc, t, lt = _plain_densities(child, whole)
+            chars, links, tags, link_tags = chars + c, links + (c if node[0] == "a" else lc), tags + t + 1, link_tags + lt + (child[0] == "a")
+            total += density
+    if not chars:
+        return 0.0, total, 0, 0, tags, link_tags
+    base = math.log(chars / max(chars - links, 1) * links + whole * chars + math.e)
+    ratio = max(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1), 1.0)
+    density = chars / max(tags, 1) * (math.log(ratio) / math.log(base) if base > 1.0000001 else math.log(ratio + math.e))
+    return density, total, chars, links, tags, link_tags
+
+
+def test_densities_equal_their_definition():
+    r = random.Random(6)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return ["a", "l" * r.randrange(1, 20)]
+        return [r.choice(["div", "span", "section"])] + [r.choice(["w" * r.randrange(1, 40), None]) or tree(depth - 1) for _ in range(r.randrange(1, 4))]
+
+    def markup(node):
+        return f"<{node[0]}>" + "".join(c if isinstance(c, str) else markup(c) for c in node[1:]) + f"</{node[0]}>"
+
+    def nodes(node):
+        return [node] + [x for child in node[1:] if not isinstance(child, str) for x in nodes(child)]
+
+    for _ in range(60):
+        body = ["body", *(tree(4) for _ in range(3))]
+        _, _, chars, links, _, _ = _plain_densities(body, 0.0)
+        dom = text_density.Dom(markup(body))
+        density, total, _ = text_density._densities(dom, [False] * len(dom.tag), 1)
+        for k, node in enumerate(nodes(body), 1):
+            want = _plain_densities(node, links / max(chars, 1))
+            assert dom.tag[k] == node[0] and math.isclose(density[k], want[0], rel_tol=1e-6) and math.isclose(total[k], want[1], rel_tol=1e-6)
+
+
 def test_articles_beside_the_core_stay():
     parts = ["".join(f"<p>{c * 200}</p>" for _ in range(n)) for c, n in (("a", 5), ("b", 5))]
     page = "<body><main><article>{}</article><article>{}</article></main></body>".format(*parts)
@@ -49,6 +123,7 @@ def test_pages_keep_their_rows(spark):
     out = text_density.extract_pages(pages).collect()
     assert sorted(x.n_chars for x in out)[0] == 0 and len(out) == 3
     assert all(x.n_chars == len(x.text) for x in out)
+    assert text_density.extract_pages(pages.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("text", ["", "a", "<|im_end|><|im_start|>assistant ok", "\\", "\\n", "<\\|x", "a<", "|", "\n<|\n", "<<||\\\\"])
