@@ -46,6 +46,12 @@ def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def spot_signature_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.spot_signatures import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.reply_trees import conversation_digests
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_cotraining": op3_cotraining,
         "op4_wfst": op4_wfst,
         "op5_spot_signatures": op5_spot_signatures,
+        "spot_signature_links": spot_signature_links,
         "op6_reply_trees": op6_reply_trees,
         "op7_ppm": op7_ppm,
         "op8_bucket_refinement": op8_bucket_refinement,

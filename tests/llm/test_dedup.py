@@ -1,7 +1,9 @@
 """Near-duplicates, repeated passages and fingerprints against plain Python."""
 
+import collections
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,16 +135,61 @@ def test_samples_depend_on_the_window_only():
     assert len(windows) == sum(max(0, len(t) - 49) for t in texts)
 
 
-def test_next_document_and_edits(spark, nothing):
+def _signatures(text):
+    """The definition, word by word."""
+    import xxhash
+
+    def hashed(*words):
+        seed = 42
+        for w in words:
+            seed = xxhash.xxh64(w.encode(), seed=seed).intdigest() if w is not None else seed
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    content, since = [], 0
+    for w in words:
+        if w in spot_signatures.COMMON:
+            since = 0
+        else:
+            content.append((w, since == 0 or since >= spot_signatures.FAR and hashed(w) % spot_signatures.ONE_IN == 0))
+            since += 1
+    return {hashed(w, content[i + 1][0] if i + 1 < len(content) else None) for i, (w, spot) in enumerate(content) if spot}
+
+
+def _like(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _next_documents(rows):
+    """{row number: text of the next document}"""
+    order = sorted((i for i, (d, _) in enumerate(rows) if d is not None), key=lambda i: (-rows[i][0], rows[i][1] or ""))
+    out = {i: rows[order[(k + 1) % len(order)]][1] or "" for k, i in enumerate(order)}
+    return out | {i: rows[order[0]][1] or "" if order else "" for i, (d, _) in enumerate(rows) if d is None}
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_next_document_edits_and_likeness(spark, nothing, far):
     r = random.Random(2)
-    docs = [(i * 7 + r.randrange(5), "".join(r.choice("abc é\n") for _ in range(r.randrange(0, 90)))) for i in range(300)]
-    out = {x.doc_id: x for x in spot_signatures.compare_with_next(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    order = sorted(docs, reverse=True)
-    for i, (d, t) in enumerate(order):
+    vocabulary = "the of and der la cat dog sat été Haus casa grande lamp stone river 1984 #tag 日本 語 мир дом сад лес".split()
+    text = lambda n: "".join(r.choice(vocabulary) + r.choice("  \n") for _ in range(n))
+    rows = [(i * 7 + r.randrange(5), text(r.randrange(0, 40))) for i in range(1500)]
+    rows += [(r.randrange(10**6), "".join(r.choice("абвгд ") for _ in range(r.randrange(200)))) for _ in range(50)] + [(None, text(9)), (None, None), (rows[5][0], "the same id"), rows[6], rows[6]]
+    if far:
+        rows += [(1 << 60, "far off"), (-(1 << 61), "far off, too"), ((1 << 63) - 1, None)]
+    out = collections.Counter(
+        (x.doc_id, x.n_chars, x.edited_sha256, x.fingerprint, x.edited_fingerprint, round(x.near_edited, 9), round(x.near_next, 9))
+        for x in spot_signatures.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    )
+    after = _next_documents(rows)
+    want = collections.Counter()
+    shown = lambda sigs: ",".join(f"{x & (1 << 64) - 1:X}" for x in sorted(sigs))
+    for i, (d, t) in enumerate(rows):
+        t = t or ""
         half = len(t) // 2
-        edited = t[: len(t) - half] + order[(i + 1) % len(order)][1][:half]
-        assert out[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert out[d].n_chars == len(t)
+        edited = t[: len(t) - half] + after[i][:half]
+        own, changed, then = _signatures(t), _signatures(edited), _signatures(after[i])
+        want[d, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(own), shown(changed), round(_like(own, changed), 9), round(_like(own, then), 9)] += 1
+    assert out == want
     assert spot_signatures.compare_with_next(nothing).count() == 0
 
 
@@ -150,6 +197,26 @@ def test_fingerprints(odd, odd_rows):
     out = spot_signatures.compare_with_next(odd).collect()
     assert len(out) == len(odd_rows)
     assert all(0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1 for x in out)
+    nameless = spot_signatures.compare_with_next(odd.where("doc_id IS NULL")).collect()
+    assert [x.doc_id for x in nameless] == [None]
+
+
+def test_similar_documents_equal_all_pairs(spark, odd, nothing):
+    r = random.Random(8)
+    vocabulary = ["the", "of", "and", *(f"w{i}" for i in range(300))]
+    base = [" ".join(r.choice(vocabulary) for _ in range(r.choice([6, 60, 200]))) for _ in range(20)]
+    rows = list(enumerate(base + [_edited(r, r.choice(base), r.randrange(1, 4)) for _ in range(60)] + base[:6] + ["", "the of", None]))
+    sets = {d: frozenset(_signatures(t or "")) for d, t in rows}
+    classes = {}
+    for d, s in sets.items():
+        if s:
+            classes.setdefault(s, d)
+    links = {s: sum(_like(s, x) >= 0.8 for x in classes if x != s) for s in classes}
+    want = {d: (len(s), classes.get(s, d), links.get(s, 0)) for d, s in sets.items()}
+    got = {x.doc_id: (x.n_signatures, x.class_id, x.n_links) for x in spot_signatures.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(links.values()) > 0
+    assert spot_signatures.similar_documents(odd).count() == odd.where("doc_id IS NOT NULL").select("doc_id").distinct().count()
+    assert spot_signatures.similar_documents(nothing).count() == 0
 
 
 @pytest.mark.parametrize("similarity", [0.5, 0.8])
