@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from parlance.llm.bucket_refinement import remove_repeats
 from parlance.llm.cotraining import keep_good
 from parlance.llm.minhash_hamming import near_duplicates
 from parlance.llm.raking import mix
-from parlance.llm.session import release, settle
+from parlance.llm.session import prepare, release, settle
 from parlance.llm.wfst import encode
 
 
@@ -27,11 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a doc_id stay; equal rows of the doc_id that stays are one."""
+    """Rows without a doc_id stay, and so do rows of a doc_id that stays; rows equal in all columns are one."""
     gone = settle(near_duplicates(docs, similarity=0.8).where(~F.col("kept")).select("doc_id").distinct())
     release(spark)
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates()
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the others kept is written as Parquet to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{prepare(spark).sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
