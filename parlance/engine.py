@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators import lexical, semantic, sessions
+from parlance.operators import parts as P
 from parlance.plans import query as Q
 
 
 class Engine:
     """Queries over (conv_id, ordinal, role, text, second) messages; now is always given, never read."""
 
-    def __init__(self, messages: DataFrame, now: datetime, fields: DataFrame | None = None, vectors: DataFrame | None = None):
+    def __init__(self, messages: DataFrame, now: datetime, fields: DataFrame | None = None, vectors: DataFrame | None = None, parts: DataFrame | None = None):
         self.messages, self.now, self.fields, self.vectors = messages, now, fields, vectors
+        self.parts = P.parts_of(messages) if parts is None else parts
 
     def sessions(self, window: Q.TimeFilter = Q.TimeFilter(), limit: int = Q.LISTED, offset: int = 0) -> DataFrame:
         return sessions.list_sessions(self.messages, window, limit, offset)
@@ -32,7 +34,7 @@ class Engine:
             near = semantic.nearest(self.vectors.select(F.col("conv_id").alias("vec_id"), F.lit(0).alias("label"), "embedding"), vector, Q.fusion_depth(top))
             ranks = [self._ranks(chosen, "conv_id", [F.desc("score"), F.desc("ranked_second")]), self._ranks(near.withColumnRenamed("vec_id", "conv_id"), "conv_id", [F.desc("score")])]
             return semantic.reciprocal_ranks(ranks[0].limit(0) if mode == "semantic" else ranks[0], ranks[1], top)
-        hits = lexical.message_hits(self.messages.join(chosen.select("conv_id"), "conv_id", "left_semi"), query, window)
+        hits = lexical.message_hits(self.messages.join(chosen.select("conv_id"), "conv_id", "left_semi"), query, window, self.parts.join(chosen.select("conv_id"), "conv_id", "left_semi"))
         return lexical.flat_hits(hits, top) if flat else lexical.grouped_hits(hits, top=top)
 
     @staticmethod
@@ -42,11 +44,22 @@ class Engine:
         return rows.select(key, F.row_number().over(Window.orderBy(*order, key)).cast("long").alias("rank"))  # at most a shortlist
 
     def within(self, conv_id: int, text: str, top: int = Q.WITHIN_TOP, window: Q.TimeFilter = Q.TimeFilter()) -> DataFrame:
-        return lexical.order_hits(lexical.message_hits(self.messages.where(F.col("conv_id") == conv_id), Q.parse_query(text), window), top)
+        query, own = Q.parse_query(text), F.col("conv_id") == conv_id
+        return lexical.order_hits(lexical.message_hits(self.messages.where(own), query, window, self.parts.where(own)), top, query.quoted_only)
 
-    def read(self, conv_id: int, ref: str) -> DataFrame:
+    def read(self, conv_id: int, ref: str, shown: P.Shown = P.SEARCHED) -> DataFrame:
+        """Messages mN or mN..mM; for mN.K and sN the parts of that call and its results, or of that sub-agent."""
         where = Q.parse_ref(ref)
-        return sessions.read_range(self.messages, conv_id, where.first, where.last)
+        if where.call is not None:
+            found = P.call_with_results(self.parts, conv_id, where.first, where.call)
+        elif where.kind == "subagent":
+            handles = P.thread_handles(self.parts.where(F.col("conv_id") == conv_id)).where(F.col("handle") == f"s{where.first}")
+            found = self.parts.join(handles.select("conv_id", "thread"), ["conv_id", "thread"], "left_semi").where(shown.test())
+        else:
+            return sessions.read_range(self.messages, conv_id, where.first, where.last)
+        if found.isEmpty():
+            raise LookupError(f"not-found: {ref}")
+        return found
 
     def outline(self, conv_id: int, size: int = 10) -> DataFrame:
         return sessions.outline(self.messages.where(F.col("conv_id") == conv_id), size)

@@ -46,11 +46,17 @@ def _quote(word: str) -> str:
     return r"\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def _overlaps(word: str) -> bool:
+    """Whether two occurrences of a word can overlap: a beginning of it is also an end."""
+    return any(word.startswith(word[i:]) for i in range(1, len(word)))
+
+
 def prefix_count(text: Column, word: str, cap: int = 10) -> Column:
     """Occurrences of a word at word starts, ``cap`` at most.
 
     Occurrences are taken from left to right without overlap first, then those after a letter or
-    digit are left out, so "xa.a.a" holds no "a.a". A plain search goes before the split.
+    digit are left out, so "xa.a.a" holds no "a.a". Where occurrences can't overlap that is one regular
+    expression. A plain search goes before either.
     """
 
     def count(parts: Column) -> Column:
@@ -58,10 +64,15 @@ def prefix_count(text: Column, word: str, cap: int = 10) -> Column:
         last = lambda x, i: F.when(x != "", F.right(x, F.lit(1))).when(i == 0, "").otherwise(word[-1])
         return F.size(F.filter(heads, lambda x, i: ~last(x, i).rlike(ALPHANUMERIC)))
 
-    found = let(F.split(text, _quote(word), -1), count)
+    found = let(F.split(text, _quote(word), -1), count) if _overlaps(word) else F.regexp_count(text, F.lit(f"(?<!{ALPHANUMERIC}){_quote(word)}"))
     return F.least(F.when(F.contains(text, F.lit(word)), found).otherwise(0), F.lit(cap)).cast("int")
 
 
+def has_word(text: Column, word: str) -> Column:
+    """Whether a normalised text holds a word at a word start, or anywhere if it has a CJK character."""
+    return F.contains(text, F.lit(word)) if re.search(CJK, word) else prefix_count(text, word, 1) > 0
+
+
 def adjacent_pairs(text: Column, words: list[str], cap: int = 3) -> Column:
     """Word-start occurrences of neighbouring query words side by side, ``cap`` at most in all."""
     total = F.lit(0)
@@ -96,14 +107,20 @@ def matched_terms(text: Column, words: list[str]) -> Column:
     """The distinct query words that the normalised text holds at a word start (anywhere if CJK)."""
     low = normalize(text)
     distinct = list(dict.fromkeys(words))
-    tests = [F.when(F.contains(low, F.lit(w)) if re.search(CJK, w) else prefix_count(low, w, 1) > 0, w) for w in distinct]
+    tests = [F.when(has_word(low, w), w) for w in distinct]
     return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
 
 
-def preview(text: Column, at: Column, before: int = 40, after: int = 80, most: int = 160) -> Column:
-    """Clean text around a 1-based place."""
-    start = F.greatest(at - before, F.lit(1))
-    return F.left(collapse(sanitize(F.substring(text, start, at - start + after))), F.lit(most))
+def shorten(text: Column, most: int = 160) -> Column:
+    """Clean text in one line, ``most`` characters of it."""
+    return F.left(collapse(sanitize(text)), F.lit(most))
+
+
+def around(body: Column, first: Column, last: Column, before: int = 41, after: int = 80) -> Column:
+    """Clean text around the bytes first .. last - 1 of a body."""
+    raw = body.cast("binary")
+    cut = lambda a, n: F.substring(raw, a, n).cast("string")
+    return shorten(F.concat(F.right(cut(F.lit(1), first), F.lit(before)), cut(first + 1, last - first), F.left(cut(last + 1, F.octet_length(body) - last), F.lit(after))))
 
 
 def head_tail(text: Column, most: int = 16_384) -> Column:

@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.tables import settle
 
-def link_unique(calls: DataFrame, results: DataFrame, call: str, result: str) -> DataFrame:
-    """Results with their call, where exactly one call has the id."""
-    once = calls.groupBy(F.col(call).alias("link")).agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    return results.join(once, results[result] == once["link"]).drop("link")
+
+def link_calls(calls: DataFrame, results: DataFrame, key: list[str], call: str) -> DataFrame:
+    """Adds ``linked`` to results: whether exactly one call of the key (a session and thread) has their id.
+
+    The pieces ``X#2``, ``X#3`` of a split call are the call ``X``; the id ``unknown`` and a null link
+    nothing.
+    """
+    base = F.regexp_replace(F.col(call), r"#\d+$", "")
+    once = calls.where(F.col(call).isNotNull() & (F.col(call) != "unknown")).where(F.col(call) == base).groupBy(*key, base.alias("_base")).agg(F.count("*").alias("_n"))
+    rows = results.withColumn("_base", base).join(once, [*key, "_base"], "left")
+    return rows.withColumn("linked", F.coalesce(F.col("_n") == 1, F.lit(False))).drop("_base", "_n")
+
+
+def link_launches(threads: DataFrame, calls: DataFrame, key: str, launch: str, call: str, value: str) -> DataFrame:
+    """Adds to threads the value of the call that launched them, where the session has one such call."""
+    once = calls.groupBy(key, F.col(call).alias(launch)).agg(F.count("*").alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
+    return threads.join(once, [key, launch], "left")
 
 
 def as_of(events: DataFrame, starts: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
@@ -25,17 +39,31 @@ def as_of(events: DataFrame, starts: DataFrame, key: str, at: str, start: str, v
     return rows.where("_side = 1").select("_event.*", "linked")
 
 
+def inherit(rows: DataFrame, key: list[str], order: str, time: str, start: str | None = None) -> DataFrame:
+    """Rows without a time take that of the row before them in their thread, or else the thread's start."""
+    by = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(time, ignorenulls=True).over(by)
+    return rows.withColumn(time, last if start is None else F.coalesce(last, F.col(start)))
+
+
 def splice(parents: DataFrame, children: DataFrame, key: str, order: str, time: str) -> DataFrame:
     """Merges children into their parents' sequence: a child goes before the first parent that is
     strictly later, ties after the parent, leftovers last. Adds place (from 1) and origin.
 
-    One pass over a sorted union finds that parent: the running number of parents up to a child's time.
+    Parents keep their order, whatever their times; children are sorted by time. The first parent later
+    than a child is the first at which the parents' greatest time so far is later, so that maximum puts
+    both into one sorted union. Parents without a time pull no child; children take the time of the
+    child before them, and without any come last.
     """
     columns = [key, order, time]
-    both = parents.select(*columns, F.lit(0).alias("child")).unionByName(children.select(*columns, F.lit(1).alias("child")))
-    by = Window.partitionBy(key).orderBy(F.col(time), "child", order)
-    place = F.row_number().over(by).cast("long")
-    return both.withColumn("place", place).withColumn("origin", F.when(F.col("child") == 1, "child").otherwise("parent")).drop("child")
+    by = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    high = F.max(time).over(by)
+    first = parents.select(*columns, F.lit(0).alias("_child"), F.when(high.isNull(), 0).otherwise(1).alias("_part"), high.alias("_at"))
+    later = inherit(children.select(*columns, F.col(time).alias("_at")), [key], order, "_at")
+    then = later.select(*columns, F.lit(1).alias("_child"), F.when(F.col("_at").isNull(), 2).otherwise(1).alias("_part"), "_at")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_part", "_at", "_child", order)).cast("long")
+    both = first.unionByName(then).withColumn("place", place)
+    return both.withColumn("origin", F.when(F.col("_child") == 1, "child").otherwise("parent")).drop("_child", "_part", "_at")
 
 
 def runs(rows: DataFrame, key: str, order: list[str], kind: str) -> DataFrame:
@@ -78,21 +106,24 @@ def unique_prefixes(ids: DataFrame, column: str, least: int = 12) -> DataFrame:
     return rows.withColumn("prefix", F.left(F.col(column), size)).drop("_a", "_b")
 
 
-def branch(nodes: DataFrame, tree: str, node: str, parent: str, order: str, most: int = 64) -> DataFrame:
+def branch(nodes: DataFrame, tree: str, node: str, parent: str, order: str) -> DataFrame:
     """The branch that ends at each tree's last node: (tree, node, depth from the end).
 
-    Follows parents from the last node; it stops at a root, at a parent outside the tree, or where it
-    would close a cycle. ``most`` bounds the rounds; a longer branch raises.
+    It stops at a root, at a parent outside the tree, or where it would close a cycle. Pointers are
+    doubled: each round joins the jump table with itself, so a branch of any length takes as many rounds
+    as its length has binary digits, and every round starts from a written table.
     """
-    last = nodes.groupBy(tree).agg(F.max_by(node, order).alias(node))
-    step = nodes.select(tree, F.col(node).alias("_node"), F.col(parent).alias("_parent"))
-    front = last.select(tree, node, F.lit(0).cast("long").alias("depth"), F.array(node).alias("_seen"))
-    found = front.drop("_seen")
-    for _ in range(most):
-        front = front.join(step, (front[tree] == step[tree]) & (front[node] == step["_node"])).select(front[tree], F.col("_parent").alias(node), (F.col("depth") + 1).alias("depth"), "_seen")
-        front = front.join(nodes.select(tree, node), [tree, node], "left_semi").where(~F.array_contains("_seen", F.col(node)))
-        front = front.withColumn("_seen", F.concat("_seen", F.array(node))).persist()
-        if front.isEmpty():
-            return found
-        found = found.unionByName(front.drop("_seen"))
-    raise ValueError(f"a branch is longer than {most}")
+    known = nodes.select(tree, F.col(node).alias("_up"))
+    jump = nodes.select(tree, F.col(node).alias("_node"), F.col(parent).alias("_up")).where(F.col(parent).isNotNull()).join(known, [tree, "_up"], "left_semi")
+    jump = settle(jump.select(tree, "_node", "_up"))
+    found = settle(nodes.groupBy(tree).agg(F.max_by(node, order).alias(node)).withColumn("depth", F.lit(0).cast("long")))
+    longest = nodes.groupBy(tree).count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while reach < longest and not jump.isEmpty():
+        step = jump.withColumnRenamed("_node", node)
+        further = found.join(step, [tree, node]).select(tree, F.col("_up").alias(node), (F.col("depth") + reach).alias("depth"))
+        # on a cycle a node is met again, farther away
+        found = settle(found.unionByName(further).groupBy(tree, node).agg(F.min("depth").alias("depth")))
+        jump = settle(step.join(jump.select(tree, F.col("_node").alias("_up"), F.col("_up").alias("_far")), [tree, "_up"]).select(tree, F.col(node).alias("_node"), F.col("_far").alias("_up")))
+        reach *= 2
+    return found

@@ -29,9 +29,13 @@ def valid(column: Column, size: int) -> Column:
     return (F.size(column) == size) & F.forall(column, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def scored(vectors: DataFrame, vector: list[float]) -> DataFrame:
+    """(vec_id, label, score) of all valid vectors."""
+    return vectors.where(valid(F.col("embedding"), len(vector))).select("vec_id", "label", cosine(F.col("embedding"), vector).alias("score"))
+
+
 def nearest(vectors: DataFrame, vector: list[float], top: int) -> DataFrame:
-    rows = vectors.where(valid(F.col("embedding"), len(vector))).select("vec_id", "label", cosine(F.col("embedding"), vector).alias("score"))
-    return rows.orderBy(F.desc("score"), "vec_id").limit(top)
+    return scored(vectors, vector).orderBy(F.desc("score"), "vec_id").limit(top)
 
 
 def quality(score: Column) -> Column:

@@ -142,12 +142,6 @@ def outline(messages: DataFrame, size: int, snippet: int = 80) -> DataFrame:
     )
 
 
-def repeats(messages: DataFrame) -> DataFrame:
-    """For each message the first of its session with the same text (itself if it is the first)."""
-    same = Window.partitionBy("conv_id", "text")
-    return messages.select("conv_id", "ordinal", F.min("ordinal").over(same).alias("same_as"))
-
-
 def chars_before(messages: DataFrame) -> DataFrame:
     """Running number of characters before each message."""
     so_far = Window.partitionBy("conv_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)

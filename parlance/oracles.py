@@ -49,14 +49,35 @@ def _rank(where: str = "true", words: tuple[str, ...] = ("the", "of"), fields: b
         extra = " + ".join(parts)
         keep = [f"({k} OR {_prefix('project', w)} > 0)" for k, w in zip(keep, words, strict=True)]
         joined = "s JOIN f USING (conv_id)"
-    title = f"""f AS (SELECT conv_id, {_normal("left(min_by(text, ordinal), 60)")} AS title, 'the project ' || (conv_id % 7) AS project FROM m GROUP BY conv_id),""" if fields else ""
+    title = f"""f AS (SELECT conv_id, left(min_by(text, ordinal), 60) AS raw, {_normal("left(min_by(text, ordinal), 60)")} AS title, 'the project ' || (conv_id % 7) AS project FROM m GROUP BY conv_id),""" if fields else ""
+    titles = f" UNION ALL SELECT conv_id, NULL, {_normal(_collapse('raw'))} FROM f WHERE raw <> ''" if fields else ""
     return f"""WITH {_M}, {title}
-t AS MATERIALIZED (SELECT conv_id, second, {_LOW} AS low FROM m WHERE {where}),
+t AS MATERIALIZED (SELECT conv_id, second, {_LOW} AS low FROM m WHERE {where}{titles}),
 s AS (SELECT conv_id, max(second) AS ranked_second, {counts}, least(sum({_pairs("low", list(words))}), 3) AS pairs FROM t GROUP BY conv_id),
 r AS (SELECT conv_id, {body} AS body, CAST(pairs AS BIGINT) AS pairs, {_fresh("ranked_second")} AS fresh, CAST(ranked_second AS BIGINT) AS ranked_second,
   {body} + 2.0 * pairs + {extra} + {_fresh("ranked_second")} AS score FROM {joined} WHERE {" AND ".join(keep)})"""
 
 
+#: Messages as parts, as in the queries.
+_P = """base AS (SELECT conv_id, ordinal, role, text, len(text) // 2 AS cut, CASE WHEN ordinal % 5 = 4 THEN 'a' || (ordinal % 2) ELSE '' END AS thread, ['thinking', 'text', 'tool_use', 'tool_result'][ordinal % 4 + 1] AS k2 FROM m),
+parts AS MATERIALIZED (SELECT conv_id, ordinal, 1::BIGINT AS position, role, thread, 'text' AS kind, NULL::VARCHAR AS call_id, left(text, cut) AS text FROM base
+  UNION ALL SELECT conv_id, ordinal, 2, role, thread, k2, CASE WHEN starts_with(k2, 'tool') THEN 'c' || (ordinal % 6) END, substr(text, cut + 1) FROM base)"""
+_SHOWN = "kind NOT IN ('tool_use', 'thinking') AND thread = ''"
+_SEG = f"""{_P}, seg AS MATERIALIZED (SELECT conv_id, ordinal, position, text, CASE kind WHEN 'text' THEN 0 WHEN 'thinking' THEN 2 ELSE 1 END AS source,
+  CAST(coalesce(sum(strlen(text) + 1) OVER (PARTITION BY conv_id, ordinal ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM parts)"""
+
+
+def _segment_hits(word: str | None) -> str:
+    """Messages with a word, in any segment, and "of the" within one; offsets in bytes."""
+    hit = f"{_prefix(_normal('text'), word, 1)} > 0" if word else "false"
+    return f"""{_SEG}, t AS (SELECT *, {hit} AS w, string_split_regex(text, '(?i)of\\s+the') AS x FROM seg),
+q AS (SELECT *, len(x) > 1 AS l FROM t),
+g AS (SELECT conv_id, ordinal, min(CASE WHEN w THEN start WHEN l THEN start + strlen(x[1]) END) AS a, max(CASE WHEN w THEN start + strlen(text) WHEN l THEN start + strlen(text) - strlen(x[-1]) END) AS b,
+  min(CASE WHEN w OR l THEN source END) AS source, string_agg(text, chr(10) ORDER BY position) AS body FROM q GROUP BY 1, 2 HAVING bool_or(l) AND {"bool_or(w)" if word else "true"}),
+n AS (SELECT conv_id, ordinal, second, count(*) OVER (PARTITION BY conv_id) AS n FROM m),
+h AS (SELECT conv_id, ordinal, second, {8.0 + 3.0 if word else 4.0 + 3.0} + 1.0 / greatest(b - a, 1) AS score, source, a, greatest(ordinal - 1, 1) AS read_first, least(ordinal + 1, n) AS read_last, decode(encode(body)[1:a]) AS x, decode(encode(body)[a + 1:b]) AS y, decode(encode(body)[b + 1:]) AS z FROM g JOIN n USING (conv_id, ordinal))"""
+
+
 _BYTES = "greatest(strlen(text), 1)"
 
 
@@ -64,11 +85,8 @@ def _hits(words: tuple[str, ...] = ("the", "of"), name: str = "h") -> str:
     low = _normal("text")
     tests = " AND ".join(f"{_prefix(low, w, 1)} > 0" for w in words)
     pairs = f"CASE WHEN {_pairs(low, list(words))} > 0 THEN 2.0 ELSE 0.0 END" if len(words) > 1 else "0.0"
-    at = f"greatest(strpos(lower(text), '{words[0]}'), 1)"
-    start = f"greatest({at} - 40, 1)"
     return f"""{name} AS MATERIALIZED (SELECT conv_id, ordinal, second, {4.0 * len(words)} + {pairs} + 1.0 / {_BYTES} AS score,
-  CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE 1 END AS source, greatest(ordinal - 1, 1) AS read_first, least(ordinal + 1, n) AS read_last,
-  left({_collapse(f"substr(text, {start}, {at} - {start} + 80)")}, 160) AS preview
+  CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE 1 END AS source, greatest(ordinal - 1, 1) AS read_first, least(ordinal + 1, n) AS read_last
   FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM m) WHERE {tests})"""
 
 
@@ -85,6 +103,8 @@ _TURN = r"regexp_replace(text, '(?s)```.*?(?:```|\z)', ' ', 'g')"
 for _tag in ("system-reminder", "local-command-stdout", "command-name", "command-message", "task-notification", "ide-diagnostics"):
     _TURN = rf"regexp_replace({_TURN}, '(?s)<{_tag}>.*?(?:</{_tag}>|\z)', ' ', 'g')"
 
+_TERMS = [a + b for a in "tiaoeund" for b in "heninrst"]
+
 SQL = {
     "normalize_text": f"SELECT doc_id, md5({_LOW}) AS digest FROM documents",
     "prefix_count": f"WITH {_DOCS} SELECT doc_id, {', '.join(f'CAST({_prefix("low", w)} AS BIGINT) AS n_{w}' for w in ('the', 're', 'un'))} FROM docs",
@@ -94,10 +114,26 @@ SQL = {
     "cjk_contains": "SELECT lang, count(*) FILTER (regexp_matches(text, '[一-鿿]')) AS with_cjk, count(*) AS n FROM documents GROUP BY lang",
     "word_match_share": f"SELECT doc_id, round({_SHARE.format('the', 'und', 'les')} / 4.0, 6)::DOUBLE AS share FROM documents",
     "matched_terms": f"WITH {_DOCS} SELECT doc_id, concat_ws(',', {', '.join(f"CASE WHEN {_prefix('low', w, 1)} > 0 THEN '{w}' END" for w in ('the', 'und', 'les'))}) AS terms FROM docs".replace("AS low FROM documents", "AS low FROM documents"),
-    "message_numbering": f"""WITH {_M}, v AS (SELECT *, trim(text) <> '' AS said, role = 'user' AND trim(text) <> '' AS usr FROM m),
+    "message_numbering": f"""WITH {_M}, e AS (SELECT *, CASE WHEN ordinal % 3 = 2 THEN 'b' WHEN ordinal % 7 = 0 THEN 'a' ELSE '' END AS thread, CASE WHEN role = 'assistant' THEN 'r' || (ordinal // 4) END AS reply FROM m),
+v AS (SELECT *, trim(text) <> '' AS said, role = 'user' AND trim(text) <> '' AS usr FROM e),
 c AS (SELECT *, usr AND trim(text) = 'Warmup' AND sum(usr::INT) OVER w = 1 AS warm FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY ordinal)),
-s AS (SELECT *, said AND NOT warm AND (role <> 'assistant' OR max((usr AND NOT warm)::INT) OVER w = 1) AS starts FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY ordinal))
-SELECT conv_id, ordinal AS sequence, CASE WHEN starts THEN CAST(sum(starts::INT) OVER (PARTITION BY conv_id ORDER BY ordinal) AS BIGINT) END AS ordinal, starts, CAST(0 AS BIGINT) AS thread_number, ordinal AS position FROM s""",
+s AS (SELECT *, said AND NOT warm AND (role <> 'assistant' OR max((usr AND NOT warm)::INT) OVER w = 1) AS seen FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY ordinal)),
+k AS (SELECT *, seen AND (reply IS NULL OR ordinal = min(ordinal) FILTER (seen) OVER (PARTITION BY conv_id, thread, reply)) AS starts FROM s),
+o AS (SELECT *, sum(starts::INT) OVER (PARTITION BY conv_id ORDER BY ordinal) AS n, min(ordinal) OVER (PARTITION BY conv_id, thread) AS t1 FROM k),
+x AS (SELECT *, CASE WHEN NOT seen THEN NULL WHEN reply IS NULL THEN n ELSE min(n) FILTER (seen) OVER (PARTITION BY conv_id, thread, reply) END AS num FROM o)
+SELECT conv_id, ordinal AS sequence, CAST(num AS BIGINT) AS ordinal, starts, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY CASE WHEN thread = '' THEN -1 ELSE t1 END) - 1 AS BIGINT) AS thread_number,
+  row_number() OVER (PARTITION BY conv_id, thread ORDER BY ordinal) AS position FROM x""",
+    "visible_messages": f"WITH {_M}, {_P} SELECT conv_id, ordinal, count(*) AS parts FROM parts WHERE {_SHOWN} AND (kind IN ('tool_use', 'tool_result') OR {_collapse('text')} <> '') GROUP BY 1, 2",
+    "hidden_part_counts": f"""WITH {_M}, {_P} SELECT conv_id, ordinal, count(*) FILTER (thread = '' AND kind = 'tool_use') AS tools, count(*) FILTER (false) AS results,
+  count(*) FILTER (thread = '' AND kind = 'thinking') AS thoughts, count(*) FILTER (thread <> '') AS subagent_parts FROM parts GROUP BY 1, 2""",
+    "call_numbers": f"WITH {_M}, {_P} SELECT conv_id, ordinal, position, row_number() OVER (PARTITION BY conv_id, ordinal ORDER BY position) AS number FROM parts WHERE kind = 'tool_use'",
+    "thread_handles": f"WITH {_M}, {_P}, t AS (SELECT conv_id, thread, min(ordinal) AS f FROM parts WHERE thread <> '' GROUP BY 1, 2) SELECT conv_id, thread, 's' || row_number() OVER (PARTITION BY conv_id ORDER BY f, thread) AS handle FROM t",
+    "segment_offsets": f"WITH {_M}, {_SEG} SELECT conv_id, ordinal, position, CAST(source AS BIGINT) AS source, start FROM seg",
+    "segment_hits": f"WITH {_M}, {_segment_hits('the')} SELECT conv_id, ordinal, round(score, 6) AS score, CAST(source AS BIGINT) AS source, a AS \"offset\", read_first, read_last, md5(left({_collapse('right(x, 41) || y || left(z, 80)')}, 160)) AS digest FROM h",
+    "dialogue_first_hits": f"WITH {_M}, {_segment_hits(None)} SELECT conv_id, ordinal, CAST(source AS BIGINT) AS source, round(score, 6) AS score FROM (SELECT * FROM h ORDER BY h.source, h.score DESC, second DESC, conv_id, ordinal, a LIMIT 30)",
+    "time_inheritance": f"""WITH {_M} SELECT conv_id, ordinal, CAST(coalesce(last_value(CASE WHEN ordinal % 3 = 0 THEN second END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), conv_id * 10) AS BIGINT) AS second FROM m""",
+    "launch_links": f"""WITH {_M}, c AS (SELECT conv_id, 'c' || (ordinal * 2 // 3) AS launch, min(ordinal) AS ordinal FROM m GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT t.conv_id, t.launch, c.ordinal FROM (SELECT conv_id, 'c' || (ordinal // 2) AS launch FROM m WHERE ordinal % 2 = 0) t LEFT JOIN c USING (conv_id, launch)""",
     "session_fold": f"""WITH {_M} SELECT conv_id, count(*) AS message_count, count(*) FILTER (role = 'assistant') AS assistant_messages, CAST(sum(len(text)) AS BIGINT) AS chars,
   CAST(min(second) AS BIGINT) AS first_second, CAST(max(second) AS BIGINT) AS last_second, CASE WHEN (max(second) - min(second)) // 60 > 0 THEN CAST((max(second) - min(second)) // 60 AS BIGINT) END AS duration_minutes FROM m GROUP BY conv_id""",
     "session_previews": f"{_FOLD} SELECT u.conv_id, coalesce(array_to_string(t[1:3], ' ... '), '') AS preview_first, coalesce(array_to_string(list_reverse(t[greatest(len(t) - 2, 1):len(t)]), ' ... '), '') AS preview_last FROM u LEFT JOIN p USING (conv_id)",
@@ -111,10 +147,11 @@ SELECT conv_id, min(ordinal) AS first, max(ordinal) AS last, count(*) AS n FROM
     "lexical_explain": f"{_rank()} SELECT conv_id, round(score, 6) AS score, round(body, 6) AS body, pairs, round(fresh, 6) AS fresh FROM r",
     "exact_phrase_rank": rf"WITH {_M} SELECT conv_id, round({_fresh('max(second)')}, 6) AS score, CAST(max(second) AS BIGINT) AS ranked_second FROM m GROUP BY conv_id HAVING bool_or(regexp_matches(text, '(?i)of\s+the'))",
     "browse_freshness": f"WITH {_M} SELECT conv_id, round({_fresh('max(second)')}, 6) AS score FROM m GROUP BY conv_id",
-    "hit_messages_bitmask": f"""WITH {_M}, k AS (SELECT conv_id, {" | ".join(f"(CASE WHEN {_prefix(_normal('text'), w, 1)} > 0 THEN {1 << i}::BIGINT ELSE 0::BIGINT END)" for i, w in enumerate(("the", "of", "und")))} AS mask FROM m)
-SELECT conv_id, bit_or(mask) AS mask, count(*) FILTER (mask = 7) AS full_messages FROM k GROUP BY conv_id""",
+    "hit_messages_bitmask": f"""WITH {_M}, l AS MATERIALIZED (SELECT conv_id, {_normal('text')} AS low FROM m), k AS (SELECT conv_id, {" | ".join(f"(CASE WHEN {_prefix('low', w, 1)} > 0 THEN ({1 << i if i < 63 else -(1 << 63)})::BIGINT ELSE 0::BIGINT END)" for i, w in enumerate(_TERMS))} AS mask FROM l)
+SELECT conv_id, bit_or(mask) AS mask, count(*) FILTER (mask = -1) AS full_messages FROM k GROUP BY conv_id""",
     "within_hits": f"{_H} SELECT conv_id, ordinal, round(score, 6) AS score, CAST(source AS BIGINT) AS source, read_first, read_last FROM (SELECT * FROM h ORDER BY h.score DESC, second DESC, conv_id, ordinal, source LIMIT 20)",
-    "preview_text": f"{_H} SELECT conv_id, ordinal, CAST(len(preview) AS BIGINT) AS chars, md5(preview) AS digest FROM h",
+    "preview_text": rf"""WITH {_M}, t AS (SELECT *, string_split_regex(text, '(?i)of\s+the') AS p FROM m), u AS (SELECT *, len(p[1]) AS a, len(text) - len(p[-1]) AS b FROM t WHERE len(p) > 1),
+k AS (SELECT conv_id, ordinal, left({_collapse("right(left(text, a), 41) || substr(text, a + 1, b - a) || left(substr(text, b + 1), 80)")}, 160) AS preview FROM u) SELECT conv_id, ordinal, CAST(len(preview) AS BIGINT) AS chars, md5(preview) AS digest FROM k""",
     "flat_hits_topk": f"{_H} SELECT conv_id, ordinal, round(score, 6) AS score FROM (SELECT * FROM h ORDER BY floor(h.score * 10) DESC, source, h.score DESC, conv_id, ordinal LIMIT 15)",
     "grouped_hits": f"""{_H}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY floor(score * 10) DESC, source, score DESC, ordinal) AS rank, count(*) OVER (PARTITION BY conv_id) AS total_hits FROM h),
 g AS (SELECT *, max(score) OVER (PARTITION BY conv_id) AS group_score FROM k WHERE rank <= 2), b AS (SELECT conv_id FROM g GROUP BY conv_id ORDER BY max(group_score) DESC, conv_id LIMIT 10)
@@ -142,21 +179,31 @@ n AS (SELECT *, bool_or(match) OVER (PARTITION BY doc_id ORDER BY line ROWS BETW
     "outline_segments": f"""WITH {_M}, k AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY ordinal) - 1) // 3 AS segment FROM m)
 SELECT conv_id, segment, min(ordinal) AS first, max(ordinal) AS last, count(*) FILTER (role = 'user') AS users, CAST(sum(len(text)) AS BIGINT) AS chars,
   min_by(left({_collapse("text")}, 80), ordinal) AS first_snippet, max_by(left({_collapse("text")}, 80), ordinal) AS last_snippet FROM k GROUP BY conv_id, segment""",
-    "repeat_detection": f"WITH {_M} SELECT conv_id, ordinal, min(ordinal) OVER (PARTITION BY conv_id, text) AS same_as FROM m",
+    "repeat_detection": f"WITH {_M}, {_P} SELECT conv_id, ordinal, position, min(ordinal) OVER (PARTITION BY conv_id, thread, kind = 'tool_use', text) AS same_as FROM parts",
     "chars_before": f"WITH {_M} SELECT conv_id, ordinal, CAST(coalesce(sum(len(text)) OVER (PARTITION BY conv_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM m",
-    "call_result_links": "SELECT l_returnflag, count(*) AS results, count(DISTINCT l_orderkey) AS calls FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) = 1) GROUP BY 1",
+    "call_result_links": """WITH c AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE 'k' || (o_orderkey // CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END) END AS id FROM orders),
+u AS (SELECT id FROM c WHERE id <> 'unknown' GROUP BY id HAVING count(*) = 1),
+r AS (SELECT l_returnflag, CASE WHEN l_orderkey % 13 = 0 THEN 'unknown' ELSE 'k' || l_orderkey END AS id, CASE WHEN l_orderkey % 13 = 0 THEN 'unknown' ELSE 'k' || l_orderkey || CASE WHEN l_linenumber > 1 THEN '#' || l_linenumber ELSE '' END END AS full_id FROM lineitem)
+SELECT l_returnflag, id IN (SELECT id FROM u) AS linked, count(*) AS results, count(DISTINCT full_id) AS ids FROM r GROUP BY 1, 2""",
     "day_markers": f"WITH {_EV}, k AS (SELECT user_id, event_id, us // 86400000000 AS day, lag(us // 86400000000) OVER (PARTITION BY user_id {_RUN}) AS b FROM ev) SELECT user_id, event_id, CAST(day AS BIGINT) AS day FROM k WHERE b IS NULL OR b <> day",
     "tool_run_summary": f"""WITH {_EV}, c AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVER w <> event_type THEN 1 ELSE 0 END AS c FROM ev WINDOW w AS (PARTITION BY user_id {_RUN})),
 r AS (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id {_RUN}) AS BIGINT) AS run FROM c) SELECT user_id, run, event_type, count(*) AS n, min(event_id) AS first_event FROM r GROUP BY ALL""",
     "model_changes": f"WITH {_EV}, c AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id {_RUN}) AS b FROM ev) SELECT event_type, count(*) AS n FROM c WHERE b IS NULL OR b <> event_type GROUP BY 1",
     "as_of_links": f"WITH {_EV} SELECT p.event_id, p.user_id, (SELECT max_by(c.event_id, (c.us, c.event_id)) FROM ev c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.us < p.us) AS linked FROM ev p WHERE p.event_type = 'purchase'",
-    "splice_merge": f"WITH {_EV} SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id % 3 = 0, event_id) AS place, CASE WHEN event_id % 3 = 0 THEN 'child' ELSE 'parent' END AS origin FROM ev",
+    "splice_merge": """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(trunc(event_id * 37 % 101 + event_id / 40.0) AS BIGINT) END AS t FROM events),
+p AS (SELECT user_id, event_id, t FROM e WHERE event_id % 3 <> 0),
+c AS (SELECT user_id, event_id, last_value(t IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM e WHERE event_id % 3 = 0),
+a AS (SELECT c.user_id, c.event_id, c.t, min(p.event_id) AS anchor FROM c LEFT JOIN p ON p.user_id = c.user_id AND p.t > c.t GROUP BY ALL),
+b AS (SELECT user_id, event_id, event_id AS anchor, 1 AS parent, NULL::BIGINT AS t FROM p UNION ALL SELECT user_id, event_id, coalesce(anchor, 9000000000), 0, coalesce(t, 9000000000) FROM a)
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY anchor, parent, t, event_id) AS place, CASE WHEN parent = 1 THEN 'parent' ELSE 'child' END AS origin FROM b""",
     "newest_per_thread": f"WITH {_EV} SELECT user_id, event_id, event_type FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) = 1",
     "version_union_antijoin": "SELECT doc_id, lang, 'new-' || source AS source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)",
     "handle_prefixes": """WITH i AS (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS id FROM documents), n AS (SELECT *, lag(id) OVER (ORDER BY id) AS a, lead(id) OVER (ORDER BY id) AS b FROM i),
 c AS (SELECT *, coalesce(len(list_filter(range(1, 65), lambda k: left(id, k) = left(a, k))), 0) AS x, coalesce(len(list_filter(range(1, 65), lambda k: left(id, k) = left(b, k))), 0) AS y FROM n) SELECT doc_id, left(id, greatest(x + 1, y + 1, 4)) AS prefix FROM c""",
-    "branch_walk": """WITH RECURSIVE b(conv_id, turn, depth) AS (SELECT conv_id, max(turn), CAST(0 AS BIGINT) FROM conversations GROUP BY 1
-  UNION ALL SELECT b.conv_id, c.turn, depth + 1 FROM b JOIN conversations c ON c.conv_id = b.conv_id AND c.turn = b.turn - 2) SELECT * FROM b""",
+    "branch_walk": """WITH RECURSIVE r AS (SELECT o_custkey % 3 AS tree, o_orderkey AS node FROM orders WHERE o_orderkey < 6000),
+n AS MATERIALIZED (SELECT tree, node, CASE WHEN node % 1999 = 7 THEN lead(node) OVER w WHEN node % 977 = 5 THEN 1000000000 ELSE lag(node) OVER w END AS up FROM r WINDOW w AS (PARTITION BY tree ORDER BY node)),
+b(tree, node, depth) AS (SELECT tree, max(node), CAST(0 AS BIGINT) FROM n GROUP BY 1 UNION ALL SELECT n2.tree, n2.node, b.depth + 1 FROM b JOIN n USING (tree, node) JOIN n n2 ON n2.tree = n.tree AND n2.node = n.up WHERE b.depth < 7000)
+SELECT tree, node, min(depth) AS depth FROM b GROUP BY 1, 2""",
     "props_extract": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
 }
 

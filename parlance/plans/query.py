@@ -15,7 +15,7 @@ FRESH_WEIGHT, FRESH_DAYS = 2.0, 7.0
 RRF = 60
 TOP, WITHIN_TOP, LISTED, HITS_PER_CONVERSATION, READ_RADIUS = 10, 20, 20, 2, 1
 QUALITY = ((0.85, "strong"), (0.65, "good"), (0.35, "fair"))
-LEXICAL_SHARE = 0.2
+LEXICAL_SHARE, CJK_WEIGHT = 0.2, 0.5
 
 
 @dataclass(frozen=True)

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import lexical, links, semantic, sessions
+from parlance.operators import lexical, links, parts, semantic, sessions
 from parlance.plans import query as Q
 
 NOW = datetime(2024, 1, 8, tzinfo=UTC)
 WINDOW = Q.TimeFilter(datetime(2024, 1, 2, tzinfo=UTC), datetime(2024, 1, 3, 12, 3, tzinfo=UTC))
 WORDS = "the of"
 PHRASE = '"of the"'
+#: 64 terms and one more, which is left out.
+TERMS = [*(a + b for a in "tiaoeund" for b in "heninrst"), "zz"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,19 @@ def _fields(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(title.alias("title")).withColumn("summary", F.lit("")).withColumn("project", F.concat(F.lit("the-project-"), (F.col("conv_id") % 7).cast("string")))
 
 
+def _parts(messages: DataFrame) -> DataFrame:
+    """Each message as two parts, the second of a kind by its ordinal; every fifth is a sub-agent's."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, ("thinking", "text", "tool_use", "tool_result"))), (F.col("ordinal") % 4).cast("int") + 1)
+    thread = F.when(F.col("ordinal") % 5 == 4, F.concat(F.lit("a"), (F.col("ordinal") % 2).cast("string"))).otherwise("")
+    base = messages.select("conv_id", "ordinal", "role", thread.alias("thread"), kind.alias("second_kind"), F.left("text", half).alias("head"), F.expr("substr(text, cast(floor(length(text) / 2) as int) + 1)").alias("tail"))
+    call = F.when(F.col("second_kind").startswith("tool"), F.concat(F.lit("c"), (F.col("ordinal") % 6).cast("string")))
+    null = F.lit(None).cast("string")
+    first = base.select("conv_id", "ordinal", F.lit(1).cast("long").alias("position"), "role", "thread", F.lit("text").alias("kind"), null.alias("call_id"), null.alias("tool"), F.col("head").alias("text"))
+    second = base.select("conv_id", "ordinal", F.lit(2).cast("long").alias("position"), "role", "thread", F.col("second_kind").alias("kind"), call.alias("call_id"), F.when(F.col("second_kind") == "tool_use", "Shell").alias("tool"), F.col("tail").alias("text"))
+    return first.unionByName(second)
+
+
 def _now() -> int:
     return int(NOW.timestamp())
 
@@ -72,10 +87,61 @@ def matched_terms(spark, d):
 
 
 def message_numbering(spark, d):
-    rows = _messages(spark, d).select("conv_id", F.col("ordinal").alias("sequence"), F.lit("").alias("thread"), "role", F.lit(None).cast("string").alias("reply_id"), "text")
+    """Turns in three threads, of which neighbours share a reply."""
+    rows = _messages(spark, d)
+    thread = F.when(F.col("ordinal") % 3 == 2, F.lit("b")).when(F.col("ordinal") % 7 == 0, F.lit("a")).otherwise("")
+    reply = F.when(F.col("role") == "assistant", F.concat(F.lit("r"), F.floor(F.col("ordinal") / 4).cast("string")))
+    rows = rows.select("conv_id", F.col("ordinal").alias("sequence"), thread.alias("thread"), "role", reply.alias("reply_id"), "text")
     return sessions.number_messages(rows).select("conv_id", "sequence", "ordinal", "starts", "thread_number", "position")
 
 
+def visible_messages(spark, d):
+    some = parts.Shown(tools=False, thinking=False, subagents=False)
+    return parts.shown_messages(_parts(_messages(spark, d)), some)
+
+
+def hidden_part_counts(spark, d):
+    return parts.hidden_counts(_parts(_messages(spark, d)), parts.Shown(tools=False, thinking=False, subagents=False))
+
+
+def call_numbers(spark, d):
+    return parts.call_numbers(_parts(_messages(spark, d))).select("conv_id", "ordinal", "position", "number")
+
+
+def thread_handles(spark, d):
+    return parts.thread_handles(_parts(_messages(spark, d))).select("conv_id", "thread", "handle")
+
+
+def segment_offsets(spark, d):
+    return parts.segments(_parts(_messages(spark, d))).select("conv_id", "ordinal", "position", "source", "start")
+
+
+def segment_hits(spark, d):
+    """A word and a phrase over parts: the phrase within one part, the word in any."""
+    messages = _messages(spark, d)
+    hits = lexical.message_hits(messages, Q.parse_query('the "of the"'), parts=_parts(messages))
+    return hits.select("conv_id", "ordinal", F.round("score", 6).alias("score"), "source", "offset", "read_first", "read_last", F.md5(F.col("preview").cast("binary")).alias("digest"))
+
+
+def dialogue_first_hits(spark, d):
+    messages = _messages(spark, d)
+    hits = lexical.message_hits(messages, Q.exact_query("of the"), parts=_parts(messages))
+    return lexical.order_hits(hits, 30, dialogue_first=True).select("conv_id", "ordinal", "source", F.round("score", 6).alias("score"))
+
+
+def time_inheritance(spark, d):
+    rows = _messages(spark, d).select("conv_id", "ordinal", F.when(F.col("ordinal") % 3 == 0, F.col("second")).alias("second"), (F.col("conv_id") * 10).alias("started"))
+    return links.inherit(rows, ["conv_id"], "ordinal", "second", "started").select("conv_id", "ordinal", "second")
+
+
+def launch_links(spark, d):
+    """Conversations as sessions: threads launched by calls, of which some ids occur twice."""
+    rows = _messages(spark, d)
+    calls = rows.select("conv_id", F.concat(F.lit("c"), F.floor(F.col("ordinal") * 2 / 3).cast("string")).alias("call"), "ordinal")
+    threads = rows.where("ordinal % 2 = 0").select("conv_id", F.concat(F.lit("c"), F.floor(F.col("ordinal") / 2).cast("string")).alias("launch"))
+    return links.link_launches(threads, calls, "conv_id", "launch", "call", "ordinal").select("conv_id", "launch", "ordinal")
+
+
 def session_fold(spark, d):
     return sessions.fold_sessions(_messages(spark, d)).drop("preview_first", "preview_last")
 
@@ -127,7 +193,8 @@ def browse_freshness(spark, d):
 
 
 def hit_messages_bitmask(spark, d):
-    return lexical.term_masks(_messages(spark, d), ["the", "of", "und"])
+    """64 terms: two-letter beginnings, of which the last is the sign bit."""
+    return lexical.term_masks(_messages(spark, d), TERMS)
 
 
 def _hits(spark, d):
@@ -139,7 +206,7 @@ def within_hits(spark, d):
 
 
 def preview_text(spark, d):
-    return _hits(spark, d).select("conv_id", "ordinal", F.length("preview").cast("long").alias("chars"), F.md5(F.col("preview").cast("binary")).alias("digest"))
+    return lexical.message_hits(_messages(spark, d), Q.parse_query(PHRASE)).select("conv_id", "ordinal", F.length("preview").cast("long").alias("chars"), F.md5(F.col("preview").cast("binary")).alias("digest"))
 
 
 def flat_hits_topk(spark, d):
@@ -164,12 +231,13 @@ def cosine_topk(spark, d):
 
 
 def best_per_conversation(spark, d):
-    rows = semantic.nearest(_read(spark, d, "embeddings"), _vector(spark, d), 1 << 30)
+    rows = semantic.scored(_read(spark, d, "embeddings"), _vector(spark, d))
     return semantic.best_of_each(rows, "label", [F.desc("score"), F.col("vec_id")]).select("label", "vec_id", F.round("score", 6).alias("score"))
 
 
 def _scored_passages(spark, d):
     vectors = _read(spark, d, "embeddings").select("vec_id", semantic.cosine(F.col("embedding"), _vector(spark, d)).alias("score"))
+    # passages without a vector aren't scored
     rows = _read(spark, d, "documents").join(vectors, F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "score")
     return semantic.hybrid_scores(rows, ["the", "of", "und"])
 
@@ -229,7 +297,7 @@ def outline_segments(spark, d):
 
 
 def repeat_detection(spark, d):
-    return sessions.repeats(_messages(spark, d))
+    return parts.repeats(_parts(_messages(spark, d)))
 
 
 def chars_before(spark, d):
@@ -237,10 +305,12 @@ def chars_before(spark, d):
 
 
 def call_result_links(spark, d):
-    """Orders as calls by customer and priority, lines as their results."""
+    """Order lines as results of calls by customer: ids that repeat, pieces of split calls, unknown ids."""
     orders, items = _read(spark, d, "orders"), _read(spark, d, "lineitem")
-    linked = links.link_unique(orders, items, "o_orderkey", "l_orderkey")
-    return linked.groupBy("l_returnflag").agg(F.count("*").alias("results"), F.countDistinct("l_orderkey").alias("calls"))
+    calls = orders.select(F.lit(1).alias("conv_id"), F.lit("").alias("thread"), F.when(F.col("o_orderkey") % 13 == 0, "unknown").otherwise(F.concat(F.lit("k"), F.floor(F.col("o_orderkey") / F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(1)).cast("string"))).alias("call_id"))
+    results = items.select(F.lit(1).alias("conv_id"), F.lit("").alias("thread"), "l_returnflag", F.when(F.col("l_orderkey") % 13 == 0, "unknown").otherwise(F.concat(F.lit("k"), F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("#"), F.col("l_linenumber").cast("string"))).otherwise(""))).alias("call_id"))
+    linked = links.link_calls(calls, results, ["conv_id", "thread"], "call_id")
+    return linked.groupBy("l_returnflag", "linked").agg(F.count("*").alias("results"), F.countDistinct("call_id").alias("ids"))
 
 
 def _events(spark, d):
@@ -269,8 +339,10 @@ def as_of_links(spark, d):
 
 
 def splice_merge(spark, d):
-    events = _events(spark, d).select("user_id", "event_id", "us")
-    return links.splice(events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0"), "user_id", "event_id", "us").select("user_id", "event_id", "place", "origin")
+    """Times that go up and down, tie and are absent."""
+    at = F.when(F.col("event_id") % 11 != 0, (F.col("event_id") * 37 % 101 + F.col("event_id") / 40).cast("long"))
+    events = _events(spark, d).select("user_id", "event_id", at.alias("at"))
+    return links.splice(events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0"), "user_id", "event_id", "at").select("user_id", "event_id", "place", "origin")
 
 
 def newest_per_thread(spark, d):
@@ -289,9 +361,15 @@ def handle_prefixes(spark, d):
 
 
 def branch_walk(spark, d):
-    """Each conversation's turns answer the turn two before; the branch that ends at the last turn."""
-    nodes = _read(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") - 2).alias("up"))
-    return links.branch(nodes, "conv_id", "turn", "up", "turn").select("conv_id", "turn", "depth")
+    """Orders of a ship priority as one long log each: most answer the one before, some the third before,
+    some close cycles, and some parents are outside."""
+    rows = _read(spark, d, "orders").where("o_orderkey < 6000").select((F.col("o_custkey") % 3).alias("tree"), F.col("o_orderkey").alias("node"))
+    back = F.when(F.col("node") % 1999 == 7, F.lit(-1)).when(F.col("node") % 977 == 5, F.lit(10**9)).otherwise(F.lit(1))
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("tree").orderBy("node")
+    nodes = rows.withColumn("up", F.when(back == 10**9, F.lit(10**9)).when(back == -1, F.lead("node").over(by)).otherwise(F.lag("node", 1).over(by)))
+    return links.branch(nodes, "tree", "node", "up", "node")
 
 
 def props_extract(spark, d):

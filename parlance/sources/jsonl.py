@@ -137,5 +137,5 @@ def pi_branch(lines: DataFrame) -> DataFrame:
 
     rows = lines.where("record IS NOT NULL").withColumn("id", _get("id")).withColumn("parent", _get("parentId")).where((_get("type") != "session") & F.col("id").isNotNull())
     rows = newest(rows, "id", [F.desc("line")])
-    on = branch(rows, "path", "id", "parent", "line", most=10_000)
+    on = branch(rows, "path", "id", "parent", "line")
     return rows.join(on.select("path", "id"), ["path", "id"], "left_semi")
