@@ -161,3 +161,18 @@ def term_masks(messages: DataFrame, terms: list[str]) -> DataFrame:
     full = -1 if len(terms) == 64 else (1 << len(terms)) - 1
     rows = messages.select("conv_id", "ordinal", mask.alias("mask"))
     return rows.groupBy("conv_id").agg(F.bit_or("mask").alias("mask"), F.count_if(F.col("mask") == full).alias("full_messages"))
+
+
+def until_enough(ranked_sessions: DataFrame, hits: DataFrame, wanted: int) -> DataFrame:
+    """The ranked sessions (conv_id, rank), at most a shortlist, up to the one with which so many had hits."""
+    held = hits.select("conv_id").distinct().withColumn("_hit", F.lit(1))
+    rows = ranked_sessions.join(held, "conv_id", "left")
+    before = F.coalesce(F.sum(F.coalesce("_hit", F.lit(0))).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_before", before).where(F.col("_before") < wanted).drop("_hit", "_before")
+
+
+def coverage(scores: DataFrame, searched: DataFrame, offset: int = 0) -> DataFrame:
+    """One row: matched sessions, offset, searched ones, and the offset to go on from, null at the end."""
+    both = scores.select(F.lit(1).alias("m")).unionAll(searched.select(F.lit(0)))
+    rows = both.agg(F.count_if(F.col("m") == 1).alias("matched"), F.count_if(F.col("m") == 0).alias("searched")).withColumn("offset", F.lit(offset).cast("long"))
+    return rows.withColumn("next_offset", F.when(F.col("offset") + F.col("searched") < F.col("matched"), F.col("offset") + F.col("searched")))
