@@ -60,10 +60,9 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start = offsets[:-1] + np.arange(n) * (ORDER + 1) + ORDER
     wide = np.zeros(len(data) + n * (ORDER + 1), np.uint8)
     wide[np.arange(len(data)) + np.repeat(start - offsets[:-1], size)] = K.LOWER[data]
-    gram = np.zeros(max(len(wide) - ORDER, 0), U)
-    for k in range(ORDER + 1):
-        gram <<= U(8)
-        gram |= wide[k : k + len(gram)]
+    wide = np.concatenate([wide, np.zeros(8, np.uint8)])
+    # eight bytes from each place on, the first one highest, of which a gram's are the first
+    gram = np.ndarray(max(len(wide) - 8 - ORDER, 0), ">u8", wide, strides=(1,)).astype(U) >> U(8 * (7 - ORDER))
     first = np.concatenate([[0], np.cumsum(size + 1)])
     keep = np.arange(first[-1]) + np.repeat(np.arange(n) * ORDER, size + 1)
     return gram[keep], first
@@ -109,7 +108,8 @@ class Model:
         for order, (keys, counts) in enumerate(levels):
             table = K.Table(keys)
             context = keys >> U(8)
-            own, row = np.unique(context, return_inverse=True)
+            new = np.append(True, context[1:] != context[:-1])[: len(context)]  # keys are in order
+            own, row = context[new], np.cumsum(new) - 1
             total = np.bincount(row, counts, len(own))
             kinds = np.bincount(row, minlength=len(own)).astype(float)
             # what the next shorter context has besides this context's followers
@@ -200,7 +200,7 @@ def bucket_model(grams: np.ndarray, counts: np.ndarray, low: list[tuple[np.ndarr
     levels = list(low)
     if DEALT > 1:
         context = U((1 << 8 * (DEALT - 1)) - 1)
-        own = np.isin(low[-1][0] >> U(8), np.unique(np.concatenate([grams, asked]) >> U(8) & context))
+        own = np.isin(low[-1][0] >> U(8), K.distinct(np.concatenate([grams, asked]) >> U(8) & context))
         levels[-1] = low[-1][0][own], low[-1][1][own]
     return Model(levels + [summed(grams & U((1 << 8 * (order + 1)) - 1), counts) for order in range(DEALT, ORDER + 1)])
 
@@ -272,8 +272,8 @@ def block_grams(part: pa.Table) -> np.ndarray:
     """The distinct grams of (doc_id, text) rows, in order."""
     found = [np.zeros(0, U)]
     for a in range(0, part.num_rows, 512):
-        found.append(np.unique(padded(*K.buffers(part.column(1).slice(a, 512).combine_chunks()))[0]))
-    return np.unique(np.concatenate(found))
+        found.append(K.distinct(padded(*K.buffers(part.column(1).slice(a, 512).combine_chunks()))[0]))
+    return K.distinct(np.concatenate(found))
 
 
 def score_bucket(bucket: int, kinds: list[int], ns: list[int], blobs: list[bytes], low: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, bytes]]:
@@ -284,7 +284,7 @@ def score_bucket(bucket: int, kinds: list[int], ns: list[int], blobs: list[bytes
     nodes = [unpacked_nodes(b) for k, b in zip(kinds, blobs, strict=True) if k == 5]
     grams = np.concatenate([np.zeros(0, U), *(x for x, _ in nodes)])
     counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in nodes)])
-    every = np.unique(np.concatenate([x for _, x in asked]))
+    every = K.distinct(np.concatenate([x for _, x in asked]))
     score = bucket_model(grams, counts, low, every).score(every)
     return [(-1 - block, 8, bucket, score[np.searchsorted(every, x)].tobytes()) for block, x in asked]
 
@@ -337,43 +337,50 @@ def score_batches(batches: Iterable[pa.RecordBatch], model: Model | Known, bucke
             for a in range(0, len(ids), 64):  # keeps the arrays of long texts apart
                 b = min(a + 64, len(ids))
                 rows["score"][a:b] = np.add.reduceat(model.score(grams[first[a] : first[b]]), first[a:b] - first[a])
-            out = []
-            for g in np.unique(doc % groups):
-                mine = rows[doc % groups == g]
+            out, own = [], (row % U(groups)).astype(np.int64)
+            for g in K.distinct(own):
+                mine = rows[own == g]
                 out.append((-1 - int(g), 1, len(mine), mine.tobytes()))
             packed = np.sort((w.hash >> U(_AT) << U(_AT)) | np.repeat(np.arange(len(ids)), words).astype(U))
             here = np.flatnonzero(np.append(True, packed[1:] != packed[:-1])) if len(packed) else np.zeros(0, np.int64)
             pairs, n = packed[here], np.diff(np.append(here, len(packed)))
             word = pairs >> U(_AT)
             cut = np.searchsorted(word, [-(-k * (1 << 64 - _AT) // buckets) for k in range(buckets)] if buckets > 1 else [0])
-            head = len(ids).to_bytes(4, "little") + row.tobytes() + doc.tobytes() + held.tobytes()
             for k, (a, b) in enumerate(zip(cut, [*cut[1:], len(pairs)], strict=True)):
                 if a < b:
                     new = np.append(True, word[a + 1 : b] != word[a : b - 1])
-                    own = word[a:b][new]
-                    # planes: distinct words, whether a pair begins the next word, places, counts
-                    planes = own.tobytes() + new.tobytes() + (pairs[a:b] & U((1 << _AT) - 1)).astype(np.uint16).tobytes() + n[a:b].astype(np.int32).tobytes()
-                    out.append((k, 0, len(own), int(b - a).to_bytes(4, "little") + head + planes))
+                    place = (pairs[a:b] & U((1 << _AT) - 1)).astype(np.int64)
+                    there = K.distinct(place)  # a bucket gets only the texts that have words in it
+                    out.append((k, 0, int(b - a), _pack(row[there], held[there], word[a:b][new], new, np.searchsorted(there, place), n[a:b])))
             yield _batch(out)
 
 
-def _unpack(blob: bytes, own: int) -> tuple[np.ndarray, ...]:
-    """Document rows, ids and held-out flags, then word, place and count of each pair."""
-    pairs, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
-    at, out = 8, []
-    for kind, n in ((U, size), (np.int64, size), (np.bool_, size), (U, own), (np.bool_, pairs), (np.uint16, pairs), (np.int32, pairs)):
-        out.append(np.frombuffer(blob, kind, n, at))
+def _pack(row: np.ndarray, held: np.ndarray, own: np.ndarray, new: np.ndarray, place: np.ndarray, n: np.ndarray) -> bytes:
+    """Texts, distinct words, and pairs of words and texts: whether one begins the next word, its text and count."""
+    small = np.minimum(n, 255).astype(np.uint8)
+    planes = row.tobytes() + held.tobytes() + own.tobytes() + new.tobytes() + place.astype("<u2").tobytes() + small.tobytes() + n[n >= 255].astype("<i4").tobytes()
+    return len(row).to_bytes(4, "little") + len(own).to_bytes(4, "little") + len(planes).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unpack(blob: bytes, pairs: int) -> tuple[np.ndarray, ...]:
+    """Texts' rows and held-out flags, then word, place and count of each pair."""
+    size, own, whole = (int.from_bytes(blob[k : k + 4], "little") for k in (0, 4, 8))
+    planes, at, out = pa.Codec("zstd").decompress(blob[12:], whole, asbytes=True), 0, []
+    for kind, count in ((U, size), (np.bool_, size), (U, own), (np.bool_, pairs), ("<u2", pairs), (np.uint8, pairs)):
+        out.append(np.frombuffer(planes, kind, count, at))
         at += out[-1].nbytes
-    row, doc, held, word, new, place, n = out
-    return row, doc, held, word[np.cumsum(new) - 1], place, n
+    row, held, word, new, place, small = out
+    n = small.astype(np.int64)
+    n[small == 255] = np.frombuffer(planes, "<i4", offset=at)
+    return row, held, word[np.cumsum(new) - 1], place.astype(np.int64), n
 
 
 def count_bucket(bucket: int, blobs: list[bytes], sizes: list[int], groups: int) -> list[tuple[int, int, int, bytes]]:
     """Counts a bucket's words; each document's share of the base score by group (kind 2), and the
     bucket's training tokens (kind 3) and distinct training words (kind 4)."""
-    parts = [_unpack(b, own) for b, own in zip(blobs, sizes, strict=True)]
-    word = np.concatenate([p[3] for p in parts])
-    count = np.concatenate([np.where(p[2][p[4]], 0, p[5]) for p in parts]).astype(np.int64)
+    parts = [_unpack(b, pairs) for b, pairs in zip(blobs, sizes, strict=True)]
+    word = np.concatenate([p[2] for p in parts])
+    count = np.concatenate([np.where(p[1][p[3]], 0, p[4]) for p in parts]).astype(np.int64)
     order = np.argsort(word)
     at = np.flatnonzero(np.append(True, word[order][1:] != word[order][:-1]))
     total = np.add.reduceat(count[order], at)
@@ -381,15 +388,16 @@ def count_bucket(bucket: int, blobs: list[bytes], sizes: list[int], groups: int)
     every[order] = np.repeat(total, np.diff(np.append(at, len(word))))
     log, known = np.log10(every + 1.0), every > 0
     out, start = [(0, 3, int(total.sum()), b""), (0, 4, int((total > 0).sum()), b"")], 0
-    for row, doc, _, own, place, n in parts:
+    for row, _, own, place, n in parts:
         end = start + len(own)
         share = np.zeros(len(row), _SHARE)
         share["row"] = row
         share["log"] = np.bincount(place, n * log[start:end], len(row))
         share["known"] = np.bincount(place, n * known[start:end], len(row))
         start = end
-        for g in np.unique(doc % groups):
-            mine = share[doc % groups == g]
+        group = (row % U(groups)).astype(np.int64)
+        for g in K.distinct(group):
+            mine = share[group == g]
             out.append((-1 - int(g), 2, len(mine), mine.tobytes()))
     return out
 
