@@ -137,4 +137,4 @@ def project_name(path: Column) -> Column:
 def duration_text(seconds: Column) -> Column:
     """1h 4m, 4m 5s or 5s; null if negative."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), F.floor(seconds % 60)
-    return F.when(seconds < 0, None).when(h > 0, F.format_string("%dh %dm", h, m)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+    return F.when(seconds.isNull() | (seconds < 0), None).when(h > 0, F.format_string("%dh %dm", h, m)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))

@@ -19,13 +19,24 @@ TOOLS = {
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, raw, record): lines from 1, blank ones left out, record a variant or null if malformed.
+    """(path, line, start, end, terminated, raw, record) of JSON-lines files: lines from 1 with the bytes
+    they take, blank ones left out; record is a variant, or null if malformed.
 
-    A file is one row of the scan, as line numbers need its whole order; transcripts are some MB.
+    Large files are read in blocks, by several tasks: a line's number is its place in its block after the
+    lines of the blocks before. A last line without a line feed may still be written; terminated is false.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("at", "raw"))
-    rows = rows.where(F.trim("raw") != "").select("path", (F.col("at") + 1).cast("long").alias("line"), "raw")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(path)
+    rows = files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("place"), "value"
+    ).withColumn("bytes", F.octet_length("value") + 1)
+    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_before"))
+    inside = Window.partitionBy("path", "block").orderBy("place")
+    rows = rows.withColumn("line", F.row_number().over(inside)).withColumn("end", F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.join(blocks, ["path", "block"]).withColumns({"line": (F.col("line") + F.col("lines_before")).cast("long"), "end": F.col("end") + F.col("bytes_before")})
+    rows = rows.withColumn("raw", F.regexp_replace("value", r"\r$", "")).where(F.trim("raw") != "")
+    rows = rows.select("path", "line", (F.col("end") - F.col("bytes")).alias("start"), F.least("end", "size").alias("end"), (F.col("end") <= F.col("size")).alias("terminated"), "raw")
     return rows.withColumn("record", F.try_parse_json("raw"))
 
 
