@@ -316,8 +316,9 @@ def window_pointers(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     wide = np.concatenate([data, np.zeros(depth, np.uint8)])
     grams = np.ndarray(len(data), ">u8", wide, strides=(1,)).astype(U)
     grams[left < depth] = 0
-    order = np.argsort(grams, kind="stable")
-    new = np.append(True, grams[order][1:] != grams[order][:-1])
+    order = np.argsort(grams)
+    ordered = grams[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
     pointer = np.empty(len(data), np.int64)
     pointer[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     pointer[left < depth] = -1
@@ -326,10 +327,11 @@ def window_pointers(data: np.ndarray, size: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(left >= depth)
         held = np.bincount(pointer[some], minlength=len(data))
         some = some[held[pointer[some]] > 1]
-        later = pointer[some + step]
-        order = np.lexsort((later, pointer[some]))
-        some, later = some[order], later[order]
-        own = pointer[some]
+        # both pointers as one number
+        pair = pointer[some] << 32 | pointer[some + step]
+        order = np.argsort(pair)
+        some, pair = some[order], pair[order]
+        own, later = pair >> 32, pair & 0xFFFFFFFF
         bucket = np.append(True, own[1:] != own[:-1])
         new = bucket | np.append(True, later[1:] != later[:-1])
         at = np.arange(len(some))

@@ -5,6 +5,8 @@ distinct documents that hold a line are counted, copies of a text included. Line
 ``max_docs`` documents of their host are removed, and documents that keep too little are rejected,
 as are those that fail the base rules on length and repetition.
 
+Lines are told by 64 bits of a hash within their host, texts by 128.
+
 A text is read once: the scan gives its counts and the hashes and sizes of its distinct lines. Line
 counts are partial aggregates, so a line that a third of all documents hold is a few rows a task.
 """

@@ -426,7 +426,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Both models learn from the documents whose crc32(doc_id as text) mod 7 isn't 2. Defined cases: a
     null text is empty and has its end only; a null doc_id counts as empty text for the remainder;
     repeated rows are scored, and learnt from, each; an empty table gives no rows; with no training
-    documents all bytes have probability 1/256; other columns are not read.
+    documents all bytes have probability 1/256; a NUL byte in a text is the same symbol as a text's end;
+    other columns are not read.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -57,9 +57,40 @@ def test_near_duplicates_odd_rows(odd, odd_rows, nothing):
     assert len(out) == len(odd_rows)
     assert all(x.component_id is None and x.kept for x in out if x.doc_id is None)
     assert {x.component_id for x in out if x.doc_id in (0, 1, 2)} == {0, 1, 2}
+    named = sorted({d for _, d, *_ in odd_rows if d is not None})
+    texts = {d: [t for t, e, *_ in odd_rows if e == d] for d in named}
+    up = {d: d for d in named}
+    for a in named:  # a document has all links of its rows
+        for b in named:
+            if any(_shingles(x) and 100 * len(_shingles(x) & _shingles(y)) >= 85 * len(_shingles(x) | _shingles(y)) for x in texts[a] for y in texts[b]):
+                low, high = sorted((up[a], up[b]))
+                up = {d: low if t == high else t for d, t in up.items()}
+    assert {x.doc_id: x.component_id for x in out if x.doc_id is not None} == up
     assert minhash_hamming.near_duplicates(nothing).count() == 0
 
 
+def test_links_at_the_threshold_are_kept(spark):
+    r = random.Random(11)
+    rows = []
+    for k in range(60):  # 100 shingles each, of which two share 92 of 108 (0.8518) or 91 of 109 (0.8348)
+        own = [f"{k}w{i}" for i in range(104)]
+        shared = 92 if k % 2 else 91
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: shared + 4] + [f"{k}z{i}" for i in range(100 - shared)]))]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in minhash_hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()}
+    assert got == {d: top for d, (_, top) in _groups(rows, 85).items()}
+    assert all(got[2 * k + 1] == 2 * k + (k + 1) % 2 for k in range(60))
+
+
+def test_unlike_texts_of_one_template_make_no_links(spark):
+    r = random.Random(12)
+    head = [f"t{i}" for i in range(80)]
+    rows = [(i, " ".join(head + [f"o{i}x{k}" for k in range(12)])) for i in range(120)] + [(500 + i, " ".join(head + [f"o{i}x{k}" for k in range(11)])) for i in range(40)]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in minhash_hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()}
+    assert got == {d: top for d, (_, top) in _groups(rows, 85).items()}
+
+
 def test_index_finds_every_pair_under_the_guaranteed_distance():
     import numpy as np
 
@@ -110,6 +141,45 @@ def test_repeats_equal_brute_force(spark):
     assert got == _cut([(d, t.encode()) for d, t in rows])
 
 
+def test_groups_are_sparks_own(spark):
+    import numpy as np
+
+    ids = [0, 1, -5, 1000, 10**15, -(1 << 63), (1 << 63) - 1]
+    rows = spark.createDataFrame([(i,) for i in ids], "i long").select(F.pmod(F.xxhash64("i"), F.lit(37))).collect()
+    assert bucket_refinement._group(np.array(ids, np.int64), 37).tolist() == [r[0] for r in rows]
+
+
+def test_pointers_are_classes_of_windows():
+    import numpy as np
+
+    r = random.Random(9)
+    parts = [bytes(r.choice(b"ab") for _ in range(90)) for _ in range(20)]
+    stretches = [(p + r.choice(parts))[r.randrange(30) :][: r.randrange(50, 81)] for p in parts * 6] + [b"a" * 80] * 3
+    data = np.frombuffer(b"".join(stretches), np.uint8)
+    size = np.array([len(s) for s in stretches])
+    pointer, classes, at = bucket_refinement.window_pointers(data, size), {}, 0
+    for s in stretches:
+        for k in range(len(s)):
+            assert (pointer[at + k] >= 0) == (len(s) - k >= 50)
+            if len(s) - k >= 50:
+                classes.setdefault(s[k : k + 50], set()).add(int(pointer[at + k]))
+        at += len(s)
+    assert all(len(x) == 1 for x in classes.values()) and len({min(x) for x in classes.values()}) == len(classes)
+
+
+def test_repeats_with_frequent_grams_and_spaced_ids(spark, monkeypatch):
+    monkeypatch.setattr(bucket_refinement, "HOT", 1 << 9)
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    phrase, passage = "a phrase of thirty bytes, held ", "a passage of more than fifty bytes that very many of all documents share. "
+    rows = [(i * 1000, word(r.randrange(20, 60)) + phrase + word(r.randrange(20, 60)) + (passage if i % 3 == 0 else "") + word(10) + (phrase * 2 if i % 5 == 0 else "")) for i in range(400)]
+    rows += [(7000, rows[3][1]), (None, rows[0][1]), (None, rows[0][1]), (400_000, None)]
+    out = bucket_refinement.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    named = [(d, (t or "").encode()) for d, t in rows if d is not None]
+    assert sorted(tuple(x) for x in out if x.doc_id is not None) == _cut(named)
+    assert [(x.n_bytes, x.n_removed, x.n_spans) for x in out if x.doc_id is None] == [(len(rows[0][1]), 0, 0)] * 2
+
+
 def test_repeats_odd_rows(odd, odd_rows, nothing):
     out = bucket_refinement.remove_repeats(odd, text=True)
     assert out.columns[: len(odd.columns)] == odd.columns

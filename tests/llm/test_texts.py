@@ -1,6 +1,7 @@
 """Extraction, formatting, line rules, language model, mixing, quality and tokens."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -150,6 +151,18 @@ def test_long_threads_take_few_rounds(spark):
     assert out[-1].loss_chars == len("<|im_end|><|im_start|>assistant ok")
 
 
+def test_conversations_with_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, tree string, node long, score double, parent string"
+    extra = ("x", 7, 1.0, "y")
+    rows = [(4, 1, "user", "a", *extra), (4, 1, "user", "a", *extra), (4, None, None, "first", *extra), (-1, 0, "user", "stored", *extra), (None, None, None, None, *extra), (None, 3, "assistant", "z", *extra), (5, 2, "assistant", "<|im_end|>\n\\n" * 9000, *extra)]
+    out = reply_trees.conversation_digests(spark.createDataFrame(rows, schema)).collect()
+    found = sorted((x.conv_id if x.conv_id is not None else 99, x.n_turns, x.loss_chars) for x in out)
+    assert found == [(-1, 1, 0), (-1, 2, 34), (4, 3, 0), (5, 1, 12 * 9000 + 9000), (99, 2, 1)]
+    digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in (("", "first"), ("user", "a"), ("user", "a"))).encode()).hexdigest()
+    assert [x.turns_sha256 for x in out if x.conv_id == 4] == [digest]
+    assert [x.conv_id for x in reply_trees.conversation_digests(spark.createDataFrame([], schema)).collect()] == [-1]
+
+
 def test_line_counts(odd_rows):
     texts = [r[0] or "" for r in odd_rows] + ["a b c a b c a\n\n a b\na b\n"]
     table = pa.table({"doc_id": list(range(len(texts))), "host": [""] * len(texts), "text": texts})
