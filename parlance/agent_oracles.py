@@ -108,6 +108,16 @@ SELECT conv_id, first, last, CAST(CASE WHEN kind = 0 THEN 0 WHEN kind IS NOT NUL
     "early_stop": f"""WITH {_M}, x AS (SELECT DISTINCT conv_id, conv_id * 17 % 61 AS rank FROM m WHERE conv_id < 60), y AS (SELECT *, coalesce(sum((conv_id % 4 = 0)::INT) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x) SELECT conv_id, rank FROM y WHERE b < 5""",
     "search_coverage": f"{_rank()}, c AS (SELECT count(*) AS n FROM r) SELECT n AS matched, greatest(least(n - 3, 7), 0) AS searched, CAST(3 AS BIGINT) AS \"offset\", CASE WHEN 3 + greatest(least(n - 3, 7), 0) < n THEN 3 + greatest(least(n - 3, 7), 0) END AS next_offset FROM c",
     "literal_in_project": f"WITH {_M} SELECT conv_id, round({_fresh('max(second)')}, 6) AS score FROM m GROUP BY conv_id HAVING conv_id % 7 = 3",
+    "message_receivers": f"""WITH {_EV}, s AS (SELECT user_id % 5 AS shard, event_id AS started, 't' || (event_id % 7) AS thread, unnest(list_distinct(['n' || (k % 6), 'n' || (k % 4)])) AS name FROM e WHERE event_type = 'click'),
+m AS (SELECT event_id, user_id % 5 AS shard, 'n' || (k % 8) AS recipient, 't' || (user_id % 7) AS sender FROM e WHERE event_type = 'purchase')
+SELECT event_id, recipient, max_by(thread, started) AS thread FROM m LEFT JOIN s ON s.shard = m.shard AND name = recipient AND started < event_id AND thread <> sender GROUP BY 1, 2""",
+    "rollout_chains": f"""WITH RECURSIVE {_EV}, r AS MATERIALIZED (SELECT user_id AS thread, event_id * 7 % 10007 AS ts, event_id AS id, CASE WHEN event_id % 17 = 0 THEN -1 WHEN event_id % 29 = 0 THEN event_id ELSE lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS base, k FROM e),
+c(thread, id, base, k, depth, stop) AS (SELECT thread, id, base, k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM r QUALIFY row_number() OVER (PARTITION BY thread ORDER BY ts DESC, id DESC) = 1
+  UNION ALL SELECT r.thread, r.id, r.base, r.k, c.depth + 1, c.k FROM c JOIN r ON r.thread = c.thread AND r.id = c.base WHERE c.base <> c.id)
+SELECT thread, id AS rollout_id, depth, stop AS "end" FROM c""",
+    "run_activities": f"""WITH {_EV}, t AS (SELECT user_id, ['Shell', 'Shell', 'Read', 'Grep', 'Other'][k % 5 + 1] AS tool, CASE WHEN k % 5 < 2 THEN greatest(event_id % 4, 1) ELSE 1 END AS n FROM e WHERE event_id % 3 = 0), c AS (SELECT user_id, tool, sum(n) AS n FROM t GROUP BY 1, 2),
+p AS (SELECT user_id, CASE tool WHEN 'Grep' THEN 1 WHEN 'Read' THEN 2 WHEN 'Shell' THEN 3 ELSE 4 END AS o, CASE tool WHEN 'Grep' THEN 'Searched for ' WHEN 'Read' THEN 'read ' WHEN 'Shell' THEN 'ran ' ELSE 'called ' END || CAST(n AS BIGINT)
+  || CASE tool WHEN 'Grep' THEN ' pattern' WHEN 'Read' THEN ' file' WHEN 'Shell' THEN ' shell command' ELSE ' tool' END || CASE WHEN n = 1 THEN '' ELSE 's' END AS x FROM c), q AS (SELECT user_id, string_agg(x, ', ' ORDER BY o) AS x FROM p GROUP BY 1) SELECT user_id, upper(x[1]) || x[2:] AS activity FROM q""",
     "kimi_entries": """WITH c AS (SELECT *, CAST(conv_id AS VARCHAR) AS path, turn + 1 AS line, left(text, 80) AS t FROM conversations WHERE text IS NOT NULL),
 a AS (SELECT path, line, CASE WHEN turn % 3 = 1 THEN 'tool_use' WHEN turn % 2 = 0 THEN 'text' ELSE 'thinking' END AS kind, 'assistant' AS role, CASE WHEN turn % 3 = 1 THEN 'c' || turn END AS call_id, CASE WHEN turn % 3 = 1 THEN 'Shell' END AS tool, CASE WHEN turn % 3 = 0 THEN md5(t) END AS digest, NULL AS label, NULL::BIGINT AS output_tokens FROM c WHERE role = 'assistant' AND (turn % 3 = 1 OR (turn % 3 = 0 AND t <> ''))),
 u AS (SELECT path, line, 'text' AS kind, 'user' AS role, NULL AS call_id, NULL AS tool, md5(t) AS digest, NULL AS label, NULL::BIGINT AS o FROM c WHERE role <> 'assistant' AND turn % 5 <> 4 AND turn % 4 <> 2 AND t <> ''),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 from parlance.functions import tools
-from parlance.operators import evidence, facts, lexical, scope, semantic, sessions
+from parlance.operators import evidence, facts, lexical, links, scope, semantic, sessions
 from parlance.plans import query as Q
 from parlance.queries import _fields, _messages, _now, _parts, _read, _vector
 from parlance.sources import calls, kimi, opencode, pi
@@ -360,6 +360,31 @@ def hook_texts(spark, d):
     return calls.place_hooks(entries, hooks)
 
 
+def message_receivers(spark, d):
+    """Purchases as messages to names, clicks as starts of threads with two names each."""
+    events = _ev(spark, d)
+    shard = (F.col("user_id") % 5).alias("shard")
+    starts = events.where("event_type = 'click'").select(shard, F.col("event_id").alias("at"), _text("t", F.col("event_id") % 7).alias("thread"), F.array(_text("n", F.col("k") % 6), _text("n", F.col("k") % 4)).alias("names"))
+    messages = events.where("event_type = 'purchase'").select("event_id", shard, F.col("event_id").alias("at"), _text("n", F.col("k") % 8).alias("recipient"), _text("t", F.col("user_id") % 7).alias("sender"))
+    return links.running_receivers(messages, starts, "shard", "at").select("event_id", "recipient", "thread")
+
+
+def rollout_chains(spark, d):
+    """Events as rollouts of users: most go on from the one before, some from nowhere."""
+    from pyspark.sql import Window
+
+    e = F.col("event_id")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = _ev(spark, d).withColumn("base_id", F.when(e % 17 == 0, F.lit(-1)).when(e % 29 == 0, e).otherwise(before))
+    return links.rollout_chain(rows.select(F.col("user_id").alias("thread"), (e * 7 % 10007).alias("ts"), e.alias("rollout_id"), "base_id", F.col("k").alias("base_end")))
+
+
+def run_activities(spark, d):
+    tool = F.element_at(F.array(*map(F.lit, ("Shell", "UserShell", "Read", "Grep", "Other"))), (F.col("k") % 5).cast("int") + 1)
+    rows = _ev(spark, d).where("event_id % 3 = 0").select("user_id", tool.alias("tool"), (F.col("event_id") % 4).alias("commands"))
+    return links.run_activity(rows, ["user_id"])
+
+
 def context_snippets(spark, d):
     """Places of words that a document's beginning doesn't show; no SQL, tested against a plain reading."""
     rows = _read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.left(F.coalesce("text", F.lit("")), F.lit(80)).alias("preview"))

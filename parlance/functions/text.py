@@ -138,3 +138,15 @@ def duration_text(seconds: Column) -> Column:
     """1h 4m, 4m 5s or 5s; null if negative."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), F.floor(seconds % 60)
     return F.when(seconds.isNull() | (seconds < 0), None).when(h > 0, F.format_string("%dh %dm", h, m)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def short_duration(millis: Column) -> Column:
+    """0.25s below a second, 4.2s below ten, else as ``duration_text``; null if negative."""
+    seconds = millis / 1000
+    return F.when(millis.isNull() | (millis < 0), None).when(millis < 10_000, F.concat(F.regexp_replace(F.format_string("%.2f", seconds.cast("double")), r"\.?0+$", ""), F.lit("s"))).otherwise(duration_text(F.floor(seconds)))
+
+
+def path_below(path: Column, root: str) -> Column:
+    """The part of a path below a folder; the path itself if it isn't below it."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)

@@ -13,6 +13,14 @@ FIELDS = {
     "Glob": ("pattern", None), "Skill": ("skill", "args"), "Agent": ("description", "prompt"), "AgentMessage": ("recipient", "message"), "ReceivedMessage": ("sender", "message"),
     "AgentReport": ("message", None), "WebFetch": ("url", "prompt"), "WebSearch": ("query", None),
 }
+#: What a run of calls says of each tool, in this order: verb, noun and plural.
+PHRASES = {
+    "Grep": ("Searched for", "pattern", "patterns"), "Glob": ("Searched for", "file pattern", "file patterns"), "DirectoryListing": ("listed", "directory", "directories"), "Read": ("read", "file", "files"),
+    "FileReference": ("referenced", "file", "files"), "Shell": ("ran", "shell command", "shell commands"), "Script": ("ran", "script", "scripts"), "Edit": ("edited", "file", "files"), "Write": ("wrote", "file", "files"),
+    "Skill": ("loaded", "skill", "skills"), "Agent": ("started", "agent", "agents"), "AgentMessage": ("messaged", "agent", "agents"), "ReceivedMessage": ("received", "message", "messages"),
+    "AgentReport": ("handed back", "report", "reports"), "Wait": ("waited", "time", "times"), "UserQuestion": ("asked the user", "time", "times"), "TaskList": ("updated the task list", "time", "times"),
+    "WebFetch": ("fetched", "URL", "URLs"), "WebSearch": ("searched the web", "time", "times"), "ResultReceipt": ("received", "tool result", "tool results"), "Other": ("called", "tool", "tools"),
+}
 #: Bytes that an atom holds as they are.
 PLAIN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._~:/+-"
 
@@ -99,3 +107,17 @@ def evidence_preview(text: Column) -> Column:
     """Without elements whose name has a hyphen, bodies included, in one line."""
     whole = F.regexp_replace(text, r"(?s)<\s*([^\s/>][^\s>]*-[^\s>]*|-[^\s>]*)[^>]*>.*?</\1>", " ")
     return collapse(F.regexp_replace(whole, r"<\s*/*[^\s>]*-[^\s>]*[^>]*>", " "))
+
+
+def activity(counted: Column) -> Column:
+    """The sentence about (tool, n) counts of a run, in the order of the phrases."""
+
+    def of(tool: str) -> Column:
+        return F.aggregate(F.filter(counted, lambda c: c["tool"] == tool), F.lit(0).cast("long"), lambda a, c: a + c["n"])
+
+    items = []
+    for tool, (verb, noun, plural) in PHRASES.items():
+        n = of(tool)
+        items.append(F.when(n > 0, F.concat(F.lit(f"{verb} "), n.cast("string"), F.when(n == 1, f" {noun}").otherwise(f" {plural}"))))
+    text = F.array_join(F.array_compact(F.array(*items)), ", ")
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))

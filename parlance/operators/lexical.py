@@ -131,20 +131,30 @@ def bucket(score: Column) -> Column:
     return F.floor(score * 10).cast("long")
 
 
+def _ties(hits: DataFrame, *names: str) -> list[Column]:
+    """Orders by those of the names that the hits have: evidence falls, the kind of hit rises."""
+    return [F.desc(n) if n == "evidence" else F.asc(n) for n in names if n in hits.columns]
+
+
 def flat_hits(hits: DataFrame, top: int = Q.TOP) -> DataFrame:
-    """Output order of ungrouped hits: score in tenths, source, score, conversation, ordinal."""
-    return hits.orderBy(F.desc(bucket(F.col("score"))), "source", F.desc("score"), "conv_id", "ordinal").limit(top)
+    """Output order of ungrouped hits: score in tenths, source, score, evidence, kind, conversation, ordinal."""
+    return hits.orderBy(F.desc(bucket(F.col("score"))), "source", F.desc("score"), *_ties(hits, "evidence", "hit_kind"), "conv_id", "ordinal").limit(top)
 
 
 def merge_duplicates(hits: DataFrame) -> DataFrame:
-    """One hit for each (conv_id, ordinal, source): the widest range and the best score."""
-    return hits.groupBy("conv_id", "ordinal", "source").agg(F.min("read_first").alias("read_first"), F.max("read_last").alias("read_last"), F.max("score").alias("score"), F.count("*").alias("merged"))
+    """One hit for each (conv_id, ordinal, source): the widest range, the best score and, where hits have
+    them, any flag (shows_…), the best evidence and the preview of the best score."""
+    more = [F.bool_or(c).alias(c) for c in hits.columns if c.startswith("shows_")]
+    more += [F.max("evidence").alias("evidence")] if "evidence" in hits.columns else []
+    more += [F.max_by("preview", "score").alias("preview")] if "preview" in hits.columns else []
+    best = hits.groupBy("conv_id", "ordinal", "source")
+    return best.agg(F.min("read_first").alias("read_first"), F.max("read_last").alias("read_last"), F.max("score").alias("score"), F.count("*").alias("merged"), *more)
 
 
 def grouped_hits(hits: DataFrame, per_conversation: int = Q.HITS_PER_CONVERSATION, top: int = Q.TOP) -> DataFrame:
     """The best hits of the best conversations, with each conversation's number of hits and best score."""
     whole = Window.partitionBy("conv_id")
-    order = whole.orderBy(F.desc(bucket(F.col("score"))), "source", F.desc("score"), "ordinal")
+    order = whole.orderBy(F.desc(bucket(F.col("score"))), "source", *_ties(hits, "evidence"), F.desc("score"), "ordinal", *_ties(hits, "hit_kind"))
     rows = hits.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("total_hits", F.count("*").over(whole))
     kept = rows.where(F.col("rank") <= per_conversation).withColumn("group_score", F.max("score").over(whole))
     best = kept.select("conv_id", "group_score").distinct().orderBy(F.desc("group_score"), "conv_id").limit(top)

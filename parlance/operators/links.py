@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.tools import activity
 from parlance.operators.tables import settle
 
 
@@ -39,6 +40,34 @@ def as_of(events: DataFrame, starts: DataFrame, key: str, at: str, start: str, v
     return rows.where("_side = 1").select("_event.*", "linked")
 
 
+def running_receivers(messages: DataFrame, starts: DataFrame, key: str, at: str) -> DataFrame:
+    """For each message (key, at, recipient, sender) the thread that its recipient names: of the threads
+    that started strictly before it with that name, and aren't the sender's own, the latest; or null.
+
+    Starts are (key, at, thread, names). Each start also knows the latest other thread before it of the same
+    name, so one sorted union finds both, and no pairs are made.
+    """
+    named = starts.select(key, F.col(at).alias("_at"), "thread", F.explode(F.array_distinct("names")).alias("recipient"))
+    order = Window.partitionBy(key, "recipient").orderBy("_at", "thread")
+    before = F.lag("thread").over(order)
+    named = named.withColumn("_left", F.when(before != F.col("thread"), before))
+    other = F.last("_left", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    named = named.select(key, "recipient", "_at", F.struct("thread", other.alias("other")).alias("_found"))
+    rows = messages.withColumn("_named", F.struct(F.col(key), F.col("recipient")))
+    linked = as_of(rows, named.withColumn("_named", F.struct(F.col(key), F.col("recipient"))), "_named", at, "_at", "_found")
+    thread = F.when(F.col("linked.thread") == F.col("sender"), F.col("linked.other")).otherwise(F.col("linked.thread"))
+    return linked.withColumn("thread", thread).drop("linked", "_named")
+
+
+def run_activity(calls: DataFrame, key: list[str]) -> DataFrame:
+    """(key, activity) of (key, tool, commands) calls of runs: a sentence that counts each kind, a shell call
+    once for each of its commands. What the user ran counts as a shell command."""
+    tool = F.when(F.col("tool") == "UserShell", "Shell").otherwise(F.col("tool"))
+    n = F.when(tool == "Shell", F.greatest(F.coalesce("commands", F.lit(1)), F.lit(1))).otherwise(1).cast("long")
+    counted = calls.groupBy(*key, tool.alias("tool")).agg(F.sum(n).alias("n"))
+    return counted.groupBy(*key).agg(activity(F.collect_list(F.struct("tool", "n"))).alias("activity"))
+
+
 def inherit(rows: DataFrame, key: list[str], order: str, time: str, start: str | None = None) -> DataFrame:
     """Rows without a time take that of the row before them in their thread, or else the thread's start."""
     by = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -127,3 +156,14 @@ def branch(nodes: DataFrame, tree: str, node: str, parent: str, order: str) -> D
         jump = settle(step.join(jump.select(tree, F.col("_node").alias("_up"), F.col("_up").alias("_far")), [tree, "_up"]).select(tree, F.col(node).alias("_node"), F.col("_far").alias("_up")))
         reach *= 2
     return found
+
+
+def rollout_chain(rollouts: DataFrame) -> DataFrame:
+    """(thread, rollout_id, depth, end) of (thread, ts, rollout_id, base_id, base_end): each thread's newest
+    rollout, and those that it and its bases go on from, each read up to the byte where the next one took
+    over. A base that isn't there, or that closes a cycle, ends the chain."""
+    rows = rollouts.withColumn("_order", F.struct("ts", "rollout_id"))
+    on = branch(rows, "thread", "rollout_id", "base_id", "_order")
+    known = on.join(rollouts.select("thread", "rollout_id", "base_end"), ["thread", "rollout_id"])
+    end = F.lag("base_end").over(Window.partitionBy("thread").orderBy("depth"))
+    return known.select("thread", "rollout_id", "depth", end.alias("end"))

@@ -283,3 +283,8 @@ def reciprocal_ranks(lexical: DataFrame, semantic: DataFrame, top: int) -> DataF
     both = lexical.withColumnRenamed("rank", "lexical_rank").join(semantic.withColumnRenamed("rank", "semantic_rank"), "conv_id", "full_outer")
     part = lambda c: F.coalesce(1.0 / (Q.RRF + F.col(c)), F.lit(0.0))
     return both.withColumn("fused", part("lexical_rank") + part("semantic_rank")).orderBy(F.desc("fused"), "conv_id").limit(top)
+
+
+def refreshed(index: DataFrame, made: DataFrame, changed: DataFrame) -> DataFrame:
+    """An index of passages with those of changed sessions (conv_id) replaced by newly made ones."""
+    return index.join(changed.select("conv_id").distinct(), "conv_id", "left_anti").select(index.columns).unionByName(made.join(changed.select("conv_id").distinct(), "conv_id", "left_semi").select(index.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime, timedelta, tzinfo
 
 from parlance.functions.text import CJK, SEPARATORS
 
@@ -90,8 +90,16 @@ class TimeFilter:
 _UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days", "w": "weeks"}
 
 
-def parse_time(text: str, now: datetime, upper: bool = False) -> datetime:
-    """An RFC 3339 time, a date with optional minutes or seconds, or a span before now such as 1w2d or 3mo.
+def _local(at: datetime, zone: tzinfo, late: bool) -> datetime:
+    """A wall time in a zone: of two the earlier or the later one, and one that is skipped moves on."""
+    found = at.replace(tzinfo=zone, fold=int(late))
+    again = found.astimezone(UTC).astimezone(zone)
+    return found if again.replace(tzinfo=None) == at else at.replace(tzinfo=zone, fold=0).astimezone(UTC).astimezone(zone)
+
+
+def parse_time(text: str, now: datetime, upper: bool = False, zone: tzinfo = UTC) -> datetime:
+    """An RFC 3339 time, a date with optional minutes or seconds in a zone, or a span before now such as 1w2d
+    or 3mo.
 
     An upper bound reaches to the end of the date, minute or second that it names.
     """
@@ -103,12 +111,12 @@ def parse_time(text: str, now: datetime, upper: bool = False) -> datetime:
         return at
     for pattern, width in (("%Y-%m-%d", timedelta(days=1)), ("%Y-%m-%dT%H:%M", timedelta(minutes=1)), ("%Y-%m-%dT%H:%M:%S", timedelta(seconds=1))):
         try:
-            at = datetime.strptime(text.replace(" ", "T"), pattern).replace(tzinfo=UTC)
+            at = datetime.strptime(text.replace(" ", "T"), pattern)
         except ValueError:
             continue
-        return at + width - timedelta(microseconds=1) if upper else at
+        return (_local(at + width, zone, True).astimezone(UTC) - timedelta(microseconds=1)).astimezone(zone) if upper else _local(at, zone, False)
     at = datetime.fromisoformat(text)
-    return at if at.tzinfo else at.replace(tzinfo=UTC)
+    return at if at.tzinfo else _local(at, zone, upper)
 
 
 def _months_before(at: datetime, n: int) -> datetime:
@@ -122,9 +130,9 @@ def _months_before(at: datetime, n: int) -> datetime:
     return at.replace(year=year, month=month + 1, day=min(at.day, 28))
 
 
-def time_filter(now: datetime, since: str | None = None, after: str | None = None, before: str | None = None) -> TimeFilter:
-    low = [parse_time(t, now) for t in (since, after) if t]
-    window = TimeFilter(max(low) if low else None, parse_time(before, now, upper=True) if before else None)
+def time_filter(now: datetime, since: str | None = None, after: str | None = None, before: str | None = None, zone: tzinfo = UTC) -> TimeFilter:
+    low = [parse_time(t, now, zone=zone) for t in (since, after) if t]
+    window = TimeFilter(max(low) if low else None, parse_time(before, now, True, zone) if before else None)
     if window.after and window.before and window.after > window.before:
         raise ValueError("the window ends before it begins")
     return window

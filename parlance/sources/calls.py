@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.sources.records import emit, entry, get
+from parlance.sources.records import changed_models, emit, entry, filled, get, with_usage
 
 #: Functions with the canonical tool and the canonical names of their arguments.
 FUNCTIONS = {
@@ -165,6 +165,37 @@ def injected_context(text: str = "text") -> Column:
     return F.ltrim(F.col(text)).rlike(r"(?s)^<(environment_context|user_instructions|permissions instructions|collaboration_mode|turn_aborted|skills_instructions|app-context)>.*</\1>\s*$") | F.ltrim(F.col(text)).startswith("# AGENTS.md instructions")
 
 
+def codex_facts(lines: DataFrame) -> DataFrame:
+    """What a rollout says besides messages: compactions, models on change, and the usage of each request."""
+    rows = lines.where("record IS NOT NULL").withColumns({"type": get("type"), "says": get("payload.type"), "ts": get("timestamp")})
+    of = lambda kind: F.col("type") == kind
+    usage = "payload.info.last_token_usage"
+    total, cached = F.coalesce(get(f"{usage}.input_tokens", "long"), F.lit(0)), F.coalesce(get(f"{usage}.cached_input_tokens", "long"), F.lit(0))
+    meta = {"kind": "meta", "searchable": F.lit(False)}
+    ended = of("event_msg") & (F.col("says") == "turn_aborted") & get("payload.reason").isin("interrupted", "budget_limited")
+    made = emit(
+        rows,
+        ["path", "line", "ts"],
+        entry(of("compacted") & filled(get("payload.message")), **meta, label="Compaction", text=get("payload.message")),
+        entry(of("turn_context") & get("payload.model").isNotNull(), **meta, label="Model", text=get("payload.model"), model=get("payload.model")),
+        entry(of("event_msg") & (F.col("says") == "token_count"), **meta, label="Usage", input_tokens=F.greatest(total - cached, F.lit(0)), output_tokens=get(f"{usage}.output_tokens", "long"), cache_write=F.lit(0), cache_read=cached),
+        entry(ended, kind="meta", label="Notice", text=F.concat(F.lit("Turn ended: "), get("payload.reason")), searchable=F.lit(True)),
+    )
+    return with_usage(changed_models(made, "path", ["line", "part"]))
+
+
+def grok_turns(lines: DataFrame) -> DataFrame:
+    """The models, on change, and the usage that ended turns name."""
+    update = "params.update"
+    rows = lines.where("record IS NOT NULL").withColumn("ts", get("timestamp")).where(get(f"{update}.sessionUpdate") == "turn_completed")
+    models = F.coalesce(F.json_object_keys(F.to_json(get(f"{update}.usage.modelUsage", "variant"))), F.array().cast("array<string>"))
+    meta = {"kind": "meta", "searchable": F.lit(False)}
+    named = F.transform(F.sort_array(models), lambda m: entry(F.lit(True), **meta, label="Model", text=m, model=m))
+    total, cached = F.coalesce(get(f"{update}.usage.inputTokens", "long"), F.lit(0)), F.coalesce(get(f"{update}.usage.cachedReadTokens", "long"), F.lit(0))
+    usage = entry(F.lit(True), **meta, label="Usage", input_tokens=F.greatest(total - cached, F.lit(0)), output_tokens=get(f"{update}.usage.outputTokens", "long"), cache_write=F.lit(0), cache_read=cached)
+    return with_usage(changed_models(emit(rows, ["path", "line", "ts"], (named, True), usage), "path", ["line", "part"]))
+
+
 def subagent_cleanup(entries: DataFrame, threads: DataFrame) -> DataFrame:
     """(path, thread, line, kind, call_id, tool, input, text) entries as shown beside their sub-agents.
 

@@ -1,6 +1,7 @@
 """Planning, text expressions and operators of the conversation search."""
 
 from datetime import UTC, datetime
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,14 @@ def test_times(text, upper, want):
     assert Q.parse_time(text, NOW, upper) == want
 
 
+def test_times_in_zones():
+    zone = ZoneInfo("Europe/Berlin")
+    at = lambda text, upper=False: Q.parse_time(text, NOW, upper, zone).astimezone(UTC)
+    assert at("2026-07-01") == datetime(2026, 6, 30, 22, tzinfo=UTC) and at("2026-03-28", True) == datetime(2026, 3, 28, 22, 59, 59, 999999, tzinfo=UTC)
+    assert at("2026-03-29T02:30") == datetime(2026, 3, 29, 1, 30, tzinfo=UTC)  # skipped
+    assert at("2026-10-25T02:30") == datetime(2026, 10, 25, 0, 30, tzinfo=UTC) and at("2026-10-25T02:30:00", True) > datetime(2026, 10, 25, 1, 30, tzinfo=UTC)  # twice
+
+
 def test_refs():
     assert (Q.parse_ref("m3").first, Q.parse_ref("m2..m5").last, Q.parse_ref("m4.2").call, Q.parse_ref("s1").kind) == (3, 5, 2, "subagent")
     for bad in ("m0", "m5..m2", "x", "m"):
@@ -66,6 +75,12 @@ def test_literals_and_cleaning(spark):
     assert tuple(got) == (True, False, "Of The red x", "repo/fix", "1h 5m", "a b c d", True)
 
 
+def test_durations_and_paths(spark):
+    rows = spark.createDataFrame([(250, "/r/a/b"), (4200, "/ra"), (61_000, "/r/"), (-1, "x"), (None, None)], "ms long, p string")
+    got = rows.select(T.short_duration(F.col("ms")), T.path_below(F.col("p"), "/r/")).collect()
+    assert [tuple(x) for x in got] == [("0.25s", "a/b"), ("4.2s", "/ra"), ("1m 1s", ""), (None, "x"), (None, None)]
+
+
 def _messages(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, ordinal long, role string, text string, second long")
 

@@ -205,6 +205,13 @@ def test_context_of_hits(spark):
     assert evidence.fitted("漢字漢字", 5) == "漢字…"
 
 
+def test_refreshed_index(spark):
+    index = spark.createDataFrame([(1, 0, "old"), (1, 1, "old"), (2, 0, "kept")], "conv_id long, chunk long, text string")
+    made = spark.createDataFrame([(1, 0, "new"), (2, 0, "not asked"), (3, 0, "new")], "conv_id long, chunk long, text string")
+    got = semantic.refreshed(index, made, spark.createDataFrame([(1,), (3,), (3,)], "conv_id long"))
+    assert sorted(tuple(x) for x in got.collect()) == [(1, 0, "new"), (2, 0, "kept"), (3, 0, "new")]
+
+
 def test_budgets():
     assert budget.cut_to_budget([5, 5, 5], 11, 1) == 2 and budget.keep_tail([5, 5, 5], 11) == 1
     assert budget.full_budget([50, 45], lambda n: 3 + len(str(n))) == 101

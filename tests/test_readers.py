@@ -128,6 +128,18 @@ def test_streamed_calls(spark):
     ]
 
 
+def test_facts_of_rollouts_and_turns(spark):
+    record = lambda kind, **p: {"timestamp": "t", "type": kind, "payload": p}
+    used = lambda **u: record("event_msg", type="token_count", info={"last_token_usage": u})
+    lines = _lines(spark, record("turn_context", model="a"), used(input_tokens=10, cached_input_tokens=4, output_tokens=2), used(input_tokens=0), record("turn_context", model="a"), record("compacted", message="short"), record("turn_context", model="b"), record("event_msg", type="turn_aborted", reason="interrupted"), record("event_msg", type="agent_message"))
+    assert _shown(calls.codex_facts(lines), "line", "label", "text", "input_tokens", "cache_read") == [(1, "Model", "a", None, None), (2, "Usage", None, 6, 4), (5, "Compaction", "short", None, None), (6, "Model", "b", None, None), (7, "Notice", "Turn ended: interrupted", None, None)]
+    ended = lambda **u: {"timestamp": "t", "params": {"update": {"sessionUpdate": "turn_completed", "usage": u}}}
+    lines = _lines(spark, ended(modelUsage={"g": {}}, inputTokens=3, outputTokens=1), ended(modelUsage={"g": {}}), ended())
+    assert _shown(calls.grok_turns(lines), "line", "label", "text", "input_tokens") == [(1, "Model", "g", None), (1, "Usage", None, 3)]
+    blocks = spark.createDataFrame([("<environment_context>x</environment_context> ",), ("say <environment_context>x</environment_context>",), ("# AGENTS.md instructions for /r",)], "text string")
+    assert [r[0] for r in blocks.select(calls.injected_context()).collect()] == [True, False, True]
+
+
 def test_launches_and_hooks(spark):
     schema = "path string, thread string, line long, kind string, call_id string, tool string, input string, text string"
     rows = [
