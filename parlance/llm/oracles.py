@@ -75,19 +75,22 @@ d AS MATERIALIZED (SELECT doc_id, source, lang, n_tokens, CASE WHEN contains(t,
 c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)"""
     ]
     for margin, power in powers.items():
-        steps.append(f"t_{margin} AS MATERIALIZED (SELECT {margin}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS target FROM c GROUP BY {margin} HAVING sum(tokens) > 0)")
+        steps.append(f"""l_{margin} AS MATERIALIZED (SELECT {margin}, s / sum(s) OVER () AS share, least(pow(s, {power}) / sum(pow(s, {power})) OVER (), 2.0 * s / sum(s) OVER ()) AS level FROM (SELECT {margin}, sum(tokens) AS s FROM c GROUP BY {margin} HAVING sum(tokens) > 0)),
+t_{margin} AS MATERIALIZED (SELECT {margin}, level / sum(level) OVER () AS target, share FROM l_{margin})""")
+    grown = ", ".join(f"(SELECT max(target / share) FROM t_{margin})" for margin in powers)
+    steps.append(f"b AS MATERIALIZED (SELECT 1 / (0.7::DOUBLE / greatest({grown}) * (SELECT sum(tokens) FROM c)) AS most)")
     last = "(SELECT *, 1.0::DOUBLE AS w FROM c)"
     for k in range(rounds):
         for margin in powers:
             name = f"r{k}_{margin}"
             steps.append(
-                f"{name} AS MATERIALIZED (SELECT * EXCLUDE (w, m, target), CASE WHEN m > 0 THEN w * coalesce(target, 0) / m ELSE 0 END AS w FROM (SELECT x.*, target, sum(tokens * w) OVER (PARTITION BY x.{margin}) AS m FROM {last} x LEFT JOIN t_{margin} USING ({margin})))"
+                f"{name} AS MATERIALIZED (SELECT * EXCLUDE (w, m, target), least(CASE WHEN m > 0 THEN w * coalesce(target, 0) / m ELSE 0 END, (SELECT most FROM b)) AS w FROM (SELECT x.*, target, sum(tokens * w) OVER (PARTITION BY x.{margin}) AS m FROM {last} x LEFT JOIN t_{margin} USING ({margin})))"
             )
             last = name
     return (
         ",\n".join(steps)
         + f""",
-p AS MATERIALIZED (SELECT source, lang, topic, w, w / (SELECT max(w) FROM {last} WHERE tokens > 0) AS p FROM {last})
+p AS MATERIALIZED (SELECT source, lang, topic, w, least(1.0, CASE WHEN tokens > 0 THEN w / (SELECT most FROM b) ELSE 0 END) AS p FROM {last})
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(w * 1e6, 9) AS weight, round(p, 9) AS probability,
   CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / pow(2, 52) < p AS sampled
 FROM d JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""

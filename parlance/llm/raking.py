@@ -2,9 +2,13 @@
 
 Tokens are summed in the cells (source, language, topic). Each round multiplies the cells' weights
 so that one margin after the other has its target share of the weighted tokens, until all margins
-hold. The weights are then scaled to the largest, so probabilities are in proportion to the weights
-and the expected mix is the raked one. A document is kept if a hash of its id falls below its cell's
-probability.
+hold. A document is kept if a hash of its id falls below its cell's probability, which is in
+proportion to its weight.
+
+No probability may be above 1, so weights are raked under a bound, and targets are such that it can be
+kept: no value's share grows by more than ``LIFT`` (before they are evened out to 1), and as many
+tokens are drawn as let the value that grows most keep ``SLACK`` of its own. Both are told by the
+margins alone, so a rare cell doesn't thin out all others, and the draw grows with the corpus.
 
 Only the table of cells takes part in the rounds; texts are read once and not shuffled.
 """
@@ -18,6 +22,10 @@ from parlance.llm.session import prepare, settle
 
 #: Targets are shares of tokens to these powers, evened out again: 1 keeps a margin, 0 levels it.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+#: How much a value's share may grow, and how much of the value that grows most is drawn.
+LIFT, SLACK = 2.0, 0.7
+#: Rounds of which one table is written.
+TOGETHER = 3
 #: Rounds end when each margin is this near to its target, as a share of it, or after so many.
 NEAR, ROUNDS = 1e-10, 60
 #: Tables of cells up to this many rows (a row is under 200 bytes) are broadcast to the documents.
@@ -40,45 +48,58 @@ def surface_topic(text: Column, n_tokens: Column) -> Column:
     )
 
 
-def targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """(margin, target): shares of tokens to a power, of all values that have tokens."""
-    sums = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("t", F.pow(F.col("t").cast("double"), F.lit(power)))
-    whole = sums.agg(F.sum("t")).first()[0]
-    return sums.select(margin, (F.col("t") / F.lit(whole)).alias("target"))
+def targets(cells: DataFrame, margin: str, power: float, lift: float = LIFT) -> DataFrame:
+    """(margin, target, share): of all values that have tokens, the share of tokens to a power, but no more
+    than ``lift`` times the share of tokens, evened out to 1, and that share."""
+    sums = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).where("t > 0")
+    sums = sums.select(margin, F.col("t").cast("double").alias("t"), F.pow(F.col("t").cast("double"), F.lit(power)).alias("p"))
+    t, p = sums.agg(F.sum("t"), F.sum("p")).first()
+    known = sums.select(margin, (F.col("t") / F.lit(t)).alias("share"), (F.col("p") / F.lit(p)).alias("level"))
+    known = settle(known.select(margin, "share", F.least(F.col("level"), F.col("share") * lift).alias("level")))
+    whole = known.agg(F.sum("level")).first()[0]
+    return known.select(margin, (F.col("level") / F.lit(whole)).alias("target"), "share")
 
 
-def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
+def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, near: float = NEAR, most: float | None = None) -> DataFrame:
     """Adds ``weight`` to (source, lang, topic, tokens) cells so that their margins have the wanted
-    shares: {margin: (margin, target)}. Values without a target, or without tokens, keep weight 0.
+    shares, {margin: (margin, target)}, and no weight is above ``most``. Values without a target, or
+    without tokens, keep weight 0.
 
-    Targets that no weights reach (empty cells can rule them out) leave the weights of the last round.
+    Targets that no such weights reach (empty cells can rule them out) leave the weights of the last round.
     """
     for margin, shares in wanted.items():
-        cells = cells.join(shares.withColumnRenamed("target", f"to {margin}"), margin, "left").fillna(0.0, [f"to {margin}"])
+        cells = cells.join(shares.select(margin, F.col("target").alias(f"to {margin}")), margin, "left").fillna(0.0, [f"to {margin}"])
     cells = settle(cells.withColumn("weight", F.lit(1.0)))
-    for _ in range(rounds):
+    for k in range(rounds):
         worst = F.lit(0.0)
         for margin in wanted:
             mass = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(margin))
             cells = cells.withColumn("mass", mass)
             worst = F.greatest(worst, F.when((F.col("mass") > 0) & (F.col(f"to {margin}") > 0), F.abs(F.col("mass") / F.col(f"to {margin}") - 1)).otherwise(0.0))
-            cells = cells.withColumn("weight", F.when(F.col("mass") > 0, F.col("weight") * F.col(f"to {margin}") / F.col("mass")).otherwise(0.0)).withColumn("off", worst).drop("mass")
+            scaled = F.when(F.col("mass") > 0, F.col("weight") * F.col(f"to {margin}") / F.col("mass")).otherwise(0.0)
+            cells = cells.withColumn("weight", scaled if most is None else F.least(scaled, F.lit(most))).withColumn("off", worst).drop("mass")
             worst = F.col("off")
-        cells = settle(cells, plain=True)
-        if (cells.agg(F.max("off")).first()[0] or 0.0) < near:
-            break
+        if k % TOGETHER == TOGETHER - 1 or k == rounds - 1:
+            cells = settle(cells, plain=True)
+            if (cells.agg(F.max("off")).first()[0] or 0.0) < near:
+                break
     return cells.drop("off", *(f"to {m}" for m in wanted))
 
 
+def drawn_share(wanted: dict[str, DataFrame], slack: float = SLACK) -> float:
+    """The share of all tokens that can be drawn when the value that grows most keeps ``slack`` of its own."""
+    grows = [shares.agg(F.max(F.col("target") / F.col("share"))).first()[0] for shares in wanted.values()]
+    return slack / max((g for g in grows if g), default=1.0)
+
+
 def margins(mixed: DataFrame, powers: dict[str, float] | None = None) -> DataFrame:
     """(margin, value, target, expected) of what ``mix`` returned: each value's target share of the tokens,
     and its share of those that are expected to be drawn."""
     out = None
     for margin, power in (powers or POWERS).items():
-        sums = mixed.groupBy(F.col(f"mix_{margin}").alias("value")).agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("probability")).alias("e"))
-        sums = settle(sums.where("t > 0").withColumn("t", F.pow(F.col("t").cast("double"), F.lit(power))))
-        t, e = sums.agg(F.sum("t"), F.sum("e")).first()
-        rows = sums.select(F.lit(margin).alias("margin"), "value", (F.col("t") / F.lit(t)).alias("target"), (F.col("e") / F.lit(e or 1.0)).alias("expected"))
+        sums = settle(mixed.groupBy(F.col(f"mix_{margin}").alias("value")).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("e")))
+        e = sums.agg(F.sum("e")).first()[0]
+        rows = targets(sums, "value", power).join(sums.select("value", "e"), "value").select(F.lit(margin).alias("margin"), "value", "target", (F.col("e") / F.lit(e or 1.0)).alias("expected"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -100,10 +121,12 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
     names = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": label}
     light = docs.select(*(c.alias(k) for k, c in names.items()), n.alias("n"))
     cells = settle(light.groupBy(_CELL).agg(F.sum("n").alias("tokens")))
-    weighted = rake(cells, {m: targets(cells, m, p) for m, p in powers.items()}, rounds)
-    most = weighted.where("tokens > 0").agg(F.max("weight")).first()[0]
-    factor = 1 / most if most else 0.0
-    weighted = settle(weighted.select(*(F.col(c).alias(f"mix_{c}") for c in _CELL), "weight", F.least(F.lit(1.0), F.col("weight") * factor).alias("probability")))
+    wanted = {m: targets(cells, m, p) for m, p in powers.items()}
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    most = 1 / (drawn_share(wanted) * total) if total else 1.0  # the weight of probability 1
+    weighted = rake(cells, wanted, rounds, most=most)
+    factor = 1 / most
+    weighted = settle(weighted.select(*(F.col(c).alias(f"mix_{c}") for c in _CELL), "weight", F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.col("weight") * factor).otherwise(0.0)).alias("probability")))
     if weighted.count() <= BROADCAST_CELLS:
         weighted = F.broadcast(weighted)
     own = docs.withColumns({f"mix_{k}": c for k, c in names.items()} | {"n_tokens": n})

@@ -271,7 +271,7 @@ def test_ppm_without_training_documents(spark):
 def test_raking_reaches_its_margins(spark, odd, odd_rows, nothing):
     r = random.Random(1)
     cells = spark.createDataFrame([(s, l, t, r.randrange(1, 1000)) for s in "abc" for l in "xy" for t in "pq"], "source string, lang string, topic string, tokens long")
-    wanted = {m: raking.targets(cells, m, 0.5) for m in ("source", "lang", "topic")}
+    wanted = {m: raking.targets(cells, m, 0.5, 10.0) for m in ("source", "lang", "topic")}
     out = raking.rake(cells, wanted, 30)
     for margin, shares in wanted.items():
         got = {x[0]: x[1] for x in out.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight"))).collect()}
@@ -285,17 +285,21 @@ def test_raking_reaches_its_margins(spark, odd, odd_rows, nothing):
 def test_drawn_mix_reaches_the_targets(spark):
     r = random.Random(3)
     rows = [(i, "w " * r.choice([5, 80, 400]) + r.choice(["", " | ", "%%%"]), r.choice("aaaaab"), r.choice("xxxy")) for i in range(600)]
-    drawn = raking.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    rows += [(600 + k, "one rare text", "c", "xy"[k]) for k in range(2)]
+    mixed = raking.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    drawn = mixed.collect()
+    held = {(x.margin, x.value): x for x in raking.margins(mixed).collect()}
     for margin, power in raking.POWERS.items():
         whole, kept = collections.Counter(), collections.Counter()
         for x in drawn:
             whole[x[f"mix_{margin}"]] += x.n_tokens
             kept[x[f"mix_{margin}"]] += x.n_tokens * x.probability
-        evened = {k: n**power for k, n in whole.items()}
-        assert all(math.isclose(kept[k] / sum(kept.values()), n / sum(evened.values()), rel_tol=1e-3) for k, n in evened.items())
-    assert max(x.probability for x in drawn) == 1
-    held = raking.margins(raking.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))).collect()
-    assert len(held) == 9 and all(math.isclose(x.target, x.expected, rel_tol=1e-8) for x in held)
+        total, level = sum(whole.values()), sum(n**power for n in whole.values())
+        aim = {k: min(n**power / level, raking.LIFT * n / total) for k, n in whole.items()}
+        for k in whole:
+            assert math.isclose(held[margin, k].target, aim[k] / sum(aim.values()), rel_tol=1e-9)
+            assert math.isclose(kept[k] / sum(kept.values()), aim[k] / sum(aim.values()), rel_tol=1e-6)
+    assert max(x.probability for x in drawn) <= 1 and sum(x.n_tokens * x.probability for x in drawn) > 0.2 * sum(x.n_tokens for x in drawn)
 
 
 def test_mixing_takes_a_topic_column(spark):
