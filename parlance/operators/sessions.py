@@ -54,9 +54,14 @@ def number_messages(entries: DataFrame) -> DataFrame:
 def fold_sessions(messages: DataFrame) -> DataFrame:
     """One row for each session: counts, time span, duration and previews, in one aggregation."""
     user = F.col("role") == "user"
-    first_user = F.min(F.when(user, F.col("ordinal"))).over(Window.partitionBy("conv_id"))
-    said = messages.withColumn("first_user", first_user)
-    part = F.when(F.col("role").isin("user", "assistant") & (F.col("ordinal") >= F.col("first_user")), F.struct("ordinal", F.left(collapse(F.col("text")), F.lit(80)).alias("t")))
+    whole = Window.partitionBy("conv_id")
+    so_far = whole.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    said = messages.withColumn("first_user", F.min(F.when(user, F.col("ordinal"))).over(whole))
+    said = said.withColumn("_shown", F.coalesce(F.col("role").isin("user", "assistant") & (F.col("ordinal") >= F.col("first_user")), F.lit(False)).cast("int"))
+    said = said.withColumns({"_number": F.sum("_shown").over(so_far), "_all": F.sum("_shown").over(whole)})
+    # the first three and the last three
+    ends = (F.col("_shown") == 1) & ((F.col("_number") <= 3) | (F.col("_number") > F.col("_all") - 3))
+    part = F.when(ends, F.struct("ordinal", F.left(collapse(F.col("text")), F.lit(80)).alias("t")))
     first, last = F.min("second"), F.max("second")
     listed = F.sort_array(F.collect_list(part))
     folded = said.groupBy("conv_id").agg(

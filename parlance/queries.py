@@ -56,13 +56,13 @@ def normalize_text(spark, d):
 
 
 def prefix_count(spark, d):
-    low = T.normalize(T.collapse(F.col("text")))
-    return _read(spark, d, "documents").select("doc_id", *(T.prefix_count(low, w).cast("long").alias(f"n_{w}") for w in ("the", "re", "un")))
+    docs = _read(spark, d, "documents").select("doc_id", T.normalize(T.collapse(F.col("text"))).alias("low"))
+    return docs.select("doc_id", *(T.prefix_count(F.col("low"), w).cast("long").alias(f"n_{w}") for w in ("the", "re", "un")))
 
 
 def adjacent_pairs(spark, d):
-    low = T.normalize(T.collapse(F.col("text")))
-    return _read(spark, d, "documents").select("doc_id", T.adjacent_pairs(low, ["of", "the", "in"]).cast("long").alias("pairs"))
+    docs = _read(spark, d, "documents").select("doc_id", T.normalize(T.collapse(F.col("text"))).alias("low"))
+    return docs.select("doc_id", T.adjacent_pairs(F.col("low"), ["of", "the", "in"]).cast("long").alias("pairs"))
 
 
 def literal_match_smartcase(spark, d):
