@@ -22,10 +22,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     A cluster names its shared folder in spark.checkpoint.dir; only a local session gets one of its own.
     """
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
+    if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master().split("[")[0] == "local":
+        if shared is None and spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="parlance-checkpoint-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
