@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -355,12 +356,12 @@ def _samples(part: pa.Table, last: Last | None) -> tuple[Samples, np.ndarray]:
 def common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n): sampled grams that blocks hold often, and for null the sum of all; gram -1 has the bytes."""
     for big in chunks(batches, 1 << 21):
-        s, ids = _samples(big, None)
-        grams, n, size = np.zeros(0, U), np.zeros(0, np.int64), 0
-        if len(s.place):
-            kinds = np.unique(K.mix(s.bucket() ^ K.mix(ids[s.text].view(U) + s.around() * U(K._STEP))), return_index=True)[1]
-            grams, n = np.unique(s.bucket()[kinds], return_counts=True)
-            size = len(kinds)
+        s, _ = _samples(big, None)
+        grams, n, size = np.zeros(0, U), np.zeros(0, np.int64), len(s.place)
+        if size:
+            every = np.sort(s.bucket())
+            at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            grams, n = every[at], np.diff(np.append(at, size))
         own = n >= max(4, size // HOT)
         columns = [pa.array([*grams[own].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[own].tolist(), size], pa.int64()), pa.array([0] * int(own.sum()) + [len(s.data)], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["gram", "n", "bytes"])
@@ -374,9 +375,12 @@ def suffix_batches(batches: Iterator[pa.RecordBatch], buckets: int, groups: int,
             if not len(s.place):
                 continue
             h, around, doc = s.bucket(), s.around(), ids[s.text]
-            key = K.mix(h ^ K.mix(around))
-            order = np.lexsort((doc, key))
-            new = np.append(True, key[order][1:] != key[order][:-1])
+            # by suffix and surroundings, of which 48 bits sort, then by document; a block has under 2**16
+            rank = np.empty(len(ids), np.int64)
+            rank[np.argsort(ids)] = np.arange(len(ids))
+            order = np.argsort(K.mix(h ^ K.mix(around)) & ~U(0xFFFF) | rank[s.text].view(U))
+            ordered, others = h[order], around[order]
+            new = np.append(True, (ordered[1:] != ordered[:-1]) | (others[1:] != others[:-1]))
             first = order[new]
             earliest = np.empty(len(doc), np.int64)
             earliest[order] = doc[first][np.cumsum(new) - 1]
@@ -459,6 +463,7 @@ def mark_group(docs: pa.Table, found: list[bytes], buckets: int, groups: int, la
     out = []
     if not len(keys):
         return out
+    docs = docs.filter(pc.is_in(docs["doc_id"], pa.array(K.distinct(have["doc"]))))
     for big in chunks(docs.to_batches(), 1 << 21):
         for part in _small(big):
             s, ids = _samples(part, last)
