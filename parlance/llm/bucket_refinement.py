@@ -273,7 +273,9 @@ def unpack_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_STRETCH = np.dtype([("doc", "<i8"), ("row", "<u8"), ("start", "<u4"), ("windows", "u1")])
+_STRETCH = np.dtype([("doc", "<i8"), ("row", "<u8"), ("gram", "<u8"), ("start", "<u4"), ("windows", "u1")])
+#: Bytes of stretches that are refined together; more only where they have one gram in common.
+REFINED = 1 << 19
 
 
 def pack_windows(s: Samples, pick: np.ndarray, ids: np.ndarray, row: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -284,6 +286,7 @@ def pack_windows(s: Samples, pick: np.ndarray, ids: np.ndarray, row: np.ndarray,
     bucket = (s.bucket()[pick] % U(buckets)).astype(np.int64)
     rows = np.zeros(len(pick), _STRETCH)
     text = s.text[pick]
+    rows["gram"] = s.bucket()[pick]
     rows["doc"], rows["row"], rows["start"], rows["windows"] = ids[text], row[text], s.low[pick] - s.offsets[text], s.high[pick] - s.low[pick] + 1
     size = rows["windows"].astype(np.int64) + LEAST - 1
     ends = np.cumsum(size)
@@ -397,11 +400,9 @@ def pack_spans(s: Samples, pick: np.ndarray, ids: np.ndarray, row: np.ndarray, g
     text = s.text[pick]
     rows = np.zeros(len(pick), _SPAN)
     rows["row"], rows["start"], rows["end"] = row[text], s.low[pick] - s.offsets[text], s.high[pick] + LEAST - s.offsets[text]
-    own, start, end = merged_spans(rows)
-    rows = np.zeros(len(own), _SPAN)
-    rows["row"], rows["start"], rows["end"] = own, start, end
+    rows = _merged(rows)
     order = np.argsort(row, kind="stable")
-    doc = ids[order[np.searchsorted(row[order], own)]]
+    doc = ids[order[np.searchsorted(row[order], rows["row"])]]
     yield from _pack(3, _group(doc, groups), rows)
 
 
@@ -434,24 +435,47 @@ def refine_bucket(blobs: list[bytes], bucket: int, buckets: int, groups: int) ->
 
 
 def refine_windows(blobs: list[bytes], groups: int) -> list[tuple[int, int, bytes]]:
-    """Step 3: windows that an earlier document holds, for each group of documents."""
+    """Step 3: windows that an earlier document holds, for each group of documents.
+
+    Equal windows have the same sampled gram, so stretches are refined a few grams at a time.
+    """
     rows, data = unpack_windows(blobs)
     size = rows["windows"].astype(np.int64) + LEAST - 1
-    pointer = window_pointers(data, size)
-    at = np.flatnonzero(pointer >= 0)
-    own = np.repeat(np.arange(len(rows)), size)[at]
-    doc = rows["doc"][own]
-    earliest = np.full(len(data), np.iinfo(np.int64).max)
-    np.minimum.at(earliest, pointer[at], doc)
-    gone = np.flatnonzero(doc > earliest[pointer[at]])
-    own, place = own[gone], at[gone] - (np.cumsum(size) - size)[own[gone]]
-    spans = np.zeros(len(gone), _SPAN)
-    spans["row"], spans["start"], spans["end"] = rows["row"][own], rows["start"][own] + place, rows["start"][own] + place + LEAST
-    found, start, end = merged_spans(spans)
-    spans = np.zeros(len(found), _SPAN)
-    spans["row"], spans["start"], spans["end"] = found, start, end
-    order = np.argsort(rows["row"], kind="stable")
-    return list(_pack(3, _group(rows["doc"][order[np.searchsorted(rows["row"][order], found)]], groups), spans))
+    first = np.cumsum(size) - size
+    order = np.argsort(rows["gram"], kind="stable")
+    gram, so_far = rows["gram"][order], np.cumsum(size[order])
+    heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    # a batch begins with the first gram that begins in its part of the bytes
+    part = (so_far[heads] - size[order][heads]) // REFINED
+    cut = heads[np.append(True, part[1:] != part[:-1])]
+    found = []
+    for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+        pick = order[a:b]
+        n = size[pick]
+        begin = np.cumsum(n) - n
+        pointer = window_pointers(data[np.arange(n.sum()) + np.repeat(first[pick] - begin, n)], n)
+        at = np.flatnonzero(pointer >= 0)
+        own = np.repeat(np.arange(len(pick)), n)[at]
+        doc = rows["doc"][pick][own]
+        earliest = np.full(len(pointer), np.iinfo(np.int64).max)
+        np.minimum.at(earliest, pointer[at], doc)
+        gone = np.flatnonzero(doc > earliest[pointer[at]])
+        own = own[gone]
+        start = rows["start"][pick][own] + at[gone] - begin[own]
+        spans = np.zeros(len(gone), _SPAN)
+        spans["row"], spans["start"], spans["end"] = rows["row"][pick][own], start, start + LEAST
+        found.append(_merged(spans))
+    spans = _merged(np.concatenate([np.zeros(0, _SPAN), *found]))
+    by_row = np.argsort(rows["row"], kind="stable")
+    doc = rows["doc"][by_row[np.searchsorted(rows["row"][by_row], spans["row"])]] if len(spans) else np.zeros(0, np.int64)
+    return list(_pack(3, _group(doc, groups), spans))
+
+
+def _merged(spans: np.ndarray) -> np.ndarray:
+    row, start, end = merged_spans(spans)
+    out = np.zeros(len(row), _SPAN)
+    out["row"], out["start"], out["end"] = row, start, end
+    return out
 
 
 def mark_group(docs: pa.Table, found: list[bytes], buckets: int, groups: int, last: Last | None) -> list[tuple[int, int, bytes]]:

@@ -44,7 +44,6 @@ KEPT, LONGEST = 150_000, 48
 #: Characters of segments that are relaxed together.
 TOGETHER = 1 << 18
 _NEVER = np.iinfo(np.int32).max
-_CODES = 0x110000
 
 
 def merged(text: str, score: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
