@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.sources.jsonl import read_lines
-
 
 def changed_files(found: DataFrame, known: DataFrame) -> DataFrame:
     """(path, state): new, changed, removed or kept files, by size and time of their last write."""
@@ -46,6 +44,3 @@ def merged_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """The fold over all batches: sums of what each of them counted."""
     rows = spark.read.parquet(folder)
     return rows.groupBy("conv_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("message_count", "assistant_messages", "chars")))
-
-
-__all__ = ["activity_sessions", "changed_files", "merged_sessions", "read_lines", "running_counts", "stream_entries", "write_sessions"]
