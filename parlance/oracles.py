@@ -84,7 +84,7 @@ _BYTES = "greatest(strlen(text), 1)"
 def _hits(words: tuple[str, ...] = ("the", "of"), name: str = "h") -> str:
     low = _normal("text")
     tests = " AND ".join(f"{_prefix(low, w, 1)} > 0" for w in words)
-    pairs = f"CASE WHEN {_pairs(low, list(words))} > 0 THEN 2.0 ELSE 0.0 END" if len(words) > 1 else "0.0"
+    pairs = " + ".join(["0.0", *(f"CASE WHEN contains({low}, '{a} {b}') THEN 2.0 ELSE 0.0 END" for a, b in zip(words, words[1:], strict=False))])
     return f"""{name} AS MATERIALIZED (SELECT conv_id, ordinal, second, {4.0 * len(words)} + {pairs} + 1.0 / {_BYTES} AS score,
   CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE 1 END AS source, greatest(ordinal - 1, 1) AS read_first, least(ordinal + 1, n) AS read_last
   FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM m) WHERE {tests})"""
@@ -164,8 +164,9 @@ FROM (SELECT * FROM h UNION ALL SELECT * FROM h2) GROUP BY conv_id, ordinal, sou
     "quality_buckets": f"""{_HYBRID}, k AS (SELECT CASE WHEN hybrid >= 0.85 THEN 'strong' WHEN hybrid >= 0.65 THEN 'good' WHEN hybrid >= 0.35 THEN 'fair' ELSE 'weak' END AS quality, word_match FROM p)
 SELECT quality, CASE WHEN quality = 'weak' THEN 'weak-match' WHEN word_match > 0 THEN 'lexical-boosted' ELSE 'semantic-only' END AS reason, count(*) AS n FROM k GROUP BY ALL""",
     "turn_filter": f"WITH {_M}, k AS (SELECT conv_id, ordinal, {_collapse(_TURN)} AS t FROM m) SELECT conv_id, ordinal, CAST(len(t) AS BIGINT) AS chars, md5(t) AS digest FROM k WHERE t <> '' AND NOT starts_with(t, '/')",
-    "passage_chunks": f"""WITH d AS (SELECT doc_id, {_collapse("coalesce(text, '')")} AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, greatest(ceil((len(t) - 300) / 2100.0), 1)::BIGINT)) AS chunk FROM d WHERE t <> '')
-SELECT doc_id, chunk, chunk * 2100 + 1 AS first, chunk * 2100 + len(substr(t, chunk * 2100 + 1, 2400)) AS last, md5(substr(t, chunk * 2100 + 1, 2400)) AS digest FROM c""",
+    "passage_chunks": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+p(doc_id, chunk, t) AS (SELECT doc_id, CAST(0 AS BIGINT), t FROM d WHERE t <> '' UNION ALL SELECT doc_id, chunk + 1, regexp_replace(substr(t, 2101), '^\s+', '') FROM p WHERE len(t) > 2400)
+SELECT doc_id, chunk, md5({_collapse("left(t, 2400)")}) AS digest FROM p WHERE t <> ''""",
     "embedding_lookup_missing": "SELECT sha256(text) AS key, count(*) AS uses FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1",
     "rrf_fusion": f"""{_rank()}, {_E}, a AS (SELECT conv_id, row_number() OVER (ORDER BY score DESC, ranked_second DESC, conv_id) AS lexical_rank FROM r QUALIFY lexical_rank <= 80),
 b AS (SELECT vec_id AS conv_id, row_number() OVER (ORDER BY score DESC, vec_id) AS semantic_rank FROM e QUALIFY semantic_rank <= 80),

@@ -256,7 +256,10 @@ def turn_filter(spark, d):
 
 
 def passage_chunks(spark, d):
-    return semantic.passages(_read(spark, d, "documents"), "doc_id").select("doc_id", "chunk", "first", "last", F.md5(F.col("text").cast("binary")).alias("digest"))
+    """Documents as one long turn each, in ASCII, as SQL counts characters and passages bytes."""
+    turn = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
+    rows = _read(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("ordinal"), turn.alias("text"))
+    return semantic.passages(rows).select(F.col("conv_id").alias("doc_id"), "chunk", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def embedding_lookup_missing(spark, d):
