@@ -129,7 +129,7 @@ SELECT path, line, CAST(0 AS BIGINT) AS part, 'meta' AS kind, NULL AS role, NULL
 UNION ALL SELECT path, line, 0, 'text', CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END, NULL, md5(t), NULL FROM c WHERE turn % 5 <> 4 AND turn % 4 <> 3
 UNION ALL SELECT path, line, 0, 'tool_use', 'user', 'i' || turn, NULL, NULL FROM c WHERE turn % 5 <> 4 AND turn % 4 = 3
 UNION ALL SELECT path, line, 1, 'tool_result', 'user', 'i' || turn, md5('out' || turn || CASE WHEN turn % 2 = 1 THEN chr(10) || 'exit code 1' ELSE '' END), NULL FROM c WHERE turn % 5 <> 4 AND turn % 4 = 3""",
-    "opencode_entries": """WITH c AS (SELECT *, CAST(conv_id AS VARCHAR) AS cid, 'm' || turn AS mid, left(text, 80) AS t FROM conversations WHERE text <> ''),
+    "database_entries": """WITH c AS (SELECT *, CAST(conv_id AS VARCHAR) AS cid, 'm' || turn AS mid, left(text, 80) AS t FROM conversations WHERE text <> ''),
 a AS MATERIALIZED (SELECT * FROM c WHERE role = 'assistant' AND turn % 7 <> 6),
 n AS (SELECT *, lag(turn // 4) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM a)
 SELECT cid AS conv_id, mid AS message_id, 'meta' AS kind, NULL AS role, NULL AS reply_id, NULL AS call_id, md5('x' || (turn // 4)) AS digest, 'Model' AS label FROM n WHERE b IS NULL OR b <> turn // 4

@@ -334,7 +334,7 @@ def pi_entries(spark, d):
     return pi.pi_entries(lines).select("path", "line", "part", "kind", "role", "call_id", F.md5(F.col("text").cast("binary")).alias("digest"), "label")
 
 
-def opencode_entries(spark, d):
+def database_entries(spark, d):
     rows = _read(spark, d, "conversations").where("text <> ''")
     t = F.col("turn")
     messages = rows.select(F.col("conv_id").cast("string").alias("conv_id"), _text("m", t).alias("message_id"), t.alias("created"), F.try_parse_json(F.to_json(F.struct(F.col("role"), _text("x", F.floor(t / 4)).alias("modelID")))).alias("record"))
