@@ -28,7 +28,7 @@ LIFT, SLACK = 2.0, 0.7
 TOGETHER = 3
 #: Rounds end when each margin is this near to its target, as a share of it, or after so many.
 NEAR, ROUNDS = 1e-10, 60
-#: Tables of cells up to this many rows (a row is under 200 bytes) are broadcast to the documents.
+#: Tables of cells up to this many rows (a row is under 200 bytes) are raked in one partition and broadcast.
 BROADCAST_CELLS = 20_000
 _CELL = ["source", "lang", "topic"]
 
@@ -60,6 +60,11 @@ def targets(cells: DataFrame, margin: str, power: float, lift: float = LIFT) ->
     return known.select(margin, (F.col("level") / F.lit(whole)).alias("target"), "share")
 
 
+def together(cells: DataFrame) -> DataFrame:
+    """A small table in one partition, where rounds need no shuffle; a larger one stays spread."""
+    return cells.coalesce(1) if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else cells
+
+
 def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, near: float = NEAR, most: float | None = None) -> DataFrame:
     """Adds ``weight`` to (source, lang, topic, tokens) cells so that their margins have the wanted
     shares, {margin: (margin, target)}, and no weight is above ``most``. Values without a target, or
@@ -69,7 +74,7 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, n
     """
     for margin, shares in wanted.items():
         cells = cells.join(shares.select(margin, F.col("target").alias(f"to {margin}")), margin, "left").fillna(0.0, [f"to {margin}"])
-    cells = settle(cells.withColumn("weight", F.lit(1.0)))
+    cells = together(settle(cells.withColumn("weight", F.lit(1.0))))
     for k in range(rounds):
         worst = F.lit(0.0)
         for margin in wanted:
@@ -80,7 +85,7 @@ def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = ROUNDS, n
             cells = cells.withColumn("weight", scaled if most is None else F.least(scaled, F.lit(most))).withColumn("off", worst).drop("mass")
             worst = F.col("off")
         if k % TOGETHER == TOGETHER - 1 or k == rounds - 1:
-            cells = settle(cells, plain=True)
+            cells = together(settle(cells))
             if (cells.agg(F.max("off")).first()[0] or 0.0) < near:
                 break
     return cells.drop("off", *(f"to {m}" for m in wanted))
@@ -120,7 +125,7 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
     label = surface_topic(text, n) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
     names = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": label}
     light = docs.select(*(c.alias(k) for k, c in names.items()), n.alias("n"))
-    cells = settle(light.groupBy(_CELL).agg(F.sum("n").alias("tokens")))
+    cells = together(settle(light.groupBy(_CELL).agg(F.sum("n").alias("tokens"))))
     wanted = {m: targets(cells, m, p) for m, p in powers.items()}
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     most = 1 / (drawn_share(wanted) * total) if total else 1.0  # the weight of probability 1
