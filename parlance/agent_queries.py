@@ -130,7 +130,7 @@ def unlisted_reasons(spark, d):
 
 def first_provider(spark, d):
     rows = _sessions(spark, d).select("doc_id", (F.col("doc_id") % 40).alias("identity"), (F.col("doc_id") * 7 % 1009).alias("provider_order"))
-    return scope.first_provider(rows, "identity", "provider_order").select("identity", "doc_id")
+    return scope.first_provider(rows, "identity", "provider_order", "doc_id").select("identity", "doc_id")
 
 
 def provider_union(spark, d):

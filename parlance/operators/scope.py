@@ -82,9 +82,9 @@ def unlisted_reasons(entries: DataFrame, key: str = "conv_id") -> DataFrame:
     return rows.select(key, reason.alias("reason"))
 
 
-def first_provider(rows: DataFrame, identity: str, order: str) -> DataFrame:
-    """Of the rows for one file the one of the first provider."""
-    rank = F.row_number().over(Window.partitionBy(identity).orderBy(order))
+def first_provider(rows: DataFrame, identity: str, order: str, key: str) -> DataFrame:
+    """Of the rows for one file the one of the first provider; of several of its rows the one with the least key."""
+    rank = F.row_number().over(Window.partitionBy(identity).orderBy(order, key))
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 

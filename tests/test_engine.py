@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance import errors
+from parlance import agent_queries, errors
 from parlance.engine import Engine, Scope
 from parlance.operators import evidence, lexical, links, parts, scope, semantic
 from parlance.plans import budget
@@ -227,3 +227,10 @@ def test_ids_and_roots(spark):
     assert scope.resolve_root("a", {"A_HOME": " "}, "A_HOME", "/conf/", "/x") == "/conf" and scope.resolve_root("a", {"A_HOME": "/e"}, "A_HOME", "/conf", "/x") == "/e"
     with pytest.raises(ValueError, match="no folder"):
         scope.resolve_root("a", {}, "A_HOME", None, "")
+
+
+def test_first_of_several_rows_of_one_provider(spark, tmp_path):
+    ids = [40 * 1009 * k + i for k in (2, 1, 0) for i in range(300)]  # file and provider recur after 40 * 1009 ids
+    spark.createDataFrame([(i, "", "en") for i in ids], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = agent_queries.first_provider(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and dict(map(tuple, got)) == {f: min((i for i in ids if i % 40 == f), key=lambda i: (i * 7 % 1009, i)) for f in range(40)}
